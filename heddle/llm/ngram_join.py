@@ -12,6 +12,8 @@ components is lost, and no pair inside one is listed.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,7 +21,11 @@ from pyspark.sql import functions as F
 
 from .common import connected_components, ship, stage
 
-COUNTERS, _SLICE = 1 << 18, 1 << 12
+COUNTERS, _SLICE = 1 << 20, 1 << 14
+#: One in so many shingles, by hash, is kept beside each set to turn away pairs that cannot link.
+_SAMPLED = 8
+#: A shingle that so many classes share takes part in the star rounds.
+CROWD = 8
 #: Up to so many ids, 16 MB, are broadcast to pick out rows; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -53,6 +59,14 @@ def shingles(text: str | None, size: int) -> np.ndarray:
     return np.unique(out.view(np.int64))
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    return zlib.compress(counts.astype("<i8").tobytes(), 1)
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(raw), "<i8")
+
+
 def _counted(docs: DataFrame, size: int) -> np.ndarray:
     """How many rows have a shingle in each counter; slices of the counters are summed in two steps."""
 
@@ -67,19 +81,19 @@ def _counted(docs: DataFrame, size: int) -> np.ndarray:
             from pyspark import TaskContext
 
             k = COUNTERS // _SLICE
-            yield pa.RecordBatch.from_arrays([pa.array(range(k), pa.int32()), pa.array([TaskContext.get().partitionId() % 64] * k, pa.int32()), pa.array([total[i * _SLICE : (i + 1) * _SLICE].astype("<i8").tobytes() for i in range(k)], pa.binary())], names=["slice", "salt", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(k), pa.int32()), pa.array([TaskContext.get().partitionId() % 64] * k, pa.int32()), pa.array([_packed(total[i * _SLICE : (i + 1) * _SLICE]) for i in range(k)], pa.binary())], names=["slice", "salt", "counts"])
 
     def add(rows: pa.Table) -> pa.Table:
-        total = np.sum([np.frombuffer(x, "<i8") for x in rows.column("counts").to_pylist()], axis=0)
-        return pa.table({"slice": rows.column("slice")[:1], "salt": rows.column("salt")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+        total = np.sum([_unpacked(x) for x in rows.column("counts").to_pylist()], axis=0)
+        return pa.table({"slice": rows.column("slice")[:1], "salt": rows.column("salt")[:1], "counts": pa.array([_packed(total)], pa.binary())})
 
     kind = "slice int, salt int, counts binary"
     parts = docs.select("_text").mapInArrow(count, kind)
     for keys in (["slice", "salt"], ["slice"]):
         parts = parts.groupBy(*keys).applyInArrow(add, kind)
     out = np.zeros(COUNTERS, np.int64)
-    for r in parts.collect():  # 2**18 numbers whatever the input
-        out[r["slice"] * _SLICE : (r["slice"] + 1) * _SLICE] = np.frombuffer(r["counts"], "<i8")
+    for r in parts.collect():  # 2**20 numbers whatever the input
+        out[r["slice"] * _SLICE : (r["slice"] + 1) * _SLICE] = _unpacked(r["counts"])
     return out
 
 
@@ -103,14 +117,33 @@ def _signed(docs: DataFrame, size: int, percent: int, freq: np.ndarray) -> DataF
         for b in batches:
             sets = [shingles(x, size) for x in b.column(1).to_pylist()]
             cut = [prefix(s, shared.value, usual, percent) if len(s) else (0, s) for s in sets]
-            names = ["id", "n", "digest", "l", "prefix"]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()), pa.array([c[0] for c in cut], pa.int32()), pa.array([c[1] for c in cut], pa.list_(pa.int64()))], names=names)
+            names = ["id", "n", "digest", "l", "prefix", "sample"]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()), pa.array([c[0] for c in cut], pa.int32()), pa.array([c[1] for c in cut], pa.list_(pa.int64())), pa.array([s[s % _SAMPLED == 0].tobytes() for s in sets], pa.binary())], names=names)
+
+    return docs.select("_id", "_text").mapInArrow(sign, "id bigint, n bigint, digest binary, l int, prefix array<bigint>, sample binary")
+
+
+def _possible(classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs that their samples do not rule out: linked sets differ in few shingles, and their samples in no more."""
+    of = classes.select(F.col("cls").alias("b"), F.col("n").alias("bn"), F.col("sample").alias("y"))
+    both = pairs.join(classes.select(F.col("cls").alias("a"), F.col("n").alias("an"), F.col("sample").alias("x")), "a").join(of, "b")
 
-    return docs.select("_id", "_text").mapInArrow(sign, "id bigint, n bigint, digest binary, l int, prefix array<bigint>")
+    def possible(batches):
+        for b in batches:
+            keep = []
+            for n, m, x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4), b.column(5)):
+                x, y = (np.frombuffer(v.as_buffer(), np.int64) for v in (x, y))
+                apart = len(x) + len(y) - 2 * len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(apart <= n + m - 2 * -(-percent * (n + m) // (100 + percent)))
+            kept = b.filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["a", "b"])
+
+    return both.select("a", "b", "an", "bn", "x", "y").mapInArrow(possible, "a bigint, b bigint")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) of ids whose sets link, by the exact sizes of intersection and union."""
+    pairs = stage(_possible(classes, pairs, percent), "possible")
     ids = pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct()
     few = ids.count() <= BROADCAST_IDS
     picked = docs.join(F.broadcast(ids) if few else ids, "_id", "left_semi")
@@ -135,7 +168,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> Dat
     return both.select("a", "b", "x", "y").mapInArrow(verify, "a bigint, b bigint").distinct()
 
 
-def ngram_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", star_rounds: int = 5) -> DataFrame:
+def ngram_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", star_rounds: int = 3) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row; component_id is the smallest id reachable by links.
 
     Two rows link when 100 * |intersection| >= percent * |union| of their shingle sets. Null, empty and blank texts have no shingles and
@@ -146,27 +179,23 @@ def ngram_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col:
     ship(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     signed = stage(_signed(docs, size, percent, _counted(docs, size)), "signed")
-    classes = signed.where("id is not null and digest is not null").groupBy("digest").agg(F.min("id").alias("cls"), F.first("n").alias("n"), F.first("l").alias("l"), F.first("prefix").alias("prefix"))
+    first = [F.first(c).alias(c) for c in ("n", "l", "prefix", "sample")]
+    classes = stage(signed.where("id is not null and digest is not null").groupBy("digest").agg(F.min("id").alias("cls"), *first), "classes")
     rows = classes.select("cls", "n", "l", F.explode("prefix").alias("tok"))
-    shared = rows.groupBy("tok").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("tok")
+    shared = rows.groupBy("tok").agg(F.count(F.lit(1)).alias("crowd")).where("crowd > 1")
     live = stage(rows.join(shared, "tok"), "live").withColumn("comp", F.col("cls"))
-    links = spark.createDataFrame([], "a bigint, b bigint")
-    comps = None
+    links = comps = None
     for k in range(star_rounds):
-        least = live.groupBy("tok").agg(F.min_by("cls", F.xxhash64("cls", F.lit(k))).alias("hub"), F.min_by("comp", F.xxhash64("cls", F.lit(k))).alias("hub_comp"), F.min_by("n", F.xxhash64("cls", F.lit(k))).alias("hub_n")).where("hub is not null")
-        near = live.join(least, "tok").where("comp != hub_comp").where(f"100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)").groupBy("cls", "hub").agg(F.count(F.lit(1)).alias("hits"))
-        best = near.groupBy("cls").agg(F.max_by("hub", F.struct("hits", "hub")).alias("hub"))
-        pairs = stage(best.select(F.col("cls").alias("a"), F.col("hub").alias("b")), "pairs")
-        new = stage(_verified(docs, pairs, size, percent), "links")
+        pairs = _hub_pairs(live.where(F.col("crowd") >= CROWD), k, percent)
+        new = stage(_verified(docs, classes, pairs, size, percent), "links")
         if new.isEmpty():
             break
-        links = links.union(new)
+        links = new if links is None else links.union(new)
         comps = stage(connected_components(links), "comps")
         live = _live(live, comps)
-    pairs = stage(_candidates(live, percent), "pairs")
-    new = stage(_verified(docs, pairs, size, percent), "links")
+    new = stage(_verified(docs, classes, _candidates(live, percent), size, percent), "links")
     if not new.isEmpty():
-        comps = stage(connected_components(links.union(new)), "comps")
+        comps = stage(connected_components(new if links is None else links.union(new)), "comps")
     ids = signed.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "digest")
     of = classes.select("digest", "cls")
     if comps is not None:
@@ -175,9 +204,19 @@ def ngram_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col:
     return out.select(id_col, "n_shingles", F.when(F.col(id_col).isNotNull(), F.coalesce("cls", id_col)).alias("component_id"))
 
 
+def _hub_pairs(live: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b): each class with the hub it shares most prefix shingles with; a shingle's hub is one of its classes, another each round."""
+    by = F.xxhash64("cls", F.lit(k))
+    hub = live.groupBy("tok").agg(F.min_by(F.struct("cls", "comp", "n"), by).alias("h"))
+    near = live.join(hub, "tok").where("comp != h.comp").where(f"100 * least(n, h.n) >= {percent} * greatest(n, h.n)")
+    hits = near.groupBy("cls", F.col("h.cls").alias("hub")).agg(F.count(F.lit(1)).alias("hits"))
+    best = hits.groupBy("cls").agg(F.max_by("hub", F.struct("hits", "hub")).alias("hub"))
+    return best.select(F.col("cls").alias("a"), F.col("hub").alias("b"))
+
+
 def _live(live: DataFrame, comps: DataFrame) -> DataFrame:
     """The index rows with their components now, of shingles that still meet more than one."""
-    rows = live.drop("comp").join(comps, F.col("cls") == F.col("id"), "left").select("tok", "cls", "n", "l", F.coalesce("component", "cls").alias("comp"))
+    rows = live.drop("comp").join(comps, F.col("cls") == F.col("id"), "left").select("tok", "cls", "n", "l", "crowd", F.coalesce("component", "cls").alias("comp"))
     mixed = rows.groupBy("tok").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).where("_a < _b").select("tok")
     return stage(rows.join(mixed, "tok"), "live")
 
