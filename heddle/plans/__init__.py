@@ -1,4 +1,8 @@
-"""Registered queries and their SQL."""
+"""Registered queries and the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from __future__ import annotations
+
+from . import library, workload
+
+QUERIES = workload.QUERIES | library.QUERIES
+ORACLE_SQL = workload.ORACLE_SQL | library.ORACLE_SQL
