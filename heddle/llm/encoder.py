@@ -32,7 +32,7 @@ def encoder(path: str) -> Encoder:
 class Encoder:
     """ids as little-endian unsigned 32-bit bytes; the caches are emptied at max_cached entries."""
 
-    def __init__(self, path: str, max_cached: int = 400_000):
+    def __init__(self, path: str, max_cached: int = 900_000):
         self.sp = None
         if path.endswith(".model"):
             import sentencepiece
@@ -69,10 +69,11 @@ class Encoder:
                     head, *words = x.split(" ")
                     split.append((i, head, words))
         if split:
-            words = self._learn(split)
-            get = words.__getitem__
-            for i, head, rest in split:
-                out[i] = b"".join([self.pieces[p] for p in _EDGES.split(head)]) + b"".join(map(get, rest))
+            heads = self._heads([head for _, head, _ in split])
+            self._learn(split)
+            get = self.words.__getitem__
+            for (i, _, rest), head in zip(split, heads):
+                out[i] = head + b"".join(map(get, rest))
         for i, x in zip(whole, self._whole([texts[i] for i in whole])):
             out[i] = x
         return out
@@ -80,30 +81,54 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
-    def _learn(self, split: list[tuple[int, str, list[str]]]) -> dict[str, bytes]:
-        """Fill the caches for these texts; words are kept without the space before them."""
-        if len(self.words) > self.max_cached or len(self.pieces) > self.max_cached:
-            self.words, self.pieces = {}, {}
-        words, pieces = self.words, self.pieces
+    def _heads(self, heads: list[str]) -> list[bytes]:
+        """The first words, which no space goes before."""
+        return self._joined([_EDGES.split(x) for x in heads])
+
+    def _joined(self, parts: list[list[str]]) -> list[bytes]:
+        """Pieces that begin with no space, encoded and joined."""
+        known = self.pieces
+        new = list(set().union(*parts).difference(known))
+        known.update(zip(new, self._whole(new)))
+        return [b"".join([known[p] for p in ps]) for ps in parts]
+
+    def _learn(self, split: list[tuple[int, str, list[str]]]) -> None:
+        """Fill the cache of words, kept without the space before them.
+
+        A word of letters is encoded; one that goes on after them is its first letters, which have the space, and pieces after an edge.
+        """
+        if len(self.words) > self.max_cached:
+            self.words = {}
+        if len(self.pieces) > self.max_cached:
+            self.pieces = {}
+        words = self.words
         new = set().union(*[rest for _, _, rest in split]).difference(words)
-        parts = {w: _EDGES.split(" " + w) for w in new}
-        need = set().union(*parts.values(), *[_EDGES.split(head) for _, head, _ in split]).difference(pieces)
-        spaced = [p for p in need if p[0] == " "]
-        other = [p for p in need if p[0] != " "]
-        pieces.update(zip(other, self._whole(other)))
-        for at in range(0, len(spaced), _RUN):
-            run = spaced[at : at + _RUN]
-            ids = np.array(self.tok.encode_batch_fast(["".join(run)], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = np.cumsum(np.fromiter((len(p.encode()) for p in run), np.int64, len(run)))
+        letters = {w for w in new if w.isalpha()}
+        tails: list[tuple[str, str, list[str]]] = []
+        alone = []
+        for w in new.difference(letters):
+            first, *rest = _EDGES.split(w)
+            if rest and first.isalpha():
+                tails.append((w, first, rest))
+                if first not in words:
+                    letters.add(first)
+            else:
+                alone.append(w)
+        words.update(zip(alone, self._whole([" " + w for w in alone])))
+        order = list(letters)
+        for at in range(0, len(order), _RUN):
+            run = order[at : at + _RUN]
+            text = " " + " ".join(run)
+            ids = np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.cumsum(np.fromiter(map(len, text.encode().split(b" ")[1:]), np.int64, len(run)) + 1)
             got = np.cumsum(self.width[ids])
             cut = np.searchsorted(got, ends)
             if len(got) != cut[-1] + 1 or (got[cut] != ends).any():  # never with a byte-level vocabulary
-                pieces.update(zip(run, self._whole(run)))
+                words.update(zip(run, self._whole([" " + w for w in run])))
                 continue
             raw, a = ids.tobytes(), 0
-            for p, b in zip(run, ((cut + 1) * 4).tolist()):
-                pieces[p] = raw[a:b]
+            for w, b in zip(run, ((cut + 1) * 4).tolist()):
+                words[w] = raw[a:b]
                 a = b
-        for w, ps in parts.items():
-            words[w] = pieces[ps[0]] if len(ps) == 1 else b"".join([pieces[p] for p in ps])
-        return words
+        for (w, first, _), rest in zip(tails, self._joined([t[2] for t in tails])):
+            words[w] = words[first] + rest
