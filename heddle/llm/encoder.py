@@ -15,8 +15,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 import numpy as np
 
-#: White space that the fast path does not cover.
-_ODD = re.compile(r" \s|\s ")
+#: One of these after a letter is a piece of its own.
+_ENDS = frozenset(".,")
 _EDGES = re.compile(r"(?<=[^\W\d_])(?=[.,\n])|(?<=\S\n)(?=[^\W\d_])")
 _RUN = 500
 _ENCODERS: dict[str, Encoder] = {}
@@ -30,9 +30,9 @@ def encoder(path: str) -> Encoder:
 
 
 class Encoder:
-    """ids as little-endian unsigned 32-bit bytes; the caches are emptied at max_cached entries."""
+    """ids as little-endian unsigned 32-bit bytes; a cache is emptied at max_cached entries, about 300 MB."""
 
-    def __init__(self, path: str, max_cached: int = 900_000):
+    def __init__(self, path: str, max_cached: int = 1_500_000):
         self.sp = None
         if path.endswith(".model"):
             import sentencepiece
@@ -49,7 +49,7 @@ class Encoder:
                 self.width[i] = len(piece)  # byte-level: a character a byte
             for i, added in self.tok.get_added_tokens_decoder().items():
                 self.width[i] = len(added.content.encode())
-        self.words: dict[str, bytes] = {}
+        self.words: dict[str, bytes | None] = {}
         self.pieces: dict[str, bytes] = {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
@@ -60,20 +60,19 @@ class Encoder:
         if not self.fast:
             return self._whole(texts)
         out: list[bytes] = [b""] * len(texts)
-        split, whole = [], []
-        for i, x in enumerate(texts):
-            if x:
-                if x[0].isspace() or x[-1].isspace() or _ODD.search(x):
-                    whole.append(i)
-                else:
-                    head, *words = x.split(" ")
-                    split.append((i, head, words))
-        if split:
-            heads = self._heads([head for _, head, _ in split])
-            self._learn(split)
-            get = self.words.__getitem__
-            for (i, _, rest), head in zip(split, heads):
-                out[i] = head + b"".join(map(get, rest))
+        split = [(i, *x.split(" ", 1)) for i, x in enumerate(texts) if x]
+        split = [(i, x[0], x[1].split(" ") if len(x) > 1 else []) for i, *x in split]
+        heads = self._joined([_EDGES.split(head) for _, head, _ in split])
+        self._learn(split)
+        get, whole = self.words.__getitem__, []
+        for (i, head, rest), first in zip(split, heads):
+            try:
+                if head and not head[0].isspace() and not head[-1].isspace():
+                    out[i] = first + b"".join(map(get, rest))
+                    continue
+            except TypeError:  # a word with white space at an end
+                pass
+            whole.append(i)
         for i, x in zip(whole, self._whole([texts[i] for i in whole])):
             out[i] = x
         return out
@@ -81,10 +80,6 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
-    def _heads(self, heads: list[str]) -> list[bytes]:
-        """The first words, which no space goes before."""
-        return self._joined([_EDGES.split(x) for x in heads])
-
     def _joined(self, parts: list[list[str]]) -> list[bytes]:
         """Pieces that begin with no space, encoded and joined."""
         known = self.pieces
@@ -96,6 +91,7 @@ class Encoder:
         """Fill the cache of words, kept without the space before them.
 
         A word of letters is encoded; one that goes on after them is its first letters, which have the space, and pieces after an edge.
+        A word that is empty or has white space at an end, where there may be no split, is None.
         """
         if len(self.words) > self.max_cached:
             self.words = {}
@@ -103,17 +99,22 @@ class Encoder:
             self.pieces = {}
         words = self.words
         new = set().union(*[rest for _, _, rest in split]).difference(words)
-        letters = {w for w in new if w.isalpha()}
+        letters = set(filter(str.isalpha, new))
         tails: list[tuple[str, str, list[str]]] = []
         alone = []
         for w in new.difference(letters):
-            first, *rest = _EDGES.split(w)
-            if rest and first.isalpha():
-                tails.append((w, first, rest))
-                if first not in words:
-                    letters.add(first)
-            else:
-                alone.append(w)
+            first, rest = w[:-1], [w[-1:]]
+            if w[-1:] not in _ENDS or not first.isalpha():
+                if not w or w[0].isspace() or w[-1].isspace():
+                    words[w] = None
+                    continue
+                first, *rest = _EDGES.split(w)
+                if not rest or not first.isalpha():
+                    alone.append(w)
+                    continue
+            tails.append((w, first, rest))
+            if first not in words:
+                letters.add(first)
         words.update(zip(alone, self._whole([" " + w for w in alone])))
         order = list(letters)
         for at in range(0, len(order), _RUN):
@@ -126,9 +127,7 @@ class Encoder:
             if len(got) != cut[-1] + 1 or (got[cut] != ends).any():  # never with a byte-level vocabulary
                 words.update(zip(run, self._whole([" " + w for w in run])))
                 continue
-            raw, a = ids.tobytes(), 0
-            for w, b in zip(run, ((cut + 1) * 4).tolist()):
-                words[w] = raw[a:b]
-                a = b
+            stops = ((cut + 1) * 4).tolist()
+            words.update(zip(run, map(ids.tobytes().__getitem__, map(slice, [0, *stops], stops))))
         for (w, first, _), rest in zip(tails, self._joined([t[2] for t in tails])):
             words[w] = words[first] + rest

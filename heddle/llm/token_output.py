@@ -16,7 +16,7 @@ import struct
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import scratch, ship
@@ -25,6 +25,7 @@ from .encoder import encoder
 _BLOCK = 512
 _BITS = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint16)
 _NULL_ID = -(2**63)
+_TABLE = "part int, segment int, n_docs bigint, n_ids bigint, before bigint, codes binary"
 
 
 def pack_segment(doc_ids, ends, ids: np.ndarray) -> bytes:
@@ -110,7 +111,7 @@ class Segment:
 def write_tokens(docs: DataFrame, tokenizer_path: str, path: str | None = None, end_id: int = 0, segment_ids: int = 1 << 18, id_col: str = "doc_id", text_col: str = "text") -> str:
     """Encode documents in ascending id order into segments; returns the table's path.
 
-    The table has a row a segment: part, segment (order: part, then segment), first id, n_docs, n_ids and the bytes. Null texts are
+    The table has a row a segment: part, segment (order: part, then segment), n_docs, n_ids, the ids of the part before it, and the bytes. Null texts are
     empty and have the end id alone; null ids come first; repeated ids are ordered by their text. A document is never split, so a very
     long one makes a longer segment. Spark's committer writes the table, so a task that runs again leaves no second copy.
     """
@@ -124,12 +125,12 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str | None = None,
 
     def encode(batches):
         enc, part, k = encoder(tokenizer_path), TaskContext.get().partitionId(), 0
-        ids, held, n = [], [], 0
+        ids, held, n, before = [], [], 0, 0
 
         def flush():
             ends = np.cumsum([len(x) // 4 for x in held], dtype=np.int64)
             raw = pack_segment(ids, ends, np.frombuffer(b"".join(held), "<u4"))
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([k], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([n], pa.int64()), pa.array([raw], pa.binary())], names=["part", "segment", "n_docs", "n_ids", "codes"])
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([k], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([n], pa.int64()), pa.array([before], pa.int64()), pa.array([raw], pa.binary())], names=["part", "segment", "n_docs", "n_ids", "before", "codes"])
 
         for b in batches:
             keys, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
@@ -140,25 +141,23 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str | None = None,
                     n += len(x) // 4 + 1
                     if n >= segment_ids:
                         yield flush()
-                        ids, held, n, k = [], [], 0, k + 1
+                        ids, held, n, k, before = [], [], 0, k + 1, before + n
         if held:
             yield flush()
 
-    ordered.mapInArrow(encode, "part int, segment int, n_docs bigint, n_ids bigint, codes binary").write.option("compression", "uncompressed").parquet(path)
+    ordered.mapInArrow(encode, _TABLE).write.option("compression", "uncompressed").parquet(path)
     return path
 
 
 def read_tokens(spark, path: str) -> DataFrame:
-    """The segments with start, the ids in all segments before. The sums run over one row a part of the write, then over a part."""
-    from pyspark.sql import Window
+    """The segments with start, the ids in all segments before.
 
-    segments = spark.read.schema("part int, segment int, n_docs bigint, n_ids bigint, codes binary").parquet(path)
+    The sums run over, and the broadcast holds, one row a part: as many as the write had partitions, 20 bytes each.
+    """
+    segments = spark.read.schema(_TABLE).parquet(path)
     totals = segments.groupBy("part").agg(F.sum("n_ids").alias("n"))
     base = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
-    within = segments.select("part", "segment", (F.sum("n_ids").over(Window.partitionBy("part").orderBy("segment")) - F.col("n_ids")).alias("inside"))
-    # Both sides of each join have a row a part, or a segment of 2**18 ids; Spark broadcasts them only below its size threshold.
-    starts = within.join(base, "part").select("part", "segment", (F.col("base") + F.col("inside")).alias("start"))
-    return segments.join(starts, ["part", "segment"])
+    return segments.join(F.broadcast(base), "part").withColumn("start", F.col("base") + F.col("before"))
 
 
 def document_digests(spark, path: str) -> DataFrame:
@@ -172,7 +171,8 @@ def document_digests(spark, path: str) -> DataFrame:
             for raw, start in zip(b.column("codes"), b.column("start").to_pylist()):
                 s = Segment(raw.as_buffer().to_pybytes())
                 firsts = np.concatenate([[0], s.ends[:-1]]) if len(s.ends) else s.ends
-                crc = [zlib.crc32(s.document(k).astype("<u4").tobytes()) for k in range(len(s.ends))]
+                every = memoryview(s.span(0, s.n_ids).astype("<u4").tobytes())
+                crc = [zlib.crc32(every[4 * a : 4 * z]) for a, z in zip(firsts.tolist(), s.ends.tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(s.doc_ids, pa.int64(), mask=s.doc_ids == _NULL_ID), pa.array(firsts + start, pa.int64()), pa.array(s.ends - firsts, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return read_tokens(spark, path).select("codes", "start").mapInArrow(decode, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
