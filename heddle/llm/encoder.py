@@ -15,6 +15,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 import numpy as np
 
+from .caches import use
+
 #: One of these after a letter is a piece of its own.
 _ENDS = frozenset(".,")
 _EDGES = re.compile(r"(?<=[^\W\d_])(?=[.,\n])|(?<=\S\n)(?=[^\W\d_])")
@@ -24,15 +26,16 @@ _ENCODERS: dict[str, Encoder] = {}
 
 def encoder(path: str) -> Encoder:
     """One encoder a worker and file."""
+    use("encoder", _ENCODERS.clear)
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
 
 
 class Encoder:
-    """ids as little-endian unsigned 32-bit bytes; a cache is emptied at max_cached entries, about 300 MB."""
+    """ids as little-endian unsigned 32-bit bytes; a cache is emptied at max_cached entries, about 200 MB."""
 
-    def __init__(self, path: str, max_cached: int = 1_500_000):
+    def __init__(self, path: str, max_cached: int = 1_000_000):
         self.sp = None
         if path.endswith(".model"):
             import sentencepiece

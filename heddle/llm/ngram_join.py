@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .caches import use
 from .common import connected_components, ship, stage
 
 COUNTERS, _SLICE = 1 << 20, 1 << 14
@@ -35,7 +36,7 @@ class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 400_000:
+        if len(self) > 300_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -46,6 +47,7 @@ _hashes = _Hashes()
 
 def shingles(text: str | None, size: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's word n-grams: A-Z lower-cased, words between ASCII white space; with fewer words, all of them as one."""
+    use("shingles", _hashes.clear)
     words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
     n = len(words)
     if not n:

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .caches import use
 from .common import ship
 
 PLACES = 1 << 20
@@ -28,7 +29,7 @@ class _Hashes(dict):
     def __missing__(self, word: str) -> int:
         import xxhash
 
-        if len(self) > 500_000:
+        if len(self) > 300_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -37,12 +38,18 @@ class _Hashes(dict):
 _words, _stems = _Hashes(), _Hashes()
 
 
+def _forget() -> None:
+    _words.clear()
+    _stems.clear()
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     return ((x ^ (x >> np.uint64(29))) * _MIX[0]) >> np.uint64(44)  # the top 20 bits
 
 
 def features(text: str | None) -> np.ndarray:
     """Places of a text's features, repeats included."""
+    use("toxicity", _forget)
     words = _WORD.findall((text or "").lower())
     n = len(words)
     h = np.fromiter(map(_words.__getitem__, words), np.uint64, n)
