@@ -42,17 +42,18 @@ def _(t):
     return m.select(quality.segment_key(["event_type"]).alias("dimension_value"), "metric_name", F.round("metric_value", 6).alias("metric_value"))
 
 
-_RULES = {"quantity_positive": c("l_quantity") <= 0, "discount_range": ~c("l_discount").between(0, 0.08), "flag_set": ~c("l_returnflag").isin("A", "N"), "status_length": F.length("l_linestatus") > 1, "tax_present": c("l_tax").isNull()}
+def _rules():
+    return {"quantity_positive": c("l_quantity") <= 0, "discount_range": ~c("l_discount").between(0, 0.08), "flag_set": ~c("l_returnflag").isin("A", "N"), "status_length": F.length("l_linestatus") > 1, "tax_present": c("l_tax").isNull()}
 
 
 @query("rules_lineitem", "SELECT rule_name, violations, total FROM (SELECT count(*) AS total, count(*) FILTER (l_quantity <= 0) AS a, count(*) FILTER (NOT l_discount BETWEEN 0 AND 0.08) AS b, count(*) FILTER (l_returnflag NOT IN ('A', 'N')) AS c, count(*) FILTER (length(l_linestatus) > 1) AS d, count(*) FILTER (l_tax IS NULL) AS e FROM lineitem), LATERAL (VALUES ('quantity_positive', a), ('discount_range', b), ('flag_set', c), ('status_length', d), ('tax_present', e)) v(rule_name, violations)")
 def _(t):
-    return quality.violations(t.lineitem, _RULES)
+    return quality.violations(t.lineitem, _rules())
 
 
 @query("rules_score", "SELECT round(100 - (CASE WHEN count(*) FILTER (NOT l_discount BETWEEN 0 AND 0.08) > 0 THEN 2.0 ELSE 0 END + CASE WHEN count(*) FILTER (l_returnflag NOT IN ('A', 'N')) > 0 THEN 1.0 ELSE 0 END) / 6.0 * 100, 2)::DOUBLE AS score FROM lineitem")
 def _(t):
-    return quality.score(quality.violations(t.lineitem, _RULES), {"discount_range": 2.0})
+    return quality.score(quality.violations(t.lineitem, _rules()), {"discount_range": 2.0})
 
 
 @query("rule_unique", "SELECT count(*) AS duplicates FROM (SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1)")
