@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once a context, so that workers can import it; Arrow batches hold 1000 rows at most."""
+    """Send this package to the executors once a context, so that workers can import it; Arrow batches hold 1000 rows and about 8 MB at most."""
     sc = spark.sparkContext
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 1000:  # texts can be long: bounds a worker's batch
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
     if getattr(sc, "_heddle_shipped", False):
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

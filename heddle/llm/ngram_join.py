@@ -5,14 +5,20 @@ Order every document's shingles rare first. Two sets that share at least o shing
 more match saves, and a pair is verified only with as many shared prefix shingles as the smaller l of the two.
 
 Frequencies come from counters of a fixed number, summed over all documents: any order is exact, a good one is fast. Equal sets are one
-class from the start. Large groups of near copies are first linked to a few of their members, a row a document; then only pairs in
+class from the start. Large groups of near copies are first linked to one of their members, a row a document; then only pairs in
 different components are looked for, and the largest component of each shingle is never paired with itself. No link that could join two
 components is lost, and no pair inside one is listed.
+
+A crowded shingle has a hub, one of its classes, and every class that shares it is written as its difference from the hub: the shingles
+it adds and those it lacks. The difference of two classes is that of their differences, so that linked classes, unless both link with
+the hub, share an added or lacking shingle, and prefixes of the differences find them: the text that a group has in common plays no part.
+Classes far from the hub are given another one; what is left is listed by shingle.
 """
 
 from __future__ import annotations
 
 import zlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +33,8 @@ COUNTERS, _SLICE = 1 << 20, 1 << 14
 _SAMPLED = 8
 #: A shingle that so many classes share takes part in the star rounds.
 CROWD = 8
+#: The rows of a shingle that at least so many classes share are compared by way of its hub; below it, listing the pairs costs less.
+HUB_CROWD = 64
 #: Up to so many ids, 16 MB, are broadcast to pick out rows; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -110,8 +118,8 @@ def prefix(found: np.ndarray, freq: np.ndarray, usual: float, percent: int, long
     return best, found[order[: n - share + best]]
 
 
-def _signed(docs: DataFrame, size: int, percent: int, freq: np.ndarray) -> DataFrame:
-    shared, usual = docs.sparkSession.sparkContext.broadcast(freq), float(np.median(freq))
+def _signed(docs: DataFrame, size: int, percent: int, shared) -> DataFrame:
+    usual = float(np.median(shared.value))
 
     def sign(batches):
         import xxhash
@@ -125,8 +133,17 @@ def _signed(docs: DataFrame, size: int, percent: int, freq: np.ndarray) -> DataF
     return docs.select("_id", "_text").mapInArrow(sign, "id bigint, n bigint, digest binary, l int, prefix array<bigint>, sample binary")
 
 
-def _possible(classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs that their samples do not rule out: linked sets differ in few shingles, and their samples in no more."""
+def _apart(x: np.ndarray, y: np.ndarray) -> int:
+    return len(x) + len(y) - 2 * len(np.intersect1d(x, y, assume_unique=True))
+
+
+def _linked_apart(percent: int):
+    """The most shingles in which linked sets of n and m shingles differ."""
+    return lambda n, m: (n + m) * (100 - percent) // (100 + percent)
+
+
+def _possible(classes: DataFrame, pairs: DataFrame, most) -> DataFrame:
+    """The pairs that their samples do not rule out: sets of n and m that differ in most(n, m) shingles have samples that differ in no more."""
     of = classes.select(F.col("cls").alias("b"), F.col("n").alias("bn"), F.col("sample").alias("y"))
     both = pairs.join(classes.select(F.col("cls").alias("a"), F.col("n").alias("an"), F.col("sample").alias("x")), "a").join(of, "b")
 
@@ -134,18 +151,16 @@ def _possible(classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
         for b in batches:
             keep = []
             for n, m, x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4), b.column(5)):
-                x, y = (np.frombuffer(v.as_buffer(), np.int64) for v in (x, y))
-                apart = len(x) + len(y) - 2 * len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(apart <= n + m - 2 * -(-percent * (n + m) // (100 + percent)))
+                keep.append(_apart(*(np.frombuffer(v.as_buffer(), np.int64) for v in (x, y))) <= most(n, m))
             kept = b.filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["a", "b"])
 
     return both.select("a", "b", "an", "bn", "x", "y").mapInArrow(possible, "a bigint, b bigint")
 
 
-def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of ids whose sets link, by the exact sizes of intersection and union."""
-    pairs = stage(_possible(classes, pairs, percent), "possible")
+def _with_sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, most) -> DataFrame:
+    """(a, b, x, y): the pairs that can differ in so few shingles, with their whole sets."""
+    pairs = stage(_possible(classes, pairs, most), "possible")
     ids = pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct()
     few = ids.count() <= BROADCAST_IDS
     picked = docs.join(F.broadcast(ids) if few else ids, "_id", "left_semi")
@@ -156,6 +171,11 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int,
 
     found = picked.select("_id", "_text").mapInArrow(sets, "id bigint, found binary")
     both = pairs.join(found.withColumnRenamed("id", "a").withColumnRenamed("found", "x"), "a").join(found.withColumnRenamed("id", "b").withColumnRenamed("found", "y"), "b")
+    return both.select("a", "b", "x", "y")
+
+
+def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of ids whose sets link, by the exact sizes of intersection and union."""
 
     def verify(batches):
         for b in batches:
@@ -167,10 +187,10 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int,
             kept = b.filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["a", "b"])
 
-    return both.select("a", "b", "x", "y").mapInArrow(verify, "a bigint, b bigint").distinct()
+    return _with_sets(docs, classes, pairs, size, _linked_apart(percent)).mapInArrow(verify, "a bigint, b bigint").distinct()
 
 
-def ngram_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", star_rounds: int = 3) -> DataFrame:
+def ngram_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", star_rounds: int = 1, hub_rounds: int = 2) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row; component_id is the smallest id reachable by links.
 
     Two rows link when 100 * |intersection| >= percent * |union| of their shingle sets. Null, empty and blank texts have no shingles and
@@ -180,12 +200,13 @@ def ngram_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col:
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    signed = stage(_signed(docs, size, percent, _counted(docs, size)), "signed")
+    shared = spark.sparkContext.broadcast(_counted(docs, size))
+    signed = stage(_signed(docs, size, percent, shared), "signed")
     first = [F.first(c).alias(c) for c in ("n", "l", "prefix", "sample")]
     classes = stage(signed.where("id is not null and digest is not null").groupBy("digest").agg(F.min("id").alias("cls"), *first), "classes")
     rows = classes.select("cls", "n", "l", F.explode("prefix").alias("tok"))
-    shared = rows.groupBy("tok").agg(F.count(F.lit(1)).alias("crowd")).where("crowd > 1")
-    live = stage(rows.join(shared, "tok"), "live").withColumn("comp", F.col("cls"))
+    crowds = rows.groupBy("tok").agg(F.count(F.lit(1)).alias("crowd")).where("crowd > 1")
+    live = stage(rows.join(crowds, "tok"), "live").withColumn("comp", F.col("cls"))
     links = comps = None
     for k in range(star_rounds):
         pairs = _hub_pairs(live.where(F.col("crowd") >= CROWD), k, percent)
@@ -195,9 +216,21 @@ def ngram_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col:
         links = new if links is None else links.union(new)
         comps = stage(connected_components(links), "comps")
         live = _live(live, comps)
-    new = stage(_verified(docs, classes, _candidates(live, percent), size, percent), "links")
-    if not new.isEmpty():
-        comps = stage(connected_components(new if links is None else links.union(new)), "comps")
+    listed, crowded, pairs = live.where(F.col("crowd") < HUB_CROWD), live.where(F.col("crowd") >= HUB_CROWD), []
+    for k in range(hub_rounds):
+        rest, crowded = _by_crowd(crowded)
+        listed = listed.union(rest)
+        if crowded.isEmpty():
+            break
+        apart, crowded = _apart_from_hubs(docs, classes, crowded, shared, star_rounds + k, size, percent)
+        near = apart.where("near").select(F.col("cls").alias("a"), F.col("hub").alias("b"))
+        links = near if links is None else links.union(near)
+        pairs.append(_apart_pairs(apart, percent))
+    pairs.append(_candidates(listed.union(crowded), percent))
+    new = stage(_verified(docs, classes, reduce(DataFrame.union, pairs).distinct(), size, percent), "links")
+    links = new if links is None else links.union(new)
+    if not links.isEmpty():
+        comps = stage(connected_components(links), "comps")
     ids = signed.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "digest")
     of = classes.select("digest", "cls")
     if comps is not None:
@@ -206,16 +239,96 @@ def ngram_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col:
     return out.select(id_col, "n_shingles", F.when(F.col(id_col).isNotNull(), F.coalesce("cls", id_col)).alias("component_id"))
 
 
+def _hubs(live: DataFrame, k: int) -> DataFrame:
+    """(tok, h): a class of each shingle, in round 0 and after it by another hash, that has many of the shingles at hand: what a group of copies has in common."""
+    score = live.groupBy("cls").agg(F.count(F.lit(1)).alias("score"))
+    return live.join(score, "cls").groupBy("tok").agg(F.max_by(F.struct("cls", "comp", "n"), F.struct("score", F.xxhash64("cls", F.lit(k)))).alias("h"))
+
+
+def _by_crowd(live: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The index rows of shingles that fewer than HUB_CROWD rows have now, and the others."""
+    now = live.groupBy("tok").agg(F.count(F.lit(1)).alias("_now"))
+    rows = stage(live.join(now, "tok"), "crowds")
+    return tuple(rows.where(test).select(live.columns) for test in (f"_now < {HUB_CROWD}", f"_now >= {HUB_CROWD}"))
+
+
 def _hub_pairs(live: DataFrame, k: int, percent: int) -> DataFrame:
-    """(a, b): each class with the hub it shares most prefix shingles with; a shingle's hub is one of its classes, another each round."""
-    by = F.xxhash64("cls", F.lit(k))
-    hub = live.groupBy("tok").agg(F.min_by(F.struct("cls", "comp", "n"), by).alias("h"))
-    near = live.join(hub, "tok").where("comp != h.comp").where(f"100 * least(n, h.n) >= {percent} * greatest(n, h.n)")
+    """(a, b): each class with the hub it shares most prefix shingles with."""
+    near = live.join(_hubs(live, k), "tok").where("comp != h.comp").where(f"100 * least(n, h.n) >= {percent} * greatest(n, h.n)")
     hits = near.groupBy("cls", F.col("h.cls").alias("hub")).agg(F.count(F.lit(1)).alias("hits"))
     best = hits.groupBy("cls").agg(F.max_by("hub", F.struct("hits", "hub")).alias("hub"))
     return best.select(F.col("cls").alias("a"), F.col("hub").alias("b"))
 
 
+def _close(percent: int):
+    """(inner, outer) of a hub of m shingles: of two linked classes, if one differs from it in at most `inner`, the other does in at most `outer`."""
+    return lambda m: (inner := 0.75 * m, inner + (m + inner) * (100 - percent) / percent)
+
+
+def apart(x: np.ndarray, y: np.ndarray, freq: np.ndarray, percent: int) -> tuple[bool, np.ndarray, int]:
+    """(linked, prefix, how many of it meet unlinked sets) of the difference of set x from its hub y.
+
+    Sets of n and m shingles link if they differ in at most c * (n + m), c = (100 - percent) / (100 + percent). Differences of d and e
+    shingles, the second not linked with the hub, so e > c * (m + |y|), share (d + e - c * (n + m)) / 2 or more: over (d - c * n + c * |y|) / 2.
+    Seen from an unlinked set whose partner may be linked, they share over 0, by the triangle inequality, and (d - c * (n + |y|)) / 2 or more.
+    Order: added shingles, rare first, then those lacking, most frequent first, as few sets lack them; the latter are complemented.
+    """
+    more, less = np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)
+    d, n, m, w = len(more) + len(less), len(x), len(y), 100 + percent
+    more = more[np.lexsort((more, freq[more & (COUNTERS - 1)]))]
+    less = less[np.lexsort((less, -freq[less & (COUNTERS - 1)]))]
+    over = w * d - (100 - percent) * (n + m)
+    short = max(0, d - (w * d - (100 - percent) * (n - m)) // (2 * w))
+    long = d - max(1, -(-over // (2 * w))) + 1 if over > 0 else short
+    return over <= 0, np.concatenate([more, ~less])[:long], min(short, long)
+
+
+def _apart_from_hubs(docs: DataFrame, classes: DataFrame, live: DataFrame, shared, k: int, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Classes as differences from the hubs of their shingles, (tok, cls, n, comp, hub, near, short) with a row a shingle of the prefix; and the rows of `live` whose hubs are too far.
+
+    An id of several texts is settled when all of them are.
+    """
+    close = _close(percent)
+    met = stage(live.join(_hubs(live, k), "tok").where("cls != h.cls"), "met")
+
+    def differ(batches):
+        import xxhash
+
+        for b in batches:
+            rows = []
+            for x, y in zip(b.column(2), b.column(3)):
+                x, y = (np.frombuffer(v.as_buffer(), np.int64) for v in (x, y))
+                d, (inner, outer) = _apart(x, y), close(len(y))
+                near, found, short = apart(x, y, shared.value, percent) if d <= outer else (False, x[:0], 0)
+                rows.append((len(x), d > inner, near, found ^ np.int64(xxhash.xxh3_64_intdigest(y.tobytes()) >> 1), short))
+            n, far, near, found, short = zip(*rows) if rows else ([],) * 5
+            arrays = [pa.array(n, pa.int64()), pa.array(far, pa.bool_()), pa.array(near, pa.bool_()), pa.array(found, pa.list_(pa.int64())), pa.array(short, pa.int32())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *arrays], names=["cls", "hub", "n", "far", "near", "found", "short"])
+
+    duos = met.select(F.col("cls").alias("a"), F.col("h.cls").alias("b")).distinct()
+    both = _with_sets(docs, classes, duos, size, lambda n, m: close(m)[1])
+    seen = stage(both.mapInArrow(differ, "cls bigint, hub bigint, n bigint, far boolean, near boolean, found array<bigint>, short int"), "differences")
+    settled = seen.groupBy("cls", "hub").agg(F.max("far").alias("far")).where("not far")
+    left = met.withColumn("hub", F.col("h.cls")).join(settled, ["cls", "hub"], "left_anti").select(live.columns)
+    comp = met.select("cls", F.col("h.cls").alias("hub"), "comp", F.col("h.comp").alias("hub_comp")).distinct()
+    at = seen.join(comp, ["cls", "hub"]).withColumn("comp", F.expr("if(near, hub_comp, comp)"))
+    rows = at.select("cls", "hub", "n", "comp", "near", "short", F.posexplode_outer("found").alias("at", "tok"))
+    return stage(rows.selectExpr("tok", "cls", "n", "comp", "hub", "near", "at < short as short"), "apart"), stage(left, "live")
+
+
+def _apart_pairs(apart: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) in different components whose differences from a hub share a shingle of their prefixes, one of them at least not linked with it."""
+    some = apart.where("tok is not null")
+    sizes = some.groupBy("tok", "comp").agg(F.count(F.lit(1)).alias("c"))
+    big = sizes.groupBy("tok").agg(F.max_by("comp", F.struct("c", "comp")).alias("big"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("tok", "big")
+    tagged = some.join(big, "tok")
+    x = tagged.where("comp != big").selectExpr("tok", "cls a", "n an", "comp ac", "near anear", "short ashort")
+    y = tagged.selectExpr("tok", "cls b", "n bn", "comp bc", "near bnear", "short bshort", "big")
+    met = x.join(y, "tok").where("ac != bc and (bc = big or a < b) and if(anear = bnear, not anear and ashort and bshort, true)")
+    met = met.where(f"100 * least(an, bn) >= {percent} * greatest(an, bn)")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def _live(live: DataFrame, comps: DataFrame) -> DataFrame:
     """The index rows with their components now, of shingles that still meet more than one."""
     rows = live.drop("comp").join(comps, F.col("cls") == F.col("id"), "left").select("tok", "cls", "n", "l", "crowd", F.coalesce("component", "cls").alias("comp"))

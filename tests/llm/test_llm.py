@@ -14,7 +14,7 @@ from heddle.llm.chat_format import chat_windows, escape, read_windows, unescape
 from heddle.llm.decontaminate import contaminated
 from heddle.llm.encoder import Encoder
 from heddle.llm.html_extract import blocks, extract
-from heddle.llm.ngram_join import ngram_components, shingles
+from heddle.llm.ngram_join import apart, ngram_components, shingles
 from heddle.llm.packing import Plan, pack
 from heddle.llm.token_counts import count_tokens
 from heddle.llm.token_output import Segment, document_digests, pack_segment, read_tokens, write_tokens
@@ -279,8 +279,9 @@ def jaccard_roots(texts, size, percent):
     return [len(s) for s in sets], roots(len(sets), links)
 
 
-@pytest.mark.parametrize("size,percent,rounds", [(3, 90, 5), (5, 80, 5), (3, 90, 0), (2, 60, 1)])
-def test_ngram_join(spark, sf, size, percent, rounds):
+@pytest.mark.parametrize("size,percent,rounds,hubs", [(3, 90, 3, 2), (5, 80, 1, 2), (3, 90, 0, 2), (5, 80, 0, 1), (2, 60, 1, 0)])
+def test_ngram_join(spark, sf, size, percent, rounds, hubs, monkeypatch):
+    monkeypatch.setattr("heddle.llm.ngram_join.HUB_CROWD", 8)
     rng = np.random.default_rng(3)
     vocab = [f"v{i}" for i in range(300)]
     texts = [r.text for r in real_docs(spark, sf).orderBy("doc_id").limit(150).collect()]
@@ -293,11 +294,29 @@ def test_ngram_join(spark, sf, size, percent, rounds):
     texts += [" ".join(["hot line that all share"] + rng.choice(vocab, rng.integers(1, 30)).tolist()) for _ in range(40)] + ODD + ["A b", "a\tB", "a", "A"]
     docs = spark.createDataFrame([(i, t, 0, "", 0) for i, t in enumerate(texts)], DOCS)
     sizes, comps = jaccard_roots(texts, size, percent)
-    got = {r.doc_id: r for r in ngram_components(docs, size, percent, star_rounds=rounds).collect()}
+    got = {r.doc_id: r for r in ngram_components(docs, size, percent, star_rounds=rounds, hub_rounds=hubs).collect()}
     assert [got[i].n_shingles for i in range(len(texts))] == sizes
     assert [got[i].component_id for i in range(len(texts))] == comps
 
 
+@pytest.mark.parametrize("percent", [60, 80, 90])
+def test_difference_prefixes(percent):
+    """Of linked sets that do not both link with the hub the prefixes meet."""
+    rng = np.random.default_rng(percent)
+    freq, linked, c = rng.integers(1, 50, 1 << 20), 0, (100 - percent) / (100 + percent)
+    for _ in range(4000):
+        y = rng.choice(10_000, rng.integers(5, 40), replace=False)
+        change = lambda s, k: np.unique(np.concatenate([rng.choice(s, max(1, len(s) - rng.integers(0, k)), replace=False), rng.choice(10_000, rng.integers(0, k))]))
+        a = change(y, 12)
+        b = change(a, 4)
+        (an, ap, ashort), (bn, bp, bshort) = (apart(x, np.sort(y), freq, percent) for x in (a, b))
+        if len(np.setxor1d(a, b)) <= c * (len(a) + len(b)) and not (an and bn):
+            linked += 1
+            met = set(ap[:ashort]) & set(bp[:bshort]) if an == bn else set(ap) & set(bp)
+            assert met
+    assert linked > 100
+
+
 def test_ngram_join_odd(spark):
     got = ngram_components(odd_docs(spark)).collect()
     assert len(got) == len(ODD) + 3 and [r.component_id for r in got if r.doc_id is None] == [None]
