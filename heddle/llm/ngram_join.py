@@ -34,7 +34,7 @@ _SAMPLED = 8
 #: A shingle that so many classes share takes part in the star rounds.
 CROWD = 8
 #: The rows of a shingle that at least so many classes share are compared by way of its hub; below it, listing the pairs costs less.
-HUB_CROWD = 64
+HUB_CROWD = 16
 #: Up to so many ids, 16 MB, are broadcast to pick out rows; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -246,9 +246,9 @@ def _hubs(live: DataFrame, k: int) -> DataFrame:
 
 
 def _by_crowd(live: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The index rows of shingles that fewer than HUB_CROWD rows have now, and the others."""
-    now = live.groupBy("tok").agg(F.count(F.lit(1)).alias("_now"))
-    rows = stage(live.join(now, "tok"), "crowds")
+    """The index rows of shingles that fewer than HUB_CROWD rows have now, and the others; those of one component alone are left out."""
+    now = live.groupBy("tok").agg(F.count(F.lit(1)).alias("_now"), F.min("comp").alias("_a"), F.max("comp").alias("_b")).where("_a < _b")
+    rows = stage(live.join(now.select("tok", "_now"), "tok"), "crowds")
     return tuple(rows.where(test).select(live.columns) for test in (f"_now < {HUB_CROWD}", f"_now >= {HUB_CROWD}"))
 
 
@@ -271,16 +271,18 @@ def apart(x: np.ndarray, y: np.ndarray, freq: np.ndarray, percent: int) -> tuple
     Sets of n and m shingles link if they differ in at most c * (n + m), c = (100 - percent) / (100 + percent). Differences of d and e
     shingles, the second not linked with the hub, so e > c * (m + |y|), share (d + e - c * (n + m)) / 2 or more: over (d - c * n + c * |y|) / 2.
     Seen from an unlinked set whose partner may be linked, they share over 0, by the triangle inequality, and (d - c * (n + |y|)) / 2 or more.
-    Order: added shingles, rare first, then those lacking, most frequent first, as few sets lack them; the latter are complemented.
+    Order: fewest sets first, by the counter of an added shingle and, for one lacking, what its counter is short of the hub's usual ones; the
+    latter are complemented.
     """
     more, less = np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)
     d, n, m, w = len(more) + len(less), len(x), len(y), 100 + percent
-    more = more[np.lexsort((more, freq[more & (COUNTERS - 1)]))]
-    less = less[np.lexsort((less, -freq[less & (COUNTERS - 1)]))]
+    usual = np.quantile(freq[y & (COUNTERS - 1)], 0.9)
+    found = np.concatenate([more, ~less])
+    rows = np.concatenate([freq[more & (COUNTERS - 1)], np.maximum(usual - freq[less & (COUNTERS - 1)], 1)])
     over = w * d - (100 - percent) * (n + m)
     short = max(0, d - (w * d - (100 - percent) * (n - m)) // (2 * w))
     long = d - max(1, -(-over // (2 * w))) + 1 if over > 0 else short
-    return over <= 0, np.concatenate([more, ~less])[:long], min(short, long)
+    return over <= 0, found[np.lexsort((found, rows))][:long], min(short, long)
 
 
 def _apart_from_hubs(docs: DataFrame, classes: DataFrame, live: DataFrame, shared, k: int, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -310,7 +312,7 @@ def _apart_from_hubs(docs: DataFrame, classes: DataFrame, live: DataFrame, share
     seen = stage(both.mapInArrow(differ, "cls bigint, hub bigint, n bigint, far boolean, near boolean, found array<bigint>, short int"), "differences")
     settled = seen.groupBy("cls", "hub").agg(F.max("far").alias("far")).where("not far")
     left = met.withColumn("hub", F.col("h.cls")).join(settled, ["cls", "hub"], "left_anti").select(live.columns)
-    comp = met.select("cls", F.col("h.cls").alias("hub"), "comp", F.col("h.comp").alias("hub_comp")).distinct()
+    comp = met.select("cls", F.col("h.cls").alias("hub"), "comp", F.col("h.comp").alias("hub_comp")).groupBy("cls", "hub").agg(F.min("comp").alias("comp"), F.min("hub_comp").alias("hub_comp"))
     at = seen.join(comp, ["cls", "hub"]).withColumn("comp", F.expr("if(near, hub_comp, comp)"))
     rows = at.select("cls", "hub", "n", "comp", "near", "short", F.posexplode_outer("found").alias("at", "tok"))
     return stage(rows.selectExpr("tok", "cls", "n", "comp", "hub", "near", "at < short as short"), "apart"), stage(left, "live")
@@ -345,4 +347,4 @@ def _candidates(live: DataFrame, percent: int) -> DataFrame:
     y = tagged.select("tok", F.col("cls").alias("b"), F.col("n").alias("bn"), F.col("l").alias("bl"), F.col("comp").alias("bc"), "big")
     met = x.join(y, "tok").where("ac != bc and (bc = big or a < b)").where(f"100 * least(an, bn) >= {percent} * greatest(an, bn)")
     pair = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("al", "bl").alias("need"))
-    return pair.groupBy("a", "b").agg(F.count(F.lit(1)).alias("hits"), F.first("need").alias("need")).where("hits >= need").select("a", "b")
+    return pair.groupBy("a", "b").agg(F.count(F.lit(1)).alias("hits"), F.min("need").alias("need")).where("hits >= need").select("a", "b")
