@@ -35,6 +35,8 @@ _SAMPLED = 8
 CROWD = 8
 #: The rows of a shingle that at least so many classes share are compared by way of its hub; below it, listing the pairs costs less.
 HUB_CROWD = 16
+#: The rows of a crowded shingle are dealt into so many parts at most.
+SALTS = 64
 #: Up to so many ids, 16 MB, are broadcast to pick out rows; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -246,9 +248,16 @@ def _hubs(live: DataFrame, k: int) -> DataFrame:
 
 
 def _by_crowd(live: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The index rows of shingles that fewer than HUB_CROWD rows have now, and the others; those of one component alone are left out."""
-    now = live.groupBy("tok").agg(F.count(F.lit(1)).alias("_now"), F.min("comp").alias("_a"), F.max("comp").alias("_b")).where("_a < _b")
-    rows = stage(live.join(now.select("tok", "_now"), "tok"), "crowds")
+    """The index rows of shingles that fewer than HUB_CROWD rows have now, and the others; those of one component alone are left out.
+
+    The rows of a shingle are dealt by class into as many as SALTS parts, so that no task has all of a crowd; the counts that meet them are
+    repeated once a part, no more often than the shingle had rows at first.
+    """
+    parts = F.least(F.lit(SALTS), F.col("crowd"))
+    now = live.groupBy("tok").agg(F.count(F.lit(1)).alias("_now"), F.max("crowd").alias("crowd"), F.min("comp").alias("_a"), F.max("comp").alias("_b")).where("_a < _b")
+    repeated = now.select("tok", "_now", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("_salt"))
+    dealt = live.withColumn("_salt", F.pmod(F.xxhash64("cls"), parts)).repartition("tok", "_salt")
+    rows = stage(dealt.join(repeated, ["tok", "_salt"]), "crowds")
     return tuple(rows.where(test).select(live.columns) for test in (f"_now < {HUB_CROWD}", f"_now >= {HUB_CROWD}"))
 
 
