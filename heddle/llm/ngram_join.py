@@ -247,17 +247,21 @@ def _hubs(live: DataFrame, k: int) -> DataFrame:
     return live.join(score, "cls").groupBy("tok").agg(F.max_by(F.struct("cls", "comp", "n"), F.struct("score", F.xxhash64("cls", F.lit(k)))).alias("h"))
 
 
-def _by_crowd(live: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The index rows of shingles that fewer than HUB_CROWD rows have now, and the others; those of one component alone are left out.
+def _dealt(live: DataFrame, of: DataFrame) -> DataFrame:
+    """The index rows with what `of` says of their shingle, (tok, crowd, ...) with a row a shingle.
 
-    The rows of a shingle are dealt by class into as many as SALTS parts, so that no task has all of a crowd; the counts that meet them are
-    repeated once a part, no more often than the shingle had rows at first.
+    The rows of a shingle are dealt by class into as many as SALTS parts, so that no task has all of a crowd; the row of `of` is repeated
+    once a part, no more often than the shingle had rows at first.
     """
     parts = F.least(F.lit(SALTS), F.col("crowd"))
+    repeated = of.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1))).drop("crowd")
+    return live.withColumn("_salt", F.pmod(F.xxhash64("cls"), parts)).repartition("tok", "_salt").join(repeated, ["tok", "_salt"]).drop("_salt")
+
+
+def _by_crowd(live: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The index rows of shingles that fewer than HUB_CROWD rows have now, and the others; those of one component alone are left out."""
     now = live.groupBy("tok").agg(F.count(F.lit(1)).alias("_now"), F.max("crowd").alias("crowd"), F.min("comp").alias("_a"), F.max("comp").alias("_b")).where("_a < _b")
-    repeated = now.select("tok", "_now", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("_salt"))
-    dealt = live.withColumn("_salt", F.pmod(F.xxhash64("cls"), parts)).repartition("tok", "_salt")
-    rows = stage(dealt.join(repeated, ["tok", "_salt"]), "crowds")
+    rows = stage(_dealt(live, now.select("tok", "crowd", "_now")), "crowds")
     return tuple(rows.where(test).select(live.columns) for test in (f"_now < {HUB_CROWD}", f"_now >= {HUB_CROWD}"))
 
 
@@ -300,7 +304,8 @@ def _apart_from_hubs(docs: DataFrame, classes: DataFrame, live: DataFrame, share
     An id of several texts is settled when all of them are.
     """
     close = _close(percent)
-    met = stage(live.join(_hubs(live, k), "tok").where("cls != h.cls"), "met")
+    hubs = _hubs(live, k).join(live.groupBy("tok").agg(F.max("crowd").alias("crowd")), "tok")
+    met = stage(_dealt(live, hubs).where("cls != h.cls"), "met")
 
     def differ(batches):
         import xxhash
