@@ -19,33 +19,45 @@ from pyspark.sql import functions as F
 from .common import ship
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>", re.S)
-_ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 # Elements of HTML by kind.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style noscript template iframe textarea select svg math object canvas title".split())
+_RAW = frozenset("script style noscript template iframe textarea select svg object canvas title".split())
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
-_NOISE_TAGS = frozenset("nav footer aside form dialog menu button head search".split())
+_NOISE_TAGS = frozenset("nav footer aside dialog menu button head search".split())
 #: Words of a class, id or role that say an element is not the article.
 _NOISE_WORDS = frozenset("ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted recommended related respond share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
+#: Classes that tell of a page's state or layout, such as has-sidebar and comments-open.
+_STATE = re.compile(r"(?:has|with|without|no)[-_]|.*[-_](?:open|closed|enabled|disabled)\Z")
 _HEADINGS = frozenset("article main section".split())
 _CLOSED_BY = {"li": ("li", "ul ol menu".split()), "dd": ("dd dt", ["dl"]), "dt": ("dd dt", ["dl"]), "tr": ("tr td th", ["table"]), "td": ("td th", ["tr", "table"]), "th": ("td th", ["tr", "table"]), "option": ("option", ["select"])}
 
 
 def _noise(tag: str, attrs: dict[str, str], inside: bool) -> bool:
-    if tag in _NOISE_TAGS or tag == "header" and not inside or "hidden" in attrs or attrs.get("aria-hidden") == "true":
-        return True
-    words = re.split(r"[^a-z0-9]+", " ".join(attrs.get(k, "") for k in ("class", "id", "role")).lower())
-    return not _NOISE_WORDS.isdisjoint(words) or "display:none" in attrs.get("style", "").replace(" ", "").lower()
+    """Whether the element is noise whatever it holds."""
+    return tag in _NOISE_TAGS or tag == "header" and not inside or "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower()
+
+
+def _named_noise(tag: str, attrs: dict[str, str], inside: bool) -> bool:
+    """Whether the element is noise by its names, unless it holds the article. Names of html, body, main and article say nothing."""
+    if tag in ("html", "body", "main", "article") or attrs.get("role") == "main":
+        return False
+    names = [x for k in ("class", "id", "role") for x in attrs.get(k, "").lower().split() if not _STATE.match(x)]
+    words = set(re.split(r"[^a-z0-9]+", " ".join(names))) - ({"header"} if inside else set())
+    return tag == "form" or not _NOISE_WORDS.isdisjoint(words)
 
 
 def blocks(page: str | None) -> list[tuple[str, str, bool, bool]]:
     """(style path, text, within the article, cut by what its elements say) of each block with text, in page order.
 
-    Tolerant: end tags that match nothing are ignored, a block ends an open paragraph, and what is open at the end is closed.
+    Names (class, id, role, form) cut no element that holds the article, which is the article or main element with most text, one of main
+    first; where they would cut all that a page shows, they cut nothing. Tolerant: end tags that match nothing are ignored, a block ends an open paragraph, and what is open at the end is closed.
     """
     text = page or ""
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # tag, path, noise, article
-    out: list[tuple[str, str, bool, bool]] = []
+    stack: list[tuple] = [("", "", False, (), ())]  # tag, path, noise, numbers of the elements named as noise, of articles
+    out: list[tuple] = []
+    articles: list[list] = []  # within main, text length, elements named as noise around it
+    named = 0
     held: list[str] = []
 
     def flush() -> None:
@@ -56,7 +68,11 @@ def blocks(page: str | None) -> list[tuple[str, str, bool, bool]]:
                 k = len(stack) - 1
                 while k and stack[k][0] not in _BLOCK:
                     k -= 1
-                out.append((stack[k][1], words, stack[k][3], any(s[2] for s in stack[k:]) or stack[-1][2]))
+                _, _, noise, names, _ = stack[-1]
+                out.append((stack[k][1], words, bool(stack[k][4]), noise, names))
+                for n in stack[k][4]:
+                    if not noise and names == articles[n][2]:
+                        articles[n][1] += len(words)
 
     def close(to: int) -> None:
         if any(s[0] in _BLOCK for s in stack[to:]):
@@ -110,15 +126,24 @@ def blocks(page: str | None) -> list[tuple[str, str, bool, bool]]:
                         break
         if raw.endswith("/") and tag not in _BLOCK:
             continue
-        attrs = {a.lower(): _html.unescape(b or c or d) for a, b, c, d in _ATTR.findall(raw)} if "=" in raw else {}
-        if re.search(r"\bhidden\b(?!\s*=)", raw):
-            attrs["hidden"] = ""
-        _, path, noise, article = stack[-1]
+        attrs = {a.lower(): _html.unescape(b or c or d) for a, b, c, d in _ATTR.findall(raw)} if "=" in raw or "hidden" in raw.lower() else {}
+        _, path, noise, names, within = stack[-1]
+        noise = noise or _noise(tag, attrs, bool(within))
+        if _named_noise(tag, attrs, bool(within)):
+            named += 1
+            names = (*names, named)
+        main = tag == "main" or attrs.get("role") == "main"
+        if main or tag == "article":
+            articles.append([main or any(articles[n][0] for n in within), 0, names])
+            within = (*within, len(articles) - 1)
         name = tag + ("." + "_".join(sorted(attrs["class"].split())) if attrs.get("class") else "")
-        stack.append((tag, f"{path}>{name}" if tag in _BLOCK else path, noise or _noise(tag, attrs, article), article or tag in ("article", "main") or attrs.get("role") == "main"))
+        stack.append((tag, f"{path}>{name}" if tag in _BLOCK else path, noise, names, within))
     held.append(text[at:] if "<" not in text[at:] else re.sub(r"<[^>]*\Z", "", text[at:]))
     flush()
-    return out
+    holders = set(max(articles, key=lambda x: x[:2])[2]) if articles else set()
+    if all(x[3] or not holders.issuperset(x[4]) for x in out):
+        holders = set(range(1, named + 1))
+    return [(*x[:3], x[3] or not holders.issuperset(x[4])) for x in out]
 
 
 def _host(url: str | None) -> str:

@@ -235,6 +235,16 @@ def test_html_blocks():
     assert [x[1] for x in blocks("<p>a</div></p></b>b<script>")] == ["a", "b"]
 
 
+def test_html_noise_tests():
+    kept = lambda page: [x[1] for x in blocks(page) if not x[3]]
+    assert kept('<main class="overflow-hidden"><p>a</main>') == ["a"]
+    assert kept('<div style="overflow:hidden">b</div><p hidden>c<p title="hidden" data-hidden=1>d<p hidden="">e') == ["b", "d"]
+    page = '<div class=sidebar>no</div><article class="post comments-open"><header class="entry-header"><h1>T</h1></header><p>x <math><mi>E</mi><mo>=</mo><mi>m</mi></math> y<div class=related>no</div></article>'
+    assert kept(f'<body class="single comments-open has-sidebar">{page}') == ["T", "x E=m y"]
+    assert kept(f'<form><div id="page" class="header-fixed sidebar-right">{page}<div class=related><article>no</article></div></div></form><form>no</form>') == ["T", "x E=m y"]
+    assert kept("<div class=sidebar-right>all text</div>") == ["all text"] and kept("<div class=ad>no</div><p>z") == ["z"]
+
+
 def test_html_extract(spark, sf):
     pages = common.table(spark, sf, "pages")
     for r in extract(pages).collect():
