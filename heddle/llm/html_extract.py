@@ -1,9 +1,10 @@
 """Main text of web pages by a site style tree (Yi, Liu and Li, 2003).
 
-The DOMs of one host are merged: a style node is a path of elements with their classes. A node's presentation importance is the entropy
-of what it is divided into, its content importance that of the texts under it, over the host's pages. Nodes that show nearly the same on
-all pages carry little and are cut from each page. What an element says of itself (nav, footer, class "ad", ...) is cut before, and where
-a page marks its article or main element, that is the page's content: a host with copies of one article must not lose it.
+The DOMs of one host are merged: a style node is a path of elements with their classes. Text stands in leaves alone, so the leaves decide:
+a node's importance is the entropy of what the host's pages show there, a text's that it is not on most of them. Pages that show the same
+are one page, so that copies of an article do not make it unimportant. What an element says of itself (nav, footer, class "ad", ...) is cut
+before. An article or main element is a prior: what is in it stays unless the tree finds it unimportant, what is outside goes unless the
+tree finds it important; a page without one is all article.
 """
 
 from __future__ import annotations
@@ -155,58 +156,79 @@ def _node(path: str) -> int:
     return xxhash.xxh3_64_intdigest(path) - (1 << 63)
 
 
+def _keyed(host: str, page: str | None) -> tuple[bool, list[tuple[int, int, str, bool]]]:
+    """Whether the page marks its article; (style node of the host, text digest, text, kept by the prior) of each block that is not noise.
+
+    An odd node is kept by the prior.
+    """
+    found = [x for x in blocks(page) if not x[3]]
+    marked = any(x[2] for x in found)
+    return marked, [(_node(f"{host}\n{path}") & ~1 | (article or not marked), _node(words) or 1, words, article or not marked) for path, words, article, _ in found]
+
+
 def style_nodes(pages: DataFrame) -> DataFrame:
-    """(page_id, host, node, content) of each style node of each page: content digests what the page shows there."""
+    """(page_id, copy, node, words, content) of each style node of each page, and of each text there.
+
+    content digests what the page shows at the node and words is 0; a text's words is its digest. copy digests the whole page.
+    """
 
     def parse(batches):
         for b in batches:
             rows = []
             for key, url, page in zip(*(b.column(k).to_pylist() for k in range(3))):
-                shown: dict[str, list[str]] = {}
-                for path, words, _, noise in blocks(page):
-                    if not noise:
-                        shown.setdefault(path, []).append(words)
-                        up = path.rpartition(">")[0]  # presentation: which style comes next
-                        if up:
-                            shown.setdefault("?" + up, []).append(path)
-                host = _host(url)
-                rows += [(key, host, _node(path), _node("\n".join(x))) for path, x in shown.items()]
+                shown: dict[int, list[str]] = {}
+                _, found = _keyed(_host(url), page)
+                for node, _, text, _ in found:
+                    shown.setdefault(node, []).append(text)
+                copy = _node("\n".join(x[2] for x in found))
+                rows += [(key, copy, node, 0, _node("\n".join(x))) for node, x in shown.items()]
+                rows += [(key, copy, node, words, 0) for node, words in {x[:2] for x in found}]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.string(), pa.int64(), pa.int64()))], names=["page_id", "host", "node", "content"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["page_id", "copy", "node", "words", "content"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(parse, "page_id bigint, host string, node bigint, content bigint")
+    return pages.select("page_id", "url", "html").mapInArrow(parse, "page_id bigint, copy bigint, node bigint, words bigint, content bigint")
 
 
-def low_nodes(nodes: DataFrame, importance: float = 0.3, least_pages: int = 4) -> DataFrame:
-    """(host, node) of style nodes on at least `least_pages` pages whose entropy, over its most, is below `importance`."""
-    seen = nodes.groupBy("host", "node", "content").agg(F.count(F.lit(1)).alias("c"))
-    total = seen.groupBy("host", "node").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.log("c")).alias("s"))
-    return total.where(F.col("m") >= least_pages).where((F.log("m") - F.col("s") / F.col("m")) / F.log("m") < importance).select("host", "node")
+def overruled(nodes: DataFrame, importance: float = 0.3, least_pages: int = 4) -> DataFrame:
+    """(node, words) where the tree overrules the prior, of style nodes on at least `least_pages` different pages.
+
+    words is 0 for a node kept by the prior whose entropy, over its most, is below `importance`, and for one cut by the prior that is not
+    below it; else it is a text that so large a share of the node's pages show that less than `importance` is left.
+    """
+    seen = nodes.groupBy("node", "words", "content").agg(F.count_distinct("copy").alias("c"))
+    whole = F.col("words") == 0
+    often = F.when(~whole & (F.col("c") > least_pages * (1 - importance)), F.struct("words", "c"))
+    total = seen.groupBy("node").agg(F.sum(F.when(whole, F.col("c"))).alias("m"), F.sum(F.when(whole, F.col("c") * F.log("c"))).alias("s"), F.collect_list(often).alias("often"))
+    low = (F.log("m") - F.col("s") / F.col("m")) / F.log("m") < importance
+    texts = F.transform(F.filter("often", lambda x: 1 - x["c"] / F.col("m") < importance), lambda x: x["words"])
+    turned = F.concat(F.when(low == (F.col("node").bitwiseAND(1) == 1), F.array(F.lit(0).cast("long"))).otherwise(F.array().cast("array<bigint>")), texts)
+    return total.where(F.col("m") >= least_pages).select("node", F.explode(turned).alias("words"))
+
+
+def main_text(url: str | None, page: str | None, turned: set[int], least: float = 0.1) -> str:
+    """The page's text; `turned` holds node ^ words where the tree overrules. Where it would leave under `least` of a marked article, that stays whole."""
+    marked, found = _keyed(_host(url), page)
+    kept = [x for x in found if x[3] != (x[0] in turned) and x[0] ^ x[1] not in turned]
+    prior = [x for x in found if x[3]]
+    if marked and sum(len(x[2]) for x in kept if x[3]) < least * sum(len(x[2]) for x in prior):
+        kept = prior
+    return "\n".join(x[2] for x in kept)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of each row.
 
-    Null and empty html give an empty text; a page without an article keeps every block that is neither marked as something else nor low
-    in importance on its host. Null and repeated page ids keep a row each (rows of one id share what is cut on it); a null url is a host
-    of its own. Empty tables give empty ones; other columns are ignored. Whole pages of any length are read.
+    Null and empty html give an empty text. Null and repeated page ids keep a row each (rows of one id share what is cut on it); a null
+    url is a host of its own. Empty tables give empty ones; other columns are ignored. Whole pages of any length are read.
     """
     ship(pages.sparkSession)
     nodes = style_nodes(pages)
-    cut = nodes.join(low_nodes(nodes), ["host", "node"]).groupBy("page_id").agg(F.collect_set("node").alias("low")).withColumnRenamed("page_id", "_page")
-    source = pages.select(F.col("page_id").cast("long"), "url", "html").join(cut, F.col("page_id").eqNullSafe(F.col("_page")), "left")
+    turned = nodes.join(overruled(nodes), ["node", "words"]).groupBy("page_id").agg(F.collect_set(F.col("node").bitwiseXOR(F.col("words"))).alias("turned")).withColumnRenamed("page_id", "_page")
+    source = pages.select(F.col("page_id").cast("long"), "url", "html").join(turned, F.col("page_id").eqNullSafe(F.col("_page")), "left")
 
     def parse(batches):
         for b in batches:
-            texts = []
-            for page, low in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                found = [x for x in blocks(page) if not x[3]]
-                if any(x[2] for x in found):
-                    found = [x for x in found if x[2]]
-                elif low:
-                    low = set(low)
-                    found = [x for x in found if _node(x[0]) not in low]
-                texts.append("\n".join(x[1] for x in found))
+            texts = [main_text(url, page, set(turned or ())) for url, page, turned in zip(*(b.column(k).to_pylist() for k in range(1, 4)))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return source.select("page_id", "url", "html", "low").mapInArrow(parse, "page_id bigint, url string, text string, n_chars bigint")
+    return source.select("page_id", "url", "html", "turned").mapInArrow(parse, "page_id bigint, url string, text string, n_chars bigint")

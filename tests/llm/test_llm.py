@@ -258,6 +258,16 @@ def test_html_extract(spark, sf):
     assert extract(pages.limit(0)).count() == 0
 
 
+def test_html_tree_decides_in_articles(spark):
+    """The tree cuts an unlabelled notice within articles and keeps real text outside; copied articles stay."""
+    page = lambda i, k: f"<div class=lead>Lead of story {i}</div><div class=top>Welcome to us all</div><article><h1>Story {k}</h1><p>Own words {k} {'w' * k}<p>Same plain words<div class=x>Same notice on all pages</div></article>"
+    rows = [(i, f"http://h.example/{i}", page(i, i)) for i in range(12)] + [(100 + i, f"http://c.example/{i}", "<article><h1>Copied</h1><p>One text</article>") for i in range(12)]
+    rows += [(200 + i, f"http://n.example/{i}", f"<article><p>date {i}<div>One long text of all these pages that is copied, {'word ' * 40}</div></article>") for i in range(12)]
+    text = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(text[i] == f"Lead of story {i}\nStory {i}\nOwn words {i} {'w' * i}".strip() for i in range(12))
+    assert all(text[100 + i] == "Copied\nOne text" and text[200 + i].startswith(f"date {i}\nOne long text") for i in range(12))
+
+
 def test_decontaminate(spark, sf):
     got = {(r.doc_id, r.item_id) for r in queries.op8_decontaminate(spark, sf).collect()}
     items = common.table(spark, sf, "benchmark").collect()
