@@ -1,8 +1,8 @@
 """Benchmark decontamination by spaced seeds (Ma, Tromp and Li, 2002), with DataFrame functions alone.
 
-A fixed mask reads six of eight neighbouring words and ignores two, so a hit survives substitutions at the ignored places; three masks
-cover different ones. Test and training hashes are joined; each hit fixes an alignment of the document with the item, and the words that
-agree along the whole item are counted there. A document's words stay beside its hashes, so hits are verified without another shuffle.
+A fixed mask reads six of eight neighbouring words and ignores two, so a hit survives substitutions at the ignored places; the masks
+ignore two words at each distance from one to five. Test and training hashes are joined; each hit fixes an alignment of the document with
+the item, where the words that agree are counted along the whole item and along each run of it. Items shorter than a mask are matched whole. A document's words stay beside its hashes, so hits are verified without another shuffle.
 """
 
 from __future__ import annotations
@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from .common import once
 
 #: Places that each mask reads.
-MASKS = ((0, 1, 2, 4, 5, 7), (0, 1, 3, 4, 6, 7), (0, 2, 3, 5, 6, 7))
+MASKS = ((0, 1, 2, 4, 5, 7), (0, 1, 3, 4, 6, 7), (0, 2, 3, 5, 6, 7), (0, 1, 2, 5, 6, 7), (0, 1, 2, 4, 6, 7), (0, 1, 3, 4, 5, 7), (0, 2, 3, 4, 5, 7))
 SPAN = 8
+#: A run of so many words of an item, of which at most so many are substituted, is an overlap however long the item.
+RUN, RUN_CHANGES = 13, 2
 #: Up to so many item hashes, 64 MB, are broadcast; more are joined by a shuffle of hashes.
 BROADCAST_ROWS = 1_000_000
 
@@ -35,11 +37,13 @@ def seeds(rows: DataFrame, words: str, at: str) -> DataFrame:
 def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, matched_words, item_words, doc_word) of each document and item that overlap.
 
-    They overlap when at least `share` of the item's words agree at one alignment, any of them substituted; doc_word is where the item
-    would start (the best alignment's; of equal ones the first). Null and empty texts overlap with nothing, nor do texts or items of
-    fewer than eight words. Rows that repeat an id are one document; those without an id come under null. Other columns are ignored.
+    They overlap when at one alignment at least `share` of the item's words agree, any of them substituted, or all but RUN_CHANGES of RUN
+    words in a row. doc_word is where the item would start, below 0 where the document has only a later part of it (the best alignment's;
+    of equal ones the first). An item of fewer than eight words overlaps where all its words stand in a row. Null and empty texts overlap
+    with nothing, nor do texts of fewer than eight words with longer items. Rows that repeat an id are one document; those without an id come under null. Other columns are ignored.
     """
-    items = benchmark.select("item_id", once(word_hashes(F.col("text"))).alias("_iw")).where(F.size("_iw") >= SPAN)
+    every = benchmark.select("item_id", once(word_hashes(F.col("text"))).alias("_iw"))
+    items = every.where(F.size("_iw") >= SPAN)
     index = seeds(items, "_iw", "_ip").select("seed", F.col("item_id"), "_ip").distinct()
     small = index.count() <= BROADCAST_ROWS
     hint = F.broadcast if small else (lambda df: df)
@@ -51,8 +55,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.5, id_c
     else:
         hits = hits.join(hint(index), "seed")
     hits = hits.join(hint(items), "item_id").withColumn("doc_word", F.col("_dp") - F.col("_ip"))
-    agree = F.size(F.filter(F.sequence(F.lit(0), F.size("_iw") - 1), lambda k: F.get("_dw", F.col("doc_word") + k) == F.get("_iw", k)))
-    scored = hits.select(F.col("_id").alias(id_col), "item_id", "doc_word", F.size("_iw").alias("item_words"), agree.alias("matched_words"))
-    met = scored.where(F.col("matched_words") >= F.greatest(F.lit(len(MASKS[0])), F.ceil(F.col("item_words") * share)))
+    flags = F.transform(F.sequence(F.lit(0), F.size("_iw") - 1), lambda k: F.coalesce(F.get("_dw", F.col("doc_word") + k) == F.get("_iw", k), F.lit(False)))
+    scored = hits.select(F.col("_id").alias(id_col), "item_id", "doc_word", F.size("_iw").alias("item_words"), once(flags).alias("_flags"))
+    count = lambda x: F.size(F.filter(x, lambda f: f))
+    scored = scored.withColumn("matched_words", count(F.col("_flags")))
+    runs = F.when(F.col("item_words") >= RUN, F.sequence(F.lit(1), F.col("item_words") - RUN + 1))
+    run = F.exists(runs, lambda k: count(F.slice("_flags", k, F.lit(RUN))) >= RUN - RUN_CHANGES)
+    least = F.greatest(F.lit(len(MASKS[0])), F.ceil(F.col("item_words") * share))
+    met = scored.where((F.col("matched_words") >= least) | F.coalesce(run, F.lit(False))).drop("_flags")
+    short = every.where(F.size("_iw").between(1, SPAN - 1)).withColumn("item_words", F.size("_iw")).withColumn("seed", F.xxhash64("_iw"))
+    if lengths := sorted(r[0] for r in short.select("item_words").distinct().collect()):
+        phrase = lambda n: F.transform(F.sequence(F.lit(0), F.size("_dw") - n), lambda k: F.struct(k.alias("at"), F.xxhash64(F.slice("_dw", k + 1, F.lit(n))).alias("seed")))
+        empty = F.array().cast("array<struct<at:int,seed:bigint>>")
+        phrases = F.concat(*[F.when(F.size("_dw") >= n, phrase(n)).otherwise(empty) for n in lengths])
+        placed = source.select("_id", "_dw", F.explode(phrases).alias("p")).select("_id", "_dw", F.col("p.at").alias("doc_word"), F.col("p.seed").alias("seed"))
+        whole = placed.join(short, "seed").where(F.slice("_dw", F.col("doc_word") + 1, F.col("item_words")) == F.col("_iw"))
+        met = met.unionByName(whole.select(F.col("_id").alias(id_col), "item_id", "doc_word", "item_words", F.col("item_words").alias("matched_words")))
     best = met.groupBy(id_col, "item_id").agg(F.max_by(F.struct("matched_words", "doc_word"), F.struct("matched_words", -F.col("doc_word"))).alias("b"), F.max("item_words").alias("item_words"))
     return best.select(id_col, "item_id", F.col("b.matched_words").alias("matched_words"), "item_words", F.col("b.doc_word").alias("doc_word"))

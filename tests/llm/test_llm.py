@@ -290,6 +290,25 @@ def test_decontaminate(spark, sf):
     assert contaminated(docs.limit(0), bench).count() == contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_decontaminate_passages(spark):
+    words = [f"w{i}" for i in range(59)]
+    fourth = lambda k: " ".join(w if i % 4 != k else f"other{i}" for i, w in enumerate(words))
+    few = [w if i % 6 != 3 else "no" for i, w in enumerate(words[30:45])]
+    texts = ["pad " * 20 + " ".join(words[20:45]) + " pad" * 20, *map(fourth, range(4)), " ".join(["pad", *few, "pad"]), " ".join(words[:9]), "so What is it? yes", "it is what", "tiny"]
+    docs = spark.createDataFrame([(i, t, 0, "", 0) for i, t in enumerate(texts)], DOCS)
+    bench = spark.createDataFrame([(1, " ".join(words)), (2, "what is it"), (3, "Tiny"), (4, "?")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.matched_words, r.item_words, r.doc_word) for r in contaminated(docs, bench).collect()}
+    assert got[0, 1] == (25, 59, 0) and got[5, 1] == (13, 59, -29) and got[7, 2] == (3, 3, 1) and got[9, 3] == (1, 1, 0)
+    assert set(got) == {(i, 1) for i in range(6)} | {(7, 2), (9, 3)}
+    import heddle.llm.decontaminate as m
+
+    old, m.BROADCAST_ROWS = m.BROADCAST_ROWS, 0
+    try:
+        assert {(r.doc_id, r.item_id): (r.matched_words, r.item_words, r.doc_word) for r in contaminated(docs, bench).collect()} == got
+    finally:
+        m.BROADCAST_ROWS = old
+
+
 def jaccard_roots(texts, size, percent):
     sets = []
     for x in texts:
