@@ -21,17 +21,30 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return score(docs, model, name="_score").where("_score < 0.7").select(*docs.columns)
 
 
+def row_keys(docs: DataFrame) -> DataFrame:
+    """The rows with `_key`, a digest of id and text: rows share one only where they are the same document."""
+    return docs.withColumn("_key", F.xxhash64("doc_id", F.col("doc_id").isNull(), "text", F.col("text").isNull()))
+
+
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies (five-word shingles, 0.8) the row of least id; of rows that repeat that id one."""
-    firsts = ngram_components(docs, size=5, percent=80).where("doc_id = component_id").select("doc_id").distinct()
-    one = docs.where("doc_id is not null").join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """Of each component of near copies (five-word shingles, 0.8) the row of least id, rows without an id last; of rows of the same id and text one.
+
+    Rows with neither an id nor words are copies of nothing and stay.
+    """
+    keyed = row_keys(docs)
+    comps = ngram_components(keyed, size=5, percent=80, id_col="_key").select(F.col("_key").alias("_of"), "component_id").distinct()
+    ranked = keyed.select("_key", "doc_id").distinct().join(comps, F.col("_key") == F.col("_of"))
+    best = ranked.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_key")).alias("b")).select(F.col("b._key").alias("_key"))
+    bare = F.col("doc_id").isNull() & ~F.coalesce(F.col("text"), F.lit("")).rlike(r"\S")
+    one = keyed.where(~bare).join(best, "_key", "left_semi").dropDuplicates(["_key"])
+    return one.select(*docs.columns).unionByName(docs.where(bare))
 
 
 def remove_benchmark_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap with no benchmark item."""
-    hit = contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("_hit")), "left_anti")
+    """Rows that overlap with no benchmark item, whatever other rows of their id do."""
+    keyed = row_keys(docs)
+    hit = contaminated(keyed, table(spark, sf_dir, "benchmark"), id_col="_key").select("_key").distinct()
+    return keyed.join(hit, "_key", "left_anti").select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

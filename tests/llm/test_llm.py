@@ -7,6 +7,7 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from heddle.llm import common, license_scan, queries
@@ -416,3 +417,21 @@ def test_pipeline(spark, tok):
         assert odd.columns == docs.columns
     assert odd.count() == 4
     assert p.pack_sequences(spark, odd.limit(0), sf).count() == 0
+
+
+def test_pipeline_decides_by_row(spark):
+    """Clean rows without an id, or with an id that other texts repeat, stay."""
+    import corpus_pipeline as p
+
+    sf = "/root/testdata/sf0.001"
+    item = common.table(spark, sf, "benchmark").orderBy("item_id").first().text
+    texts = {k: " ".join(f"{k}{i}" for i in range(40)) for k in "abcde"}
+    rows = [(3, texts["a"]), (5, texts["a"]), (5, texts["b"]), (None, texts["c"]), (None, texts["d"]), (None, texts["d"]), (None, texts["a"]), (6, texts["e"]), (6, item), (None, item), (None, ""), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], common.table(spark, sf, "documents").schema)
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    for again in (docs, docs.orderBy(F.desc("text"))):
+        one = common.stage(p.keep_one_of_near_copies(spark, again, sf), "t")
+        got = sorted(((r.doc_id, r.text) for r in one.collect()), key=key)
+        assert got == sorted([(3, texts["a"]), (5, texts["b"]), (None, texts["c"]), (None, texts["d"]), (6, texts["e"]), (6, item), (None, ""), (None, "")], key=key)
+    left = sorted(((r.doc_id, r.text) for r in p.remove_benchmark_text(spark, docs, sf).collect()), key=key)
+    assert left == sorted([r for r in rows if r[1] != item], key=key)
