@@ -32,6 +32,13 @@ def test_query(name, spark, sf, db):
         assert rows(got) == rows(db.execute(ORACLE_SQL[name]).df())
 
 
+def test_rule_foreign_key_reads_every_customer(spark, tmp_path):
+    spark.createDataFrame([(i,) for i in range(1, 12)], "c_custkey long").write.parquet(f"file://{tmp_path}/customer.parquet")
+    spark.createDataFrame([(i,) for i in (1, 2, 4, 6, 8, 9, 11)], "o_custkey long").write.parquet(f"file://{tmp_path}/orders.parquet")
+    got = QUERIES["rule_foreign_key"](spark, str(tmp_path)).collect()
+    assert sorted(r.c_custkey for r in got) == [3, 5, 7, 10]
+
+
 def test_merge_into_rejects_two_matches(spark):
     with pytest.raises(Exception, match="more than one source row"):
         merge.merge_into(spark.createDataFrame([(1, 2)], "k int, v int"), spark.createDataFrame([(1, 3), (1, 4)], "k int, v int"), ["k"]).collect()
