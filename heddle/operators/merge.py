@@ -85,11 +85,11 @@ def salted_join(large: DataFrame, small: DataFrame, key: str, salts: int = 8) ->
     return l.join(r, [key, "_salt"]).drop("_salt")
 
 
-def mask(df: DataFrame, patterns: dict[str, str], sample: int = 1000, share: float = 0.5) -> DataFrame:
-    """Mask string columns of which at least `share` of up to `sample` values fit one of the patterns; one pass for all columns."""
+def mask(df: DataFrame, patterns: dict[str, str], share: float = 0.5) -> DataFrame:
+    """Mask string columns of which at least `share` of the values that are not null fit one of the patterns; one pass for all columns."""
     names = [f.name for f in df.schema if f.dataType.simpleString() == "string"]
     if not names:
         return df
     any_of = lambda c: F.lit(False) if not patterns else F.coalesce(F.greatest(*[F.col(c).rlike(p).cast("int") for p in patterns.values()], F.lit(0)), F.lit(0)) == 1
-    hits = df.select(*names).limit(sample).agg(*[F.avg(F.when(F.col(c).isNotNull(), any_of(c).cast("double"))).alias(c) for c in names]).first()
+    hits = df.agg(*[F.avg(F.when(F.col(c).isNotNull(), any_of(c).cast("double"))).alias(c) for c in names]).first()
     return df.withColumns({c: F.mask(F.col(c)) for c in names if (hits[c] or 0) >= share})

@@ -44,6 +44,12 @@ def test_merge_into_rejects_two_matches(spark):
         merge.merge_into(spark.createDataFrame([(1, 2)], "k int, v int"), spark.createDataFrame([(1, 3), (1, 4)], "k int, v int"), ["k"]).collect()
 
 
+def test_mask_reads_every_value(spark):
+    late = spark.range(5000).selectExpr("id", "case when id >= 4000 then 'Customer#1' end as sparse", "case when id < 1200 then 'x' else 'Customer#1' end as late", "case when id < 1200 then 'Customer#1' else 'x' end as early", "cast(null as string) as none")
+    got = merge.mask(late.coalesce(1), {"customer": r"^Customer#\d+$"}).where("id = 4500").first()
+    assert got.asDict() == {"id": 4500, "sparse": "Xxxxxxxx#n", "late": "Xxxxxxxx#n", "early": "x", "none": None}
+
+
 def test_scd2_null_changes(spark):
     dim = spark.createDataFrame([(1, None, "2020-01-01", None, True), (2, "a", "2020-01-01", None, True)], "k int, v string, start_date string, end_date string, is_current boolean")
     dim = dim.withColumn("start_date", F.col("start_date").cast("date")).withColumn("end_date", F.col("end_date").cast("date"))
