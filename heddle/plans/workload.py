@@ -53,9 +53,18 @@ def _(t):
     return t.customer.select("c_custkey", fn.quality_score([c("c_acctbal") > 0, c("c_mktsegment") == "HOUSEHOLD"]).alias("score"))
 
 
+def dates_as_text(key, day):
+    """Dates as text in each of parse_date's formats, by key."""
+    formats = ("yyyy-MM-dd", "MM/dd/yyyy", "dd-MMM-yyyy")
+    text = F.when(key % 4 == 3, F.date_format(day, "yyyyMMdd"))
+    for k, f in enumerate(formats):
+        text = text.when(key % 4 == k, F.date_format(day, f))
+    return text
+
+
 @query("prj_parse_dates", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders WHERE o_orderkey < 500")
 def _(t):
-    text = F.when(c("o_orderkey") % 3 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).when(c("o_orderkey") % 3 == 1, F.date_format("o_orderdate", "MM/dd/yyyy")).otherwise(F.date_format("o_orderdate", "yyyyMMdd"))
+    text = dates_as_text(c("o_orderkey"), c("o_orderdate"))
     return t.orders.where("o_orderkey < 500").select("o_orderkey", F.date_format(fn.parse_date(text), "yyyy-MM-dd").alias("day"))
 
 

@@ -1,5 +1,6 @@
 import glob
 import os
+import re
 import zipfile
 
 import duckdb
@@ -7,9 +8,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from heddle import sources, streaming
+from heddle import functions, sources, streaming
 from heddle.operators import merge, quality
-from heddle.plans import ORACLE_SQL, QUERIES
+from heddle.plans import ORACLE_SQL, QUERIES, workload
 
 
 @pytest.fixture(scope="module")
@@ -50,6 +51,14 @@ def test_mask_reads_every_value(spark):
     assert got.asDict() == {"id": 4500, "sparse": "Xxxxxxxx#n", "late": "Xxxxxxxx#n", "early": "x", "none": None}
 
 
+def test_all_date_formats_over_all_orders(spark, sf):
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    text = orders.select("o_orderdate", workload.dates_as_text(F.col("o_orderkey"), F.col("o_orderdate")).alias("x"))
+    got = text.select("x", (functions.parse_date(F.col("x")) == F.col("o_orderdate").cast("date")).alias("same")).collect()
+    assert all(r.same for r in got) and len(got) == orders.count()
+    assert {re.sub("[A-Za-z]", "a", re.sub("[0-9]", "0", r.x)) for r in got} == {"0000-00-00", "00/00/0000", "00-aaa-0000", "00000000"}
+
+
 def test_scd2_null_changes(spark):
     dim = spark.createDataFrame([(1, None, "2020-01-01", None, True), (2, "a", "2020-01-01", None, True)], "k int, v string, start_date string, end_date string, is_current boolean")
     dim = dim.withColumn("start_date", F.col("start_date").cast("date")).withColumn("end_date", F.col("end_date").cast("date"))
