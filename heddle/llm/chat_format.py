@@ -32,8 +32,9 @@ def chat_windows(turns: DataFrame, budget: int = 1024, history: int = 128) -> Da
     """(conv_id, window, formatted, n_context, loss, tokens) a window.
 
     formatted is the window's text, n_context how many turns at its start are repeated, loss the array of (start, length) in code points.
-    A turn's tokens are estimated at a quarter of its formatted code points. A window takes at most `budget` tokens, but a turn that
-    cannot share one stands alone with its context, whole. Turns go by (turn, role, text); nulls first; repeated turns all stay. Null
+    A turn's tokens are estimated at a quarter of its formatted code points. A window takes at most `budget` tokens, but a turn larger than
+    that leaves to own turns stands alone with its context, whole. A turn of over half of it opens a window and shares it with the turns
+    that follow as far as they fit. Turns go by (turn, role, text); nulls first; repeated turns all stay. Null
     text and role are empty; a null conv_id is a conversation of its own. A first turn of role system is the system turn. Empty tables
     give empty ones; other columns are ignored.
     """
@@ -44,16 +45,23 @@ def chat_windows(turns: DataFrame, budget: int = 1024, history: int = 128) -> Da
     order = conv.orderBy("turn", "role", "text")
     t = t.withColumn("seq", F.row_number().over(order)).withColumn("stop", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     system = F.first(F.when((F.col("seq") == 1) & (F.col("role") == "system"), F.struct("part", "size"))).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    t = t.withColumn("system", system).withColumn("largest", F.max("size").over(conv))
-    room = F.lit(budget - history) - F.coalesce("system.size", F.lit(0)) - F.col("largest")
-    # Turns end in the same stretch of `room` tokens: with the one that began before it, they stay within room + largest.
-    t = t.withColumn("window", F.when(room > 0, F.floor((F.col("stop") - 1) / F.greatest(room, F.lit(1)))).otherwise(F.col("seq")).cast("long"))
+    t = t.withColumn("system", system).withColumn("own", F.lit(budget - history) - F.coalesce("system.size", F.lit(0))).withColumn("large", F.col("size") * 2 > F.col("own"))
+    # A large turn opens a stretch, the rest of which is smaller turns; each stretch is cut by its own prefix sums.
+    t = t.withColumn("stretch", F.sum(F.col("large").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    stretch = Window.partitionBy("conv_id", "stretch")
+    t = t.withColumn("reach", F.sum("size").over(stretch.orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)))
+    opened = F.greatest("own", F.max(F.when(F.col("large"), F.col("size"))).over(stretch))
+    room = F.greatest(F.col("own") - F.max(F.when(~F.col("large"), F.col("size"))).over(stretch), F.lit(1))
+    # What fits with the stretch's first turn is its first window. After it turns end in the same span of `room` tokens: with the one that
+    # began before it, they stay within room and the largest of them.
+    t = t.withColumn("opened", opened).withColumn("room", room)
+    t = t.withColumn("slot", F.when(F.col("reach") <= F.col("opened"), 0).otherwise(1 + F.floor((F.col("reach") - F.col("opened") - 1) / F.col("room"))))
+    t = t.withColumn("window", F.min("seq").over(Window.partitionBy("conv_id", "stretch", "slot")).cast("long"))
     later = conv.orderBy("window").rangeBetween(1, Window.unboundedFollowing)
     t = t.withColumn("start", F.col("stop") - F.col("size")).withColumn("next", F.min("window").over(later)).withColumn("next_start", F.min("start").over(later))
-    t = t.withColumn("first", F.min("seq").over(Window.partitionBy("conv_id", "window")))
     own = F.struct(F.col("window").alias("w"), F.lit(2).alias("kind"), F.col("part").alias("p"))
     again = F.when((F.col("next_start") - F.col("start") <= history) & ~((F.col("seq") == 1) & F.col("system").isNotNull()), F.struct(F.col("next").alias("w"), F.lit(1).alias("kind"), F.col("part").alias("p")))
-    opening = F.when((F.col("seq") == F.col("first")) & (F.col("seq") > 1) & F.col("system").isNotNull(), F.struct(F.col("window").alias("w"), F.lit(0).alias("kind"), F.col("system.part").alias("p")))
+    opening = F.when((F.col("seq") == F.col("window")) & (F.col("seq") > 1) & F.col("system").isNotNull(), F.struct(F.col("window").alias("w"), F.lit(0).alias("kind"), F.col("system.part").alias("p")))
     rows = t.select("conv_id", "seq", "role", F.length("head").alias("head"), F.length("body").alias("body"), F.explode(F.filter(F.array(own, again, opening), lambda x: x.isNotNull())).alias("x"))
     rows = rows.select("conv_id", "seq", "role", "head", "body", F.col("x.w").alias("window"), F.col("x.kind").alias("kind"), F.col("x.p").alias("part"))
     inside = Window.partitionBy("conv_id", "window").orderBy("kind", "seq").rowsBetween(Window.unboundedPreceding, -1)

@@ -229,6 +229,21 @@ def test_chat_windows(spark):
     assert all(r[0] == r[1] and "<" not in r[2] and "[" not in r[2] for r in odd.select("x", unescape(escape(odd.x)), escape(odd.x)).collect())
 
 
+def test_chat_large_turns(spark):
+    """Large turns stand alone or open windows; what is around them still shares windows and history."""
+    small = [(1, i, ("user", "assistant")[i % 2], f"turn {i} " + "word " * 10) for i in range(60)]
+    sizes = {20: 9000, 41: 3100}
+    rows = [(c, t, r, "x" * sizes[t] if t in sizes else x) for c, t, r, x in small]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    windows = chat_windows(turns)
+    got = sorted((w for w in windows.collect()), key=lambda w: w.window)
+    read = {r.window: [t[1] for t in r.turns] for r in read_windows(windows).collect()}
+    assert [x for w in got for x in read[w.window]] == [r[3] for r in rows]
+    assert all(w.tokens <= 1024 for w in got if rows[20][3] not in read[w.window]) and len(got) <= 7
+    assert [len(read[w.window]) for w in got if rows[20][3] in read[w.window]] == [1]
+    assert [len(read[w.window]) > 1 for w in got if rows[41][3] in read[w.window]] == [True]
+
+
 def test_html_blocks():
     page = "<nav><ul><li><a href='/x'>Menu</a></ul></nav><div class='ad'>Buy</div><article><header><h1>T&amp;tle</h1></header><p><b>One\n  two<br>three<p>Four &lt;x&gt; &am<div class=comments><p>no</div><ul><li>a<li>b</ul><script>var x='</p>'</script><!-- <p>x --></article><footer>F</footer><p>out"
     assert [x[1] for x in blocks(page) if x[2] and not x[3]] == ["T&tle", "One two three", "Four <x> &am", "a", "b"]
