@@ -31,7 +31,8 @@ def group_lengths(hist: dict[int, int], k: int) -> list[tuple[int, list[list[int
         n = hist[length]
         while n:
             if not room:
-                groups.append((length, []))
+                if not groups or groups[-1][0] != length:  # groups that round to one length are one
+                    groups.append((length, []))
                 room = size
             take = min(n, room)
             groups[-1][1].append([length, take])
@@ -39,59 +40,66 @@ def group_lengths(hist: dict[int, int], k: int) -> list[tuple[int, list[list[int
     return groups
 
 
-def _best_pair(duals: np.ndarray, fits: np.ndarray, single: np.ndarray) -> np.ndarray:
-    """The column of most dual value of one or two sizes."""
-    both = np.where(fits, duals[:, None] + duals[None, :], -1.0)
-    i, j = divmod(int(both.argmax()), len(duals))
-    one = int(duals.argmax())
-    return single[i] + single[j] if both[i, j] > duals[one] else single[one]
-
-
-def _best_column(duals: np.ndarray, s: np.ndarray, capacity: int) -> np.ndarray:
-    """The same of any number of sizes: an unbounded knapsack."""
-    value, pick = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    for c in range(int(s.min()), capacity + 1):
-        fit = np.where(s <= c, value[np.maximum(c - s, 0)] + duals, -1.0)
-        i = int(fit.argmax())
-        value[c], pick[c] = (fit[i], i) if fit[i] > value[c - 1] + 1e-12 else (value[c - 1], -1)
-    column, c = np.zeros(len(s)), capacity
-    while c > 0:
-        if pick[c] < 0:
-            c -= 1
-        else:
+def _best_column(duals: np.ndarray, s: np.ndarray, capacity: int, left: np.ndarray) -> np.ndarray:
+    """The column of most dual value: a knapsack of one more document a level.
+
+    `left[i, c]` is the place of c - s[i] among the values, after the sentinels. The last level is asked for at the capacity alone and the
+    one before it where one size is left out, so that only the levels between, if any, are filled at every length.
+    """
+    width, levels, k = int(s.max()), capacity // int(s.min()), len(s)
+    value, picks = np.concatenate([np.full(width, -np.inf), np.zeros(capacity + 1)]), []
+    for level in range(1, levels + 1):
+        at = np.array([capacity]) if level == levels else np.unique(capacity - s) if level == levels - 1 else np.arange(capacity + 1)
+        more = duals[:, None] + value[left if len(at) > k else left[:, at]]
+        pick = more.argmax(0)
+        best = more[pick, np.arange(len(at))]
+        better = best > value[width + at] + 1e-12
+        chosen = np.full(capacity + 1, -1)
+        chosen[at] = np.where(better, pick, -1)
+        picks.append(chosen)
+        value[width + at] = np.where(better, best, value[width + at])
+    column, c = np.zeros(k), capacity
+    for pick in reversed(picks):
+        if pick[c] >= 0:
             column[pick[c]] += 1
             c -= s[pick[c]]
     return column
 
 
-def best_configurations(sizes: list[int], demand: list[int], capacity: int, rounds: int = 5000) -> list[tuple[tuple[int, ...], int]]:
-    """Whole bins of the configuration programme: (how many of each size, bins), the fractional optimum rounded down."""
+def best_configurations(sizes: list[int], demand: list[int], capacity: int, rounds: int = 20_000, gap: float = 2e-4) -> list[tuple[tuple[int, ...], int]]:
+    """Whole bins of the configuration programme: (how many of each size, bins), rounded down; the fractional bins are within `gap` of the least."""
     k = len(sizes)
     if not k:
         return []
     s, d = np.array(sizes), np.array(demand, float)
     basis = np.diag((capacity // s).astype(float))
-    pairs = 3 * int(s.min()) > capacity  # then no bin has more than two
-    fits, single = s[:, None] + s[None, :] <= capacity, np.eye(k)
-    x = np.linalg.solve(basis, d)
-    for _ in range(rounds):
-        duals = np.linalg.solve(basis.T, np.ones(k))
-        column = _best_pair(duals, fits, single) if pairs else _best_column(duals, s, capacity)
-        if column @ duals <= 1 + 1e-9:
+    left = np.arange(capacity + 1)[None, :] - s[:, None] + int(s.max())
+    for at in range(rounds):
+        if at % 64 == 0:  # between, the inverse is kept by pivots
+            inverse = np.linalg.inv(basis)
+            x = np.maximum(inverse @ d, 0)
+        duals = inverse.sum(0)
+        column = _best_column(duals, s, capacity, left)
+        if column @ duals <= 1 + gap:
             break
-        move = np.linalg.solve(basis, column)
+        move = inverse @ column
         ratio = np.where(move > 1e-9, x / np.where(move > 1e-9, move, 1), np.inf)
         out = int(ratio.argmin())
         basis[:, out] = column
-        x = np.linalg.solve(basis, d)
-        x[(x < 0) & (x > -1e-6)] = 0
+        step = ratio[out]
+        x = np.maximum(x - step * move, 0)
+        x[out] = step
+        pivot = inverse[out] / move[out]
+        inverse -= np.outer(move, pivot)
+        inverse[out] = pivot
+    x = np.linalg.solve(basis, d)
     return [(tuple(int(v) for v in basis[:, j]), int(x[j] + 1e-9)) for j in range(k) if x[j] + 1e-9 >= 1]
 
 
 class Plan:
     """Bins of equal content, kept as (bins, [(length, times), ...]); filled from a histogram of lengths."""
 
-    def __init__(self, hist: dict[int, int], capacity: int, small: float = 0.4, groups: int = 400):
+    def __init__(self, hist: dict[int, int], capacity: int, small: float = 0.2, groups: int = 150):
         self.capacity, self.open, self.bins = capacity, defaultdict(list), 0
         self.closed: list[tuple[int, list[tuple[int, int]]]] = []
         hist = {int(k): int(v) for k, v in hist.items() if v}
