@@ -24,6 +24,10 @@ _RUN = 500
 _ENCODERS: dict[str, Encoder] = {}
 
 
+def _bytes(pieces) -> int:
+    return 150 * len(pieces) + 2 * sum(map(len, pieces))
+
+
 def encoder(path: str) -> Encoder:
     """One encoder a worker and file."""
     use("encoder", _ENCODERS.clear)
@@ -33,9 +37,12 @@ def encoder(path: str) -> Encoder:
 
 
 class Encoder:
-    """ids as little-endian unsigned 32-bit bytes; a cache is emptied at max_cached entries, about 200 MB."""
+    """ids as little-endian unsigned 32-bit bytes.
+
+    A cache whose entries come to `most_bytes` keeps those of the texts at hand alone: the usual words are among them.
+    """
 
-    def __init__(self, path: str, max_cached: int = 1_000_000):
+    def __init__(self, path: str, most_bytes: int = 80 << 20):
         self.sp = None
         if path.endswith(".model"):
             import sentencepiece
@@ -44,7 +51,7 @@ class Encoder:
             return
         from tokenizers import Tokenizer
 
-        self.tok, self.max_cached = Tokenizer.from_file(path), max_cached
+        self.tok, self.most_bytes = Tokenizer.from_file(path), most_bytes
         self.fast = self.tok.normalizer is None and repr(self.tok.pre_tokenizer) == "ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=True)" and not any(x.lstrip or x.rstrip or " " in x.content for x in self.tok.get_added_tokens_decoder().values())
         if self.fast:
             self.width = np.zeros(self.tok.get_vocab_size(), dtype=np.int64)
@@ -54,6 +61,7 @@ class Encoder:
                 self.width[i] = len(added.content.encode())
         self.words: dict[str, bytes | None] = {}
         self.pieces: dict[str, bytes] = {}
+        self.held = 0  # about so many bytes
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Of each text, null as empty."""
@@ -88,6 +96,7 @@ class Encoder:
         known = self.pieces
         new = list(set().union(*parts).difference(known))
         known.update(zip(new, self._whole(new)))
+        self.held += _bytes(new)
         return [b"".join([known[p] for p in ps]) for ps in parts]
 
     def _learn(self, split: list[tuple[int, str, list[str]]]) -> None:
@@ -96,12 +105,13 @@ class Encoder:
         A word of letters is encoded; one that goes on after them is its first letters, which have the space, and pieces after an edge.
         A word that is empty or has white space at an end, where there may be no split, is None.
         """
-        if len(self.words) > self.max_cached:
-            self.words = {}
-        if len(self.pieces) > self.max_cached:
+        words, here = self.words, set().union(*[rest for _, _, rest in split])
+        if self.held > self.most_bytes:
+            words = self.words = {w: words[w] for w in here.intersection(words)}
             self.pieces = {}
-        words = self.words
-        new = set().union(*[rest for _, _, rest in split]).difference(words)
+            self.held = _bytes(words)
+        new = here.difference(words)
+        self.held += _bytes(new)
         letters = set(filter(str.isalpha, new))
         tails: list[tuple[str, str, list[str]]] = []
         alone = []

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .caches import use
+from .caches import Hashes, use
 from .common import ship
 
 PLACES = 1 << 20
@@ -23,19 +23,7 @@ _WORD = re.compile(r"\w+")
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
 
-class _Hashes(dict):
-    """Word to 64-bit hash; emptied when it has grown large."""
-
-    def __missing__(self, word: str) -> int:
-        import xxhash
-
-        if len(self) > 300_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_words, _stems = _Hashes(), _Hashes()
+_words, _stems = Hashes(), Hashes()
 
 
 def _forget() -> None:
