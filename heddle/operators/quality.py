@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,26 +22,94 @@ def segment_key(cols: Sequence[str]) -> Column:
     return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
 
 
-def profile(df: DataFrame) -> DataFrame:
-    """(column_name, stat, value) of every numeric, text, boolean and time column, in one pass."""
-    stats: list[tuple[str, str, Column]] = []
+_FAMILY = {**dict.fromkeys(("tinyint", "smallint", "int", "bigint", "float", "double", "decimal"), "numeric"), **dict.fromkeys(("string", "varchar", "char"), "text"), "boolean": "boolean", **dict.fromkeys(("timestamp", "timestamp_ntz", "date"), "time")}
+
+
+def family(kind: str) -> str | None:
+    """numeric, text, boolean or time; None for other types."""
+    return _FAMILY.get(kind.split("(")[0])
+
+
+def _stats(c: Column, kind: str, quantiles: Sequence[float]) -> dict[str, Column]:
+    total, nulls = F.count(F.lit(1)), F.count_if(c.isNull())
+    share = lambda n, of: F.round(F.try_divide(n * 100.0, of), 4)
+    out = {"count": total, "null_count": nulls, "null_pct": share(nulls, total)}
+    if kind == "numeric":
+        d = c.cast("double")
+        out |= {"min": F.min(d), "max": F.max(d), "mean": F.avg(d), "stddev": F.stddev(d), "variance": F.variance(d), "skewness": F.skewness(d), "kurtosis": F.kurtosis(d), "approx_distinct": F.approx_count_distinct(c)}
+        out |= {"quantiles": F.percentile_approx(d, [float(q) for q in quantiles])} if quantiles else {}
+    elif kind == "text":
+        n = F.length(c)
+        out |= {"min_length": F.min(n), "max_length": F.max(n), "avg_length": F.round(F.avg(n), 2), "approx_distinct": F.approx_count_distinct(c), "empty_count": F.count_if(c == ""), "empty_pct": share(F.count_if(c == ""), total)}
+    elif kind == "boolean":
+        true = F.sum(c.cast("int"))
+        out |= {"true_count": true, "false_count": total - nulls - true, "true_pct": share(true, total - nulls)}
+    else:
+        out |= {"min": F.unix_seconds(F.min(c).cast("timestamp")), "max": F.unix_seconds(F.max(c).cast("timestamp")), "approx_distinct": F.approx_count_distinct(c)}
+    return out
+
+
+def _wanted(stat: str, override: dict | None, stats: Sequence[str] | None, exclude: Sequence[str]) -> bool:
+    """A column's own lists go before the global ones: its include list decides alone, then its exclude list takes away."""
+    override = override or {}
+    if override.get("stats") is not None:
+        return stat in override["stats"]
+    if stat in (override.get("exclude") or ()):
+        return False
+    return stat in stats if stats is not None else stat not in exclude
+
+
+def profile(df: DataFrame, columns: Sequence[str] | None = None, stats: Sequence[str] | None = None, exclude: Sequence[str] = (), overrides: dict[str, dict] | None = None, quantiles: Sequence[float] = (0.25, 0.5, 0.75), analyzers: Sequence[tuple[str, Callable[[Column], dict[str, Column]]]] = ()) -> DataFrame:
+    """(column_name, stat, value) of every numeric, text, boolean and time column, in one aggregation without a shuffle of rows.
+
+    count is of rows; distinct counts and quantiles are approximate (see exact_distinct). Quantiles come as p25 and so on, times as epoch
+    seconds. `analyzers` are further (family, function of the column giving named aggregates). `overrides` holds, by column, "stats" and "exclude".
+    """
+    plan: list[tuple[str, str, Column]] = []
+    arrays: list[tuple[str, Column]] = []
     for f in df.schema:
-        c, kind = F.col(f"`{f.name}`"), f.dataType.simpleString().split("(")[0]
-        base = [("count", F.count(c)), ("null_count", F.count_if(c.isNull())), ("null_pct", F.round(F.try_divide(F.count_if(c.isNull()) * 100.0, F.count(F.lit(1))), 4)), ("distinct_count", F.count_distinct(c))]
-        if kind in ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal"):
-            d = c.cast("double")
-            base += [("min", F.min(d)), ("max", F.max(d)), ("mean", F.round(F.avg(d), 6)), ("stddev", F.round(F.stddev(d), 6)), ("zero_count", F.count_if(c == 0)), ("negative_count", F.count_if(c < 0))]
-        elif kind == "string":
-            base += [("min_length", F.min(F.length(c))), ("max_length", F.max(F.length(c))), ("avg_length", F.round(F.avg(F.length(c)), 2)), ("empty_count", F.count_if(c == ""))]
-        elif kind == "boolean":
-            base += [("true_count", F.count_if(c)), ("true_pct", F.round(F.try_divide(F.count_if(c) * 100.0, F.count(c)), 4))]
-        elif kind in ("timestamp", "timestamp_ntz", "date"):
-            base += [("min_epoch", F.unix_seconds(F.min(c).cast("timestamp"))), ("max_epoch", F.unix_seconds(F.max(c).cast("timestamp")))]
-        else:
+        kind = family(f.dataType.simpleString())
+        if kind is None or (columns is not None and f.name not in columns):
             continue
-        stats += [(f.name, s, e.cast("double")) for s, e in base]
-    wide = df.agg(*[e.alias(f"s{i}") for i, (_, _, e) in enumerate(stats)])
-    return wide.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(s).alias("stat"), F.col(f"s{i}").alias("value")) for i, (c, s, _) in enumerate(stats)])))
+        c = F.col(f"`{f.name}`")
+        found = _stats(c, kind, quantiles)
+        for of, make in analyzers:
+            found |= make(c) if of == kind else {}
+        for name, e in found.items():
+            if not _wanted(name, (overrides or {}).get(f.name), stats, exclude):
+                continue
+            if name == "quantiles":
+                arrays.append((f"q{len(arrays)}", e))
+                plan += [(f.name, f"p{q * 100:g}", F.get(arrays[-1][0], F.lit(i))) for i, q in enumerate(quantiles)]
+            else:
+                arrays.append((f"s{len(arrays)}", e))
+                plan.append((f.name, name, F.col(arrays[-1][0])))
+    if not plan:
+        return df.sparkSession.createDataFrame([], "column_name string, stat string, value double")
+    wide = df.agg(*[e.alias(n) for n, e in arrays])
+    return wide.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(s).alias("stat"), e.cast("double").alias("value")) for c, s, e in plan])))
+
+
+def exact_distinct(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column_name, distinct_count): each column is grouped by value, then counted; no task holds the values of a column."""
+    one = lambda c: df.where(F.col(f"`{c}`").isNotNull()).groupBy(F.col(f"`{c}`").alias("v")).agg(F.lit(1)).agg(F.count(F.lit(1)).alias("distinct_count")).select(F.lit(c).alias("column_name"), "distinct_count")
+    return reduce(DataFrame.unionAll, [one(c) for c in columns])
+
+
+def top_values(df: DataFrame, columns: Sequence[str], k: int = 10) -> DataFrame:
+    """(column_name, value, n, rank): the k most frequent values of each column, NULL among them, ties by value; all columns in one pass."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns])
+    n = df.select(F.inline(pairs)).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("column_name").orderBy(F.col("n").desc(), F.col("value").asc_nulls_last())
+    return n.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column_name, count, mean, stddev, min, p25, p50, p75, max) of numeric columns."""
+    wide = profile(df, columns, ["null_count", "count", "mean", "stddev", "min", "max", "quantiles"])
+    pick = lambda s: F.max(F.when(F.col("stat") == s, F.col("value"))).alias(s)
+    out = wide.groupBy("column_name").agg(*[pick(s) for s in ("count", "null_count", "mean", "stddev", "min", "p25", "p50", "p75", "max")])
+    return out.withColumn("count", F.col("count") - F.col("null_count")).drop("null_count")
 
 
 def violations(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
@@ -60,6 +129,130 @@ def orphans(df: DataFrame, key: str, parent: DataFrame, parent_key: str, nulls_a
     return left.join(parent.select(F.col(parent_key).alias("_p")).distinct(), F.col(key) == F.col("_p"), "left_anti")
 
 
+def completeness(df: DataFrame, column: str, least_pct: float = 100) -> DataFrame:
+    """(completeness_pct, passed): an empty table is complete."""
+    pct = F.coalesce(F.try_divide(F.count(F.col(f"`{column}`")) * 100.0, F.count(F.lit(1))), F.lit(100.0))
+    return df.agg(pct.alias("completeness_pct")).withColumn("passed", F.col("completeness_pct") >= least_pct)
+
+
+# Families of types that a type rule accepts for each other.
+_TYPES = {"integer": ["int", "bigint", "smallint", "tinyint", "long"], "float": ["float", "double", "decimal"], "string": ["string", "varchar", "char"], "date": ["date"], "timestamp": ["timestamp"], "boolean": ["boolean", "bool"]}
+
+
+def type_matches(df: DataFrame, column: str, expected: str, by_name: bool = False) -> bool:
+    """Whether the column's type is of the family that `expected` is a member of. Family names themselves count only with `by_name`."""
+    actual, expected = dict(df.dtypes)[column].lower(), expected.lower()
+    return any((expected in members or by_name and expected == name) and actual.startswith(tuple(members)) for name, members in _TYPES.items())
+
+
+def schema_drift(df: DataFrame, expected: dict[str, str]) -> list[tuple[str, str, str]]:
+    """(column, expected type, actual type or MISSING) of each difference; columns that are not expected are no drift."""
+    actual = {f.name: f.dataType.simpleString() for f in df.schema}
+    return [(c, kind, actual.get(c, "MISSING")) for c, kind in expected.items() if actual.get(c) != kind]
+
+
+def volume(current: DataFrame, previous: DataFrame, warn_pct: float, fail_pct: float) -> DataFrame:
+    """(current_count, previous_count, diff_pct, status): FAIL or WARN where the change is over its bound; nothing before and something now fails."""
+    n = current.agg(F.count(F.lit(1)).alias("current_count")).withColumn("_k", F.lit(1)).join(previous.agg(F.count(F.lit(1)).alias("previous_count")).withColumn("_k", F.lit(1)), "_k").drop("_k")
+    diff = F.abs(F.col("current_count") - F.col("previous_count")) * 100.0
+    n = n.withColumn("diff_pct", F.try_divide(diff, F.col("previous_count")))
+    d = F.coalesce("diff_pct", F.when(F.col("current_count") > 0, float("inf")).otherwise(0.0))
+    return n.withColumn("status", F.when(d > fail_pct, "FAIL").when(d > warn_pct, "WARN").otherwise("PASS"))
+
+
+def sql_rule(df: DataFrame, query: str) -> DataFrame:
+    """(cnt, passed) of a query that names the table {table} and gives cnt; zero passes."""
+    return df.sparkSession.sql(query.replace("${TABLE}", "{table}"), table=df).select(F.col("cnt").cast("long").alias("cnt"), (F.col("cnt") == 0).alias("passed"))
+
+
+def _condition(rule: dict) -> Column | None:
+    """The condition that a row breaks, for rules on single rows."""
+    c, kind = F.col(f"`{rule['column']}`") if "column" in rule else None, rule["type"]
+    none = F.lit(False)
+    if kind == "not_null":
+        return c.isNull()
+    if kind == "range":
+        low, high = rule.get("min"), rule.get("max")
+        return (c < low if low is not None else none) | (c > high if high is not None else none)
+    if kind == "pattern":
+        return ~c.rlike(rule["pattern"])
+    if kind == "value_set":
+        return ~c.isin(list(rule["allowed_values"]))
+    if kind == "string_length":
+        n = F.length(c)
+        return (n < rule.get("min_length", 0)) | (n > rule["max_length"] if "max_length" in rule else none)
+    if kind == "freshness":
+        return F.date_diff(F.lit(rule["as_of"]).cast("date"), c) > rule["max_days"]
+    return None
+
+
+def run_rules(df: DataFrame, rules: Sequence[dict], ask: Callable[[str], str] | None = None) -> DataFrame:
+    """(rule_name, type, violations, status, severity, weight) of a table's rules: those on single rows in one aggregation, NULL passing.
+
+    Types: not_null, range, pattern, value_set, string_length, freshness, completeness, unique, duplicate, type_check, sql, llm. A rule
+    that cannot be planned, or of an unknown type, is an ERROR and counts as failed in score(). Rules that are not enabled are left out.
+    """
+    spark, plain, parts = df.sparkSession, {}, []
+    told = lambda r, v, status: v.select(F.lit(r["name"]).alias("rule_name"), F.lit(r["type"]).alias("type"), F.col("violations").cast("long").alias("violations"), status.alias("status"), F.lit(r.get("severity", "ERROR")).alias("severity"), F.lit(float(r.get("weight", 1))).alias("weight"))
+    counted = F.when(F.col("violations") == 0, "PASS").otherwise("FAIL")
+    fixed = lambda r, ok, status=None: told(r, spark.range(1).select(F.lit(0 if ok else 1).alias("violations")), F.lit(status or ("PASS" if ok else "FAIL")))
+    for r in rules:
+        if not r.get("enabled", True):
+            continue
+        try:
+            if (broken := _condition(r)) is not None:
+                df.select(broken)
+                plain[r["name"]] = (r, broken)
+            elif r["type"] == "completeness":
+                done = completeness(df, r["column"], r.get("min_completeness_pct", 100)).select(F.when(F.col("passed"), 0).otherwise(1).alias("violations"))
+                parts.append(told(r, done, counted))
+            elif r["type"] in ("unique", "duplicate"):
+                cols = r.get("columns") or [r["column"]]
+                parts.append(told(r, unique_violations(df, cols).select(F.col("duplicates").alias("violations")), counted))
+            elif r["type"] == "type_check":
+                parts.append(fixed(r, type_matches(df, r["column"], r["expected_type"])))
+            elif r["type"] == "sql":
+                parts.append(told(r, sql_rule(df, r["sql"]).select(F.col("cnt").alias("violations")), counted))
+            elif r["type"] == "llm" and ask:
+                parts.append(fixed(r, llm_passes(df, r["column"], r["instruction"], ask)))
+            else:
+                parts.append(fixed(r, False, "ERROR"))
+        except Exception:  # a rule that names what is not there: an error of the rule, told as its status
+            parts.append(fixed(r, False, "ERROR"))
+    if plain:
+        wide = df.agg(*[F.count_if(cond).alias(f"r{i}") for i, (_, cond) in enumerate(plain.values())])
+        rows = [F.struct(F.lit(r["name"]).alias("rule_name"), F.lit(r["type"]).alias("type"), F.col(f"r{i}").alias("violations"), F.when(F.col(f"r{i}") == 0, "PASS").otherwise("FAIL").alias("status"), F.lit(r.get("severity", "ERROR")).alias("severity"), F.lit(float(r.get("weight", 1))).alias("weight")) for i, (r, _) in enumerate(plain.values())]
+        parts.insert(0, wide.select(F.inline(F.array(*rows))))
+    if not parts:
+        return spark.createDataFrame([], "rule_name string, type string, violations bigint, status string, severity string, weight double")
+    return reduce(DataFrame.unionByName, parts)
+
+
+def table_score(results: DataFrame) -> DataFrame:
+    """(score): 100 less the weight of what did not pass, as a share; no rules give 100."""
+    failed = F.sum(F.when(F.col("status") != "PASS", F.col("weight")).otherwise(0.0))
+    return results.agg(F.coalesce(F.round(100 - F.try_divide(failed, F.sum("weight")) * 100, 2), F.lit(100.0)).alias("score"))
+
+
+def llm_passes(df: DataFrame, column: str, instruction: str, ask: Callable[[str], str], sample: int = 50) -> bool:
+    """Whether a model, given values of the column, answers PASS; anything else fails. `ask` is any function of a prompt."""
+    v = F.col(f"`{column}`").cast("string")
+    values = [r[0] for r in df.where(v.isNotNull()).select(v.alias("v")).orderBy(F.xxhash64("v"), "v").limit(sample).collect()]  # at most `sample`
+    return ask(f"{instruction}\nAnswer PASS or FAIL.\n" + "\n".join(values)).strip().upper() == "PASS"
+
+
+class GateError(ValueError):
+    """Data that a gate does not let through."""
+
+
+def gate(df: DataFrame, rules: Sequence[dict]) -> DataFrame:
+    """The frame itself, or GateError naming the rules that did not pass."""
+    bad = [(r.rule_name, r.violations) for r in run_rules(df, rules).where("status <> 'PASS'").collect()]  # a row a rule
+    if bad:
+        raise GateError(f"rules not passed: {bad}")
+    return df
+
+
 def score(results: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """(score): 100 less the share of the failed rules' weight."""
     w = F.lit(1.0)
@@ -83,17 +276,6 @@ def severity(value: Column, error: dict[str, float] | None = None, warning: dict
     return out.otherwise(0)
 
 
-def drift(series: DataFrame, at: str, value: str, by: Sequence[str] = (), past: int = 3) -> DataFrame:
-    """Each point against the `past` points before it: mean, deviation_abs, deviation_pct, z_score, rate_of_change."""
-    w = Window.partitionBy(*by).orderBy(at)
-    before = w.rowsBetween(-past, -1)
-    v = F.col(value)
-    out = series.withColumns({"past_n": F.count(v).over(before), "past_mean": F.avg(v).over(before), "past_sd": F.stddev(v).over(before), "last": F.lag(v).over(w)})
-    dev = v - F.col("past_mean")
-    zero = F.lit(0.0)
-    return out.where(F.col("past_n") == past).select(*by, at, value, "past_mean", dev.alias("deviation_abs"), F.coalesce(F.try_divide(dev * 100, F.abs("past_mean")), zero).alias("deviation_pct"), F.coalesce(F.try_divide(dev, F.col("past_sd")), zero).alias("z_score"), F.coalesce(F.try_divide(v - F.col("last"), F.abs("last")), zero).alias("rate_of_change"))
-
-
 def latest_history(history: DataFrame, limit: int | None = None) -> DataFrame:
     """Per metric, segment and partition the latest run; tombstones and NULLs go after the ranking, not before it."""
     key = Window.partitionBy("metric_name", "dimension_value", "partition_ts")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import library, workload
+from . import extended, library, observability, workload
 
-QUERIES = workload.QUERIES | library.QUERIES
-ORACLE_SQL = workload.ORACLE_SQL | library.ORACLE_SQL
+QUERIES = workload.QUERIES | library.QUERIES | observability.QUERIES | extended.QUERIES
+ORACLE_SQL = workload.ORACLE_SQL | library.ORACLE_SQL | observability.ORACLE_SQL | extended.ORACLE_SQL

@@ -62,10 +62,10 @@ def dates_as_text(key, day):
     return text
 
 
-@query("prj_parse_dates", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders WHERE o_orderkey < 500")
+@query("prj_parse_dates", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders")
 def _(t):
     text = dates_as_text(c("o_orderkey"), c("o_orderdate"))
-    return t.orders.where("o_orderkey < 500").select("o_orderkey", F.date_format(fn.parse_date(text), "yyyy-MM-dd").alias("day"))
+    return t.orders.select("o_orderkey", F.date_format(fn.parse_date(text), "yyyy-MM-dd").alias("day"))
 
 
 @query("prj_clean_text", "SELECT p_partkey, CASE WHEN upper(trim(p_type)) IN ('ECONOMY', 'PROMO') THEN upper(trim(p_type)) ELSE 'UNKNOWN' END AS kind FROM part")

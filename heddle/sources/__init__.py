@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-import json
 import re
 import zipfile
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .readers import dicts_to_frame as rows_to_frame
+from .tables import VersionedTable, fs_of
+
+__all__ = ["VersionedTable", "align_to_target", "fs_of", "paged", "read_delimited", "read_xlsx", "recover_overwrite", "rows_to_frame", "safe_overwrite", "xlsx_to_frame"]
+
 
 def read_delimited(spark: SparkSession, path: str, sep: str = ",", schema: StructType | str | None = None, infer: bool = False) -> DataFrame:
     """CSV with a header; a schema spares the pass that inference takes."""
@@ -31,12 +35,6 @@ def paged(fetch: Callable[[int, int], dict], limit: int = 500) -> Iterator[dict]
         offset += len(items)
 
 
-def rows_to_frame(spark: SparkSession, rows: Iterable[dict], schema: str | None = None) -> DataFrame:
-    """Dicts as JSON strings, or parsed by a schema."""
-    df = spark.createDataFrame([(json.dumps(r),) for r in rows], "json_string string")
-    return df if schema is None else df.select(F.from_json("json_string", schema).alias("r")).select("r.*")
-
-
 def read_xlsx(path: str, sheet: str = "xl/worksheets/sheet1.xml") -> list[list[object]]:
     """Cells of one sheet, with nothing but the standard library: shared and inline strings, booleans, numbers."""
     ns = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -60,65 +58,54 @@ def read_xlsx(path: str, sheet: str = "xl/worksheets/sheet1.xml") -> list[list[o
     return out
 
 
+def xlsx_to_frame(spark: SparkSession, path: str, sheet: str = "xl/worksheets/sheet1.xml", header: bool = True) -> DataFrame:
+    """A folder's or file's sheets as rows of texts, each workbook parsed where Spark reads it; the header comes from the first file."""
+    files = spark.read.format("binaryFile").load(path)
+
+    def parse(batches):
+        import io
+
+        import pyarrow as pa
+
+        for b in batches:
+            for name, raw in zip(b.column(0).to_pylist(), b.column(1)):
+                rows = [["" if v is None else str(v) for v in r] for r in read_xlsx(io.BytesIO(raw.as_buffer().to_pybytes()), sheet)]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows)), pa.array(range(len(rows)), pa.int32()), pa.array(rows, pa.list_(pa.string()))], names=["file", "row", "cells"])
+
+    rows = files.select("path", "content").mapInArrow(parse, "file string, row int, cells array<string>")
+    if not header:
+        return rows
+    first = rows.where("row = 0").orderBy("file").first()
+    cell = lambda i, n: F.nullif(F.get("cells", F.lit(i)), F.lit("")).alias(n)
+    return rows.where("row > 0").select(*[cell(i, n) for i, n in enumerate(first.cells if first else [])])
+
+
 def align_to_target(df: DataFrame, target: StructType) -> DataFrame:
     """The target's columns in order and type; missing ones are typed NULLs; names match without case."""
     names = {c.lower(): c for c in df.columns}
     return df.select(*[(F.col(f"`{names[f.name.lower()]}`") if f.name.lower() in names else F.lit(None)).cast(f.dataType).alias(f.name) for f in target])
 
 
-def _fs(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
 def safe_overwrite(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
     """Write beside, then swap: the old table may be read by df itself and stays if the write fails."""
     spark = df.sparkSession
     new, old = path.rstrip("/") + "._new", path.rstrip("/") + "._old"
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(new)
-    (p, fs), (n, _), (o, _) = _fs(spark, path), _fs(spark, new), _fs(spark, old)
-    fs.delete(o, True)
-    if fs.exists(p):
-        fs.rename(p, o)
-    fs.rename(n, p)
+    (p, fs), (n, _), (o, _) = fs_of(spark, path), fs_of(spark, new), fs_of(spark, old)
+    had = fs.exists(p)
+    if had:
+        fs.delete(o, True)
+        if not fs.rename(p, o):
+            raise OSError(f"{path} could not be moved aside; the new rows are in {new}")
+    if not fs.rename(n, p):
+        if had:
+            fs.rename(o, p)
+        raise OSError(f"{new} could not take the place of {path}")
     fs.delete(o, True)
 
 
-class VersionedTable:
-    """Immutable versions of a table under one folder: time travel, restore, schema merge and change feeds on plain Parquet."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def versions(self) -> list[int]:
-        p, fs = _fs(self.spark, self.path)
-        if not fs.exists(p):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(p)]
-        return sorted(int(n[2:]) for n in names if n.startswith("v=") and fs.exists(_fs(self.spark, f"{self.path}/{n}/_SUCCESS")[0]))
-
-    def read(self, version: int | None = None) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/v={self.versions()[-1] if version is None else version}")
-
-    def commit(self, df: DataFrame) -> int:
-        v = max(self.versions(), default=-1) + 1
-        df.write.parquet(f"{self.path}/v={v}")
-        return v
-
-    def append(self, df: DataFrame) -> int:
-        """New columns join the schema; missing ones are NULL."""
-        return self.commit(self.read().unionByName(df, allowMissingColumns=True)) if self.versions() else self.commit(df)
-
-    def restore(self, version: int) -> int:
-        return self.commit(self.read(version))
-
-    def changes(self, keys: list[str], since: int) -> DataFrame:
-        """The change feed of all versions after `since`."""
-        from heddle.operators.merge import change_feed
-
-        out = None
-        vs = [v for v in self.versions() if v >= since]
-        for a, b in zip(vs, vs[1:]):
-            step = change_feed(self.read(a), self.read(b), keys, b)
-            out = step if out is None else out.unionByName(step, allowMissingColumns=True)
-        return out
+def recover_overwrite(spark: SparkSession, path: str) -> None:
+    """Put a table back that an overwrite which died between its two renames left aside."""
+    (p, fs), (o, _) = fs_of(spark, path), fs_of(spark, path.rstrip("/") + "._old")
+    if fs.exists(o) and not fs.exists(p):
+        fs.rename(o, p)
