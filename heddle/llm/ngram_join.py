@@ -11,7 +11,8 @@ components is lost, and no pair inside one is listed.
 
 A crowded shingle has a hub, one of its classes, and every class that shares it is written as its difference from the hub: the shingles
 it adds and those it lacks. The difference of two classes is that of their differences, so that linked classes, unless both link with
-the hub, share an added or lacking shingle, and prefixes of the differences find them: the text that a group has in common plays no part.
+the hub, share added or lacking shingles, and multi-match prefixes of the differences find them: the text that a group has in common
+plays no part.
 Classes far from the hub are given another one; what is left is listed by shingle.
 """
 
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .caches import use
+from .caches import Hashes, use
 from .common import connected_components, ship, stage
 
 COUNTERS, _SLICE = 1 << 20, 1 << 14
@@ -42,17 +43,7 @@ BROADCAST_IDS = 1_000_000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) > 300_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_hashes = _Hashes()
+_hashes = Hashes()
 
 
 def shingles(text: str | None, size: int) -> np.ndarray:
@@ -115,24 +106,31 @@ def prefix(found: np.ndarray, freq: np.ndarray, usual: float, percent: int, long
     share = -(-percent * n // 100)  # shingles that a partner shares at least
     f = freq[found & (COUNTERS - 1)]
     order = np.lexsort((found, f))
-    excess = np.cumsum(np.maximum(f[order] - usual, 1.0))
-    best = min(range(1, min(longest, share) + 1), key=lambda k: excess[n - share + k - 1] * (1 + 8 / k**1.5))
+    best = cheapest(np.cumsum(np.maximum(f[order] - usual, 1.0)), share, longest)
     return best, found[order[: n - share + best]]
 
 
+def cheapest(cost: np.ndarray, share: int, longest: int) -> int:
+    """How many matches to ask for of sets that share at least `share`, where the first k of a set, rare first, cost cost[k - 1]: more make the prefix longer and the candidates fewer."""
+    return min(range(1, min(longest, share) + 1), key=lambda k: cost[len(cost) - share + k - 1] * (1 + 8 / k**1.5))
+
+
 def _signed(docs: DataFrame, size: int, percent: int, shared) -> DataFrame:
     usual = float(np.median(shared.value))
 
     def sign(batches):
         import xxhash
+        from pyspark import TaskContext
 
+        at = TaskContext.get().partitionId() << 40
         for b in batches:
             sets = [shingles(x, size) for x in b.column(1).to_pylist()]
             cut = [prefix(s, shared.value, usual, percent) if len(s) else (0, s) for s in sets]
-            names = ["id", "n", "digest", "l", "prefix", "sample"]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()), pa.array([c[0] for c in cut], pa.int32()), pa.array([c[1] for c in cut], pa.list_(pa.int64())), pa.array([s[s % _SAMPLED == 0].tobytes() for s in sets], pa.binary())], names=names)
+            names = ["row", "id", "n", "digest", "l", "prefix", "sample"]
+            yield pa.RecordBatch.from_arrays([pa.array(range(at, at + len(sets)), pa.int64()), b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()), pa.array([c[0] for c in cut], pa.int32()), pa.array([c[1] for c in cut], pa.list_(pa.int64())), pa.array([s[s % _SAMPLED == 0].tobytes() for s in sets], pa.binary())], names=names)
+            at += len(sets)
 
-    return docs.select("_id", "_text").mapInArrow(sign, "id bigint, n bigint, digest binary, l int, prefix array<bigint>, sample binary")
+    return docs.select("_id", "_text").mapInArrow(sign, "row bigint, id bigint, n bigint, digest binary, l int, prefix array<bigint>, sample binary")
 
 
 def _apart(x: np.ndarray, y: np.ndarray) -> int:
@@ -144,8 +142,28 @@ def _linked_apart(percent: int):
     return lambda n, m: (n + m) * (100 - percent) // (100 + percent)
 
 
+def _classes(signed: DataFrame) -> DataFrame:
+    """One row of each set of shingles, that of the least id, as its class: (cls, digest, n, l, prefix, sample).
+
+    Only what tells copies apart is shuffled; then the rows that are copies of another are left out wherever the signed rows are read.
+    """
+    valid = signed.where("id is not null and digest is not null")
+    least = valid.groupBy("digest").agg(F.min(F.struct("id", "row")).alias("least"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    others = stage(valid.select("digest", "row").join(least, "digest").where("row != least.row").select("row"), "copies")
+    few = others.count() <= BROADCAST_IDS
+    return valid.join(F.broadcast(others) if few else others, "row", "left_anti").select(F.col("id").alias("cls"), "digest", "n", "l", "prefix", "sample")
+
+
+def _of_pairs(rows: DataFrame, key: str, pairs: DataFrame) -> DataFrame:
+    """The rows whose key is in a pair."""
+    ids = pairs.select(F.col("a").alias(key)).union(pairs.select("b")).distinct()
+    few = ids.count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(ids) if few else ids, key, "left_semi")
+
+
 def _possible(classes: DataFrame, pairs: DataFrame, most) -> DataFrame:
     """The pairs that their samples do not rule out: sets of n and m that differ in most(n, m) shingles have samples that differ in no more."""
+    classes = _of_pairs(classes, "cls", pairs)
     of = classes.select(F.col("cls").alias("b"), F.col("n").alias("bn"), F.col("sample").alias("y"))
     both = pairs.join(classes.select(F.col("cls").alias("a"), F.col("n").alias("an"), F.col("sample").alias("x")), "a").join(of, "b")
 
@@ -162,10 +180,8 @@ def _possible(classes: DataFrame, pairs: DataFrame, most) -> DataFrame:
 
 def _with_sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, most) -> DataFrame:
     """(a, b, x, y): the pairs that can differ in so few shingles, with their whole sets."""
-    pairs = stage(_possible(classes, pairs, most), "possible")
-    ids = pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct()
-    few = ids.count() <= BROADCAST_IDS
-    picked = docs.join(F.broadcast(ids) if few else ids, "_id", "left_semi")
+    pairs = stage(_possible(classes, stage(pairs, "pairs"), most), "possible")
+    picked = _of_pairs(docs, "_id", pairs)
 
     def sets(batches):
         for b in batches:
@@ -204,8 +220,7 @@ def ngram_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col:
     docs = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     shared = spark.sparkContext.broadcast(_counted(docs, size))
     signed = stage(_signed(docs, size, percent, shared), "signed")
-    first = [F.first(c).alias(c) for c in ("n", "l", "prefix", "sample")]
-    classes = stage(signed.where("id is not null and digest is not null").groupBy("digest").agg(F.min("id").alias("cls"), *first), "classes")
+    classes = _classes(signed)
     rows = classes.select("cls", "n", "l", F.explode("prefix").alias("tok"))
     crowds = rows.groupBy("tok").agg(F.count(F.lit(1)).alias("crowd")).where("crowd > 1")
     live = stage(rows.join(crowds, "tok"), "live").withColumn("comp", F.col("cls"))
@@ -278,28 +293,46 @@ def _close(percent: int):
     return lambda m: (inner := 0.75 * m, inner + (m + inner) * (100 - percent) / percent)
 
 
-def apart(x: np.ndarray, y: np.ndarray, freq: np.ndarray, percent: int) -> tuple[bool, np.ndarray, int]:
-    """(linked, prefix, how many of it meet unlinked sets) of the difference of set x from its hub y.
+def apart(x: np.ndarray, y: np.ndarray, freq: np.ndarray, percent: int, longest: int = 8) -> tuple[bool, np.ndarray, tuple[int, int], tuple[int, int]]:
+    """(linked, shingles, (length, matches) towards unlinked sets, the same towards linked ones) of the difference of set x from its hub y.
 
-    Sets of n and m shingles link if they differ in at most c * (n + m), c = (100 - percent) / (100 + percent). Differences of d and e
-    shingles, the second not linked with the hub, so e > c * (m + |y|), share (d + e - c * (n + m)) / 2 or more: over (d - c * n + c * |y|) / 2.
-    Seen from an unlinked set whose partner may be linked, they share over 0, by the triangle inequality, and (d - c * (n + |y|)) / 2 or more.
-    Order: fewest sets first, by the counter of an added shingle and, for one lacking, what its counter is short of the hub's usual ones; the
-    latter are complemented.
+    Sets of n and k shingles link if they differ in at most c * (n + k), c = (100 - percent) / (100 + percent). Their differences from the
+    hub, of d and e shingles, then share (d + e - c * (n + k)) / 2 or more. A partner that is not linked with the hub has e > c * (m + k),
+    so that over (d - c * n + c * m) / 2 are shared. By the triangle inequality e is d less what the two differ in, or more: d - c * (n + k)
+    are shared at least, and k is at most n * 100 / percent. An unlinked set further from the hub than two linked steps has no partner
+    that links with the hub. A prefix as long as leaves one less than so many outside meets the partner's once, longer ones more often.
+    Order: fewest sets first, by the counter of an added shingle and, for one lacking, what its counter is short of the hub's usual ones;
+    the latter are complemented.
     """
     more, less = np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)
-    d, n, m, w = len(more) + len(less), len(x), len(y), 100 + percent
+    d, n, m, w, rest = len(more) + len(less), len(x), len(y), 100 + percent, 100 - percent
     usual = np.quantile(freq[y & (COUNTERS - 1)], 0.9)
     found = np.concatenate([more, ~less])
     rows = np.concatenate([freq[more & (COUNTERS - 1)], np.maximum(usual - freq[less & (COUNTERS - 1)], 1)])
-    over = w * d - (100 - percent) * (n + m)
-    short = max(0, d - (w * d - (100 - percent) * (n - m)) // (2 * w))
-    long = d - max(1, -(-over // (2 * w))) + 1 if over > 0 else short
-    return over <= 0, found[np.lexsort((found, rows))][:long], min(short, long)
+    order = np.lexsort((found, rows))
+    cost = np.cumsum(rows[order].astype(float))
+    over = w * d - rest * (n + m)
+    least = max(1, -(-(percent * d - rest * n) // percent))
+
+    def cut(share: int) -> tuple[int, int]:
+        if share > d:
+            return 0, 1
+        k = cheapest(cost, share, longest)
+        return d - share + k, k
+
+    short = cut(max(least, (w * d - rest * (n - m)) // (2 * w) + 1))
+    if over <= 0:
+        return True, found[order[: short[0]]], short, short
+    two_steps = percent * w * d <= rest * (percent * (n + m) + 200 * min(n, m))
+    long = cut(max(least, -(-over // (2 * w)))) if two_steps else (0, 1)
+    return False, found[order[: max(short[0], long[0])]], short, long
 
 
 def _apart_from_hubs(docs: DataFrame, classes: DataFrame, live: DataFrame, shared, k: int, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Classes as differences from the hubs of their shingles, (tok, cls, n, comp, hub, near, short) with a row a shingle of the prefix; and the rows of `live` whose hubs are too far.
+    """Classes as differences from the hubs of their shingles, with a row a shingle of the prefixes; and the rows of `live` whose hubs are too far.
+
+    A row is (tok, cls, n, comp, hub, near, short, long, need, need_near): whether tok is of the prefix towards unlinked sets, whether of that
+    towards linked ones, and how many matches each asks for.
 
     An id of several texts is settled when all of them are.
     """
@@ -315,34 +348,36 @@ def _apart_from_hubs(docs: DataFrame, classes: DataFrame, live: DataFrame, share
             for x, y in zip(b.column(2), b.column(3)):
                 x, y = (np.frombuffer(v.as_buffer(), np.int64) for v in (x, y))
                 d, (inner, outer) = _apart(x, y), close(len(y))
-                near, found, short = apart(x, y, shared.value, percent) if d <= outer else (False, x[:0], 0)
-                rows.append((len(x), d > inner, near, found ^ np.int64(xxhash.xxh3_64_intdigest(y.tobytes()) >> 1), short))
-            n, far, near, found, short = zip(*rows) if rows else ([],) * 5
-            arrays = [pa.array(n, pa.int64()), pa.array(far, pa.bool_()), pa.array(near, pa.bool_()), pa.array(found, pa.list_(pa.int64())), pa.array(short, pa.int32())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *arrays], names=["cls", "hub", "n", "far", "near", "found", "short"])
+                near, found, short, long = apart(x, y, shared.value, percent) if d <= outer else (False, x[:0], (0, 1), (0, 1))
+                rows.append((len(x), d > inner, near, found ^ np.int64(xxhash.xxh3_64_intdigest(y.tobytes()) >> 1), *short, *long))
+            n, far, near, found, *cuts = zip(*rows) if rows else ([],) * 8
+            arrays = [pa.array(n, pa.int64()), pa.array(far, pa.bool_()), pa.array(near, pa.bool_()), pa.array(found, pa.list_(pa.int64())), *[pa.array(c, pa.int32()) for c in cuts]]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *arrays], names=["cls", "hub", "n", "far", "near", "found", "short", "need", "long", "need_near"])
 
     duos = met.select(F.col("cls").alias("a"), F.col("h.cls").alias("b")).distinct()
     both = _with_sets(docs, classes, duos, size, lambda n, m: close(m)[1])
-    seen = stage(both.mapInArrow(differ, "cls bigint, hub bigint, n bigint, far boolean, near boolean, found array<bigint>, short int"), "differences")
+    seen = stage(both.mapInArrow(differ, "cls bigint, hub bigint, n bigint, far boolean, near boolean, found array<bigint>, short int, need int, long int, need_near int"), "differences")
     settled = seen.groupBy("cls", "hub").agg(F.max("far").alias("far")).where("not far")
     left = met.withColumn("hub", F.col("h.cls")).join(settled, ["cls", "hub"], "left_anti").select(live.columns)
     comp = met.select("cls", F.col("h.cls").alias("hub"), "comp", F.col("h.comp").alias("hub_comp")).groupBy("cls", "hub").agg(F.min("comp").alias("comp"), F.min("hub_comp").alias("hub_comp"))
     at = seen.join(comp, ["cls", "hub"]).withColumn("comp", F.expr("if(near, hub_comp, comp)"))
-    rows = at.select("cls", "hub", "n", "comp", "near", "short", F.posexplode_outer("found").alias("at", "tok"))
-    return stage(rows.selectExpr("tok", "cls", "n", "comp", "hub", "near", "at < short as short"), "apart"), stage(left, "live")
+    rows = at.select("cls", "hub", "n", "comp", "near", "short", "long", "need", "need_near", F.posexplode_outer("found").alias("at", "tok"))
+    return stage(rows.selectExpr("tok", "cls", "n", "comp", "hub", "near", "at < short as short", "at < long as long", "need", "need_near"), "apart"), stage(left, "live")
 
 
 def _apart_pairs(apart: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) in different components whose differences from a hub share a shingle of their prefixes, one of them at least not linked with it."""
+    """Pairs (a, b) in different components whose differences from a hub share enough shingles of their prefixes, one of them at least not linked with it."""
     some = apart.where("tok is not null")
     sizes = some.groupBy("tok", "comp").agg(F.count(F.lit(1)).alias("c"))
     big = sizes.groupBy("tok").agg(F.max_by("comp", F.struct("c", "comp")).alias("big"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("tok", "big")
     tagged = some.join(big, "tok")
-    x = tagged.where("comp != big").selectExpr("tok", "cls a", "n an", "comp ac", "near anear", "short ashort")
-    y = tagged.selectExpr("tok", "cls b", "n bn", "comp bc", "near bnear", "short bshort", "big")
-    met = x.join(y, "tok").where("ac != bc and (bc = big or a < b) and if(anear = bnear, not anear and ashort and bshort, true)")
+    side = lambda x: ["tok", "hub", f"cls {x}", f"n {x}n", f"comp {x}c", f"near {x}near", f"short {x}short", f"if(near, short, long) {x}long", f"need {x}need", f"if(near, need, need_near) {x}needn"]
+    x = tagged.where("comp != big").selectExpr(*side("a"))
+    y = tagged.selectExpr(*side("b"), "big").drop("hub")
+    met = x.join(y, "tok").where("ac != bc and (bc = big or a < b) and if(anear = bnear, not anear and ashort and bshort, along and blong)")
     met = met.where(f"100 * least(an, bn) >= {percent} * greatest(an, bn)")
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pair = met.selectExpr("hub", "least(a, b) a", "greatest(a, b) b", "if(anear = bnear, least(aneed, bneed), least(aneedn, bneedn)) need")
+    return pair.groupBy("hub", "a", "b").agg(F.count(F.lit(1)).alias("hits"), F.min("need").alias("need")).where("hits >= need").select("a", "b").distinct()
 
 
 def _live(live: DataFrame, comps: DataFrame) -> DataFrame:
