@@ -4,6 +4,9 @@ Documents are read in overlapping windows of words. Each window's MinHash values
 a window and a template that meet are verified by the share of the template's shingles in the window. Templates are put in classes by
 length, and a window is a quarter longer than the class and moves by a quarter, so that any place of a template lies whole in some
 window: their similarity is then at least 0.4 and 16 bands of one value miss it with probability 0.6**16 = 0.0003.
+
+Notices of different licences may be nearly the same. Where the text of a rival would hold enough of a template to be taken for it, the
+window must also show a shingle that the rival does not have: what tells the two apart decides, not what they share.
 """
 
 from __future__ import annotations
@@ -55,6 +58,13 @@ def templates(spark, notices: dict[str, list[str]] | None = None) -> DataFrame:
     return df.select("template_id", "license", F.array_distinct("found").alias("found"), F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.size("found"), F.lit(4))))).cast("int").alias("width"))
 
 
+def telling_shingles(known: list, containment: float) -> dict[int, list[list[int]]]:
+    """Of each template, for each rival of another license that holds `containment` of it but not all, the shingles the rival lacks."""
+    sets = [(r["template_id"], r["license"], set(r["found"])) for r in known]
+    rivals = lambda t, mine, found: [sorted(found - x) for _, name, x in sets if name != mine and containment <= len(found & x) / len(found) < 1]
+    return {t: rivals(t, name, found) for t, name, found in sets}
+
+
 def scan_licenses(docs: DataFrame, notices: dict[str, list[str]] | None = None, containment: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, license, containment, word_start, n_windows) of each document and license with a notice in it.
 
@@ -62,6 +72,8 @@ def scan_licenses(docs: DataFrame, notices: dict[str, list[str]] | None = None,
     n_windows how many windows show the license. Words are lower-cased runs of letters and digits. Null, empty and short texts have no
     notice; rows that repeat an id are one document; those without an id come under null; other columns are ignored. Documents that share
     no shingle with any template are passed by: no window of theirs could meet or hold one. `notices` are configuration, held by the driver.
+    A notice that stands whole in another license's notice is reported with it; near notices are told apart by the words that differ, and a
+    text in which just those words are altered shows neither.
     """
     spark = docs.sparkSession
     known = templates(spark, notices)
@@ -70,6 +82,8 @@ def scan_licenses(docs: DataFrame, notices: dict[str, list[str]] | None = None,
         return docs.select(F.col(id_col), F.lit("").alias("license"), F.lit(0.0).alias("containment"), F.lit(0).alias("word_start"), F.lit(0).cast("long").alias("n_windows")).limit(0)
     every = F.array(*[F.lit(h) for h in sorted({h for r in local for h in r["found"]})])
     widths = sorted({r["width"] for r in local})
+    telling = spark.createDataFrame(list(telling_shingles(local, containment).items()), "template_id int, telling array<array<bigint>>")
+    known = known.join(F.broadcast(telling), "template_id")
     hashed = _shingled(docs.select(F.col(id_col), _word_hashes(F.col(text_col)).alias("_w")), "_w", "_s").select(id_col, "_s")
     hashed = hashed.withColumn("_hit", F.array_intersect("_s", every)).where(F.size("_hit") > 0)
     windows = hashed.withColumn("_width", F.explode(F.array(*[F.lit(w) for w in widths])))
@@ -78,9 +92,10 @@ def scan_licenses(docs: DataFrame, notices: dict[str, list[str]] | None = None,
     windows = windows.select(id_col, "_width", "word_start", once(F.array_distinct(F.slice("_s", F.col("word_start") + 1, F.col("_width") + step))).alias("_in"), "_hit")
     windows = windows.where(F.arrays_overlap("_in", "_hit")).select(id_col, "_width", "word_start", "_in")
     banded = windows.select("*", F.posexplode(_bands("_in")).alias("band", "value"))
-    index = known.select("template_id", "license", F.col("width").alias("_width"), "found", F.posexplode(_bands("found")).alias("band", "value"))
+    index = known.select("template_id", "license", F.col("width").alias("_width"), "found", "telling", F.posexplode(_bands("found")).alias("band", "value"))
     met = banded.join(F.broadcast(index), ["_width", "band", "value"])  # 16 rows a notice
     share = F.size(F.array_intersect("found", "_in")) / F.size("found")
-    good = met.select(id_col, "license", "word_start", share.alias("containment")).where(F.col("containment") >= containment)
+    told = F.forall("telling", lambda x: F.arrays_overlap(x, F.col("_in")))
+    good = met.where(told).select(id_col, "license", "word_start", share.alias("containment")).where(F.col("containment") >= containment)
     best = good.groupBy(id_col, "license").agg(F.max(F.struct("containment", -F.col("word_start"))).alias("b"), F.count_distinct("word_start").alias("n_windows"))
     return best.select(id_col, "license", F.col("b.containment").alias("containment"), (-F.col("b").getField("col2")).alias("word_start"), "n_windows")
