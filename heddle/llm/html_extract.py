@@ -14,13 +14,22 @@ import re
 
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import ship, stage
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>", re.S)
-_ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: Up to so many rows of overruled nodes or pages, 16 to 24 MB, are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*+>")
+#: The same where quotation marks say nothing.
+_PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?][^>]*+>")
+#: After so many tags whose quotation marks do not close, those of the page say nothing: each may be sought to the end of the page.
+_ODD_QUOTES = 8
+_OPENS = re.compile(r"<[a-zA-Z/!?]")
+_ATTR = re.compile(r"([^\s\"'<>/=]++)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]++)))?")
 # Elements of HTML by kind.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style noscript template iframe textarea select svg object canvas title".split())
@@ -28,6 +37,9 @@ _BLOCK = frozenset("address article aside blockquote body caption center dd deta
 _NOISE_TAGS = frozenset("nav footer aside dialog menu button head search".split())
 #: Words of a class, id or role that say an element is not the article.
 _NOISE_WORDS = frozenset("ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted recommended related respond share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
+#: Of these, words that say so within an article only if the name has no other word than these.
+_WEAK_WORDS = frozenset("banner header notice notices promoted recommended related respond social".split())
+_WEAK_WITH = frozenset("area articles bar block box buttons container content icons items links list media news pages posts reading section stories topics wrapper".split())
 #: Classes that tell of a page's state or layout, such as has-sidebar and comments-open.
 _STATE = re.compile(r"(?:has|with|without|no)[-_]|.*[-_](?:open|closed|enabled|disabled)\Z")
 _HEADINGS = frozenset("article main section".split())
@@ -43,67 +55,103 @@ def _named_noise(tag: str, attrs: dict[str, str], inside: bool) -> bool:
     """Whether the element is noise by its names, unless it holds the article. Names of html, body, main and article say nothing."""
     if tag in ("html", "body", "main", "article") or attrs.get("role") == "main":
         return False
-    names = [x for k in ("class", "id", "role") for x in attrs.get(k, "").lower().split() if not _STATE.match(x)]
-    words = set(re.split(r"[^a-z0-9]+", " ".join(names))) - ({"header"} if inside else set())
-    return tag == "form" or not _NOISE_WORDS.isdisjoint(words)
+    if tag == "form":
+        return True
+    for name in (x for k in ("class", "id", "role") for x in attrs.get(k, "").lower().split() if not _STATE.match(x)):
+        words = set(re.split(r"[^a-z0-9]+", name)) - {""}
+        told = words & _NOISE_WORDS - ({"header"} if inside else set())
+        if told and (not inside or told - _WEAK_WORDS or words <= _WEAK_WORDS | _WEAK_WITH):
+            return True
+    return False
+
+
+class _Open:
+    """The open elements, with the places of each tag, of blocks and of headings among them, so that no step walks the whole stack."""
+
+    def __init__(self):
+        self.stack: list[tuple] = [("", 0, False, 0, 0)]  # tag, style node, noise, its element named as noise, its article
+        self.places: dict[str, list[int]] = {}
+
+    def last(self, *tags: str) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def push(self, entry: tuple) -> None:
+        for name in _kinds(entry[0]):
+            self.places.setdefault(name, []).append(len(self.stack))
+        self.stack.append(entry)
 
+    def cut(self, to: int) -> None:
+        for entry in self.stack[to:]:
+            for name in _kinds(entry[0]):
+                self.places[name].pop()
+        del self.stack[to:]
 
-def blocks(page: str | None) -> list[tuple[str, str, bool, bool]]:
+
+def _kinds(tag: str) -> list[str]:
+    return [tag] + ["*block"] * (tag in _BLOCK) + ["*heading"] * (tag in _HEADINGS)
+
+
+def blocks(page: str | None) -> list[tuple[int, str, bool, bool]]:
     """(style path, text, within the article, cut by what its elements say) of each block with text, in page order.
 
-    Names (class, id, role, form) cut no element that holds the article, which is the article or main element with most text, one of main
-    first; where they would cut all that a page shows, they cut nothing. Tolerant: end tags that match nothing are ignored, a block ends an open paragraph, and what is open at the end is closed.
+    A path is a digest of the elements and classes around the block. What is noise is told of each run of text: an inline advert leaves
+    its block, and the block stays. Names (class, id, role, form) cut no element that holds the article, which is the article or main
+    element with most text, one of main first; where they would cut all that a page shows, they cut nothing. Tolerant: end tags that match
+    nothing are ignored, a block ends an open paragraph, and what is open at the end is closed. Time is linear in the page's length.
     """
     text = page or ""
-    stack: list[tuple] = [("", "", False, (), ())]  # tag, path, noise, numbers of the elements named as noise, of articles
+    tree = _Open()
     out: list[tuple] = []
-    articles: list[list] = []  # within main, text length, elements named as noise around it
-    named = 0
-    held: list[str] = []
+    articles: list[list] = [[False, 0, 0, 0]]  # within main, text length, element named as noise around it, article around it
+    named = [0]  # of each element named as noise the one around it
+    held: list[tuple[str, bool, int]] = []
+
+    def say(a: int, b: int) -> None:
+        if a < b:
+            _, _, noise, name, article = tree.stack[-1]
+            held.append((text[a:b], noise, name))
+            if article and not noise and name == articles[article][2]:
+                articles[article][1] += len(text[a:b].strip())
 
     def flush() -> None:
         if held:
-            words = " ".join(_html.unescape("".join(held)).split())
+            out.append((tree.stack[-1][1], bool(tree.stack[-1][4]), held.copy()))
             held.clear()
-            if words:
-                k = len(stack) - 1
-                while k and stack[k][0] not in _BLOCK:
-                    k -= 1
-                _, _, noise, names, _ = stack[-1]
-                out.append((stack[k][1], words, bool(stack[k][4]), noise, names))
-                for n in stack[k][4]:
-                    if not noise and names == articles[n][2]:
-                        articles[n][1] += len(words)
-
-    def close(to: int) -> None:
-        if any(s[0] in _BLOCK for s in stack[to:]):
-            flush()
-        del stack[to:]
-
-    at = 0
-    while m := _TAG.search(text, at):
-        if m.start() > at:
-            held.append(text[at : m.start()])
-        at = m.end()
-        end, tag, raw = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        if not tag:
+
+    at, told, last, pattern, odd = 0, 0, text.rfind(">"), _TAG, 0
+    while 0 <= (at := text.find("<", at)) < last:
+        if text.startswith("<!--", at):
+            end = text.find("-->", at + 4)
+            say(told, at)
+            at = told = end + 3 if end >= 0 else len(text)
             continue
-        tag = tag.lower()
-        if end:
-            k = len(stack) - 1
-            while k and stack[k][0] != tag and not (stack[k][0] in _HEADINGS and tag not in _BLOCK):
-                k -= 1
-            if k and stack[k][0] == tag:
-                close(k)
+        m = pattern.match(text, at)
+        if not m and pattern is _TAG and _OPENS.match(text, at):
+            m, odd = _PLAIN_TAG.match(text, at), odd + 1
+            pattern = _PLAIN_TAG if odd > _ODD_QUOTES else _TAG
+        if not m:
+            at += 1
+            continue
+        say(told, at)
+        at = told = m.end()
+        if not m[2]:
+            continue
+        tag, raw = m[2].lower(), m[3]
+        if m[1]:
+            k = tree.last(tag)
+            if k and (tag in _BLOCK or k >= tree.last("*heading")):
+                if tree.last("*block") >= k:
+                    flush()
+                tree.cut(k)
             elif tag in _BLOCK:
                 flush()
             continue
         if tag == "br":
-            held.append(" ")
+            held.append((" ", *tree.stack[-1][2:4]))
             continue
         if tag in _RAW and not raw.endswith("/"):
-            stop = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(text, at)
-            at = stop.end() if stop else len(text)
+            stop = re.compile(rf"</{re.escape(tag)}\s*+>", re.I).search(text, at)
+            at = told = stop.end() if stop else len(text)
             continue
         if tag in _VOID:
             if tag == "hr":
@@ -111,40 +159,47 @@ def blocks(page: str | None) -> list[tuple[str, str, bool, bool]]:
             continue
         if tag in _BLOCK:
             flush()
-            for k in range(len(stack) - 1, 0, -1):  # a block ends the paragraph it is in
-                if stack[k][0] == "p":
-                    del stack[k:]
-                    break
-                if stack[k][0] in _BLOCK:
-                    break
+            if (k := tree.last("p")) and k == tree.last("*block"):  # a block ends the paragraph it is in
+                tree.cut(k)
             if tag in _CLOSED_BY:
                 ended, until = _CLOSED_BY[tag]
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] in until:
-                        break
-                    if stack[k][0] in ended.split():
-                        del stack[k:]
-                        break
+                if (k := tree.last(*ended.split())) > tree.last(*until):
+                    tree.cut(k)
         if raw.endswith("/") and tag not in _BLOCK:
             continue
         attrs = {a.lower(): _html.unescape(b or c or d) for a, b, c, d in _ATTR.findall(raw)} if "=" in raw or "hidden" in raw.lower() else {}
-        _, path, noise, names, within = stack[-1]
-        noise = noise or _noise(tag, attrs, bool(within))
-        if _named_noise(tag, attrs, bool(within)):
-            named += 1
-            names = (*names, named)
+        _, path, noise, name, article = tree.stack[-1]
+        noise = noise or _noise(tag, attrs, bool(article))
+        if _named_noise(tag, attrs, bool(article)):
+            named.append(name)
+            name = len(named) - 1
         main = tag == "main" or attrs.get("role") == "main"
         if main or tag == "article":
-            articles.append([main or any(articles[n][0] for n in within), 0, names])
-            within = (*within, len(articles) - 1)
-        name = tag + ("." + "_".join(sorted(attrs["class"].split())) if attrs.get("class") else "")
-        stack.append((tag, f"{path}>{name}" if tag in _BLOCK else path, noise, names, within))
-    held.append(text[at:] if "<" not in text[at:] else re.sub(r"<[^>]*\Z", "", text[at:]))
+            articles.append([main or articles[article][0], 0, name, article])
+            article = len(articles) - 1
+        if tag in _BLOCK:
+            path = _node(f"{path}>{tag}." + "_".join(sorted(attrs.get("class", "").split())))
+        tree.push((tag, path, noise, name, article))
+    rest = max(told, last + 1)
+    cut = _OPENS.search(text, rest)
+    say(told, cut.start() if cut else len(text))
     flush()
-    holders = set(max(articles, key=lambda x: x[:2])[2]) if articles else set()
-    if all(x[3] or not holders.issuperset(x[4]) for x in out):
-        holders = set(range(1, named + 1))
-    return [(*x[:3], x[3] or not holders.issuperset(x[4])) for x in out]
+    for _, size, name, around in reversed(articles[1:]):  # what an inner one shows, the outer shows as well
+        if name == articles[around][2]:
+            articles[around][1] += size
+    allowed = {0}
+    if len(articles) > 1:
+        name = max(articles[1:], key=lambda x: x[:2])[2]
+        while name:
+            allowed.add(name)
+            name = named[name]
+    shown = lambda runs: " ".join(_html.unescape("".join(t for t, noise, name in runs if not noise and name in allowed)).split())
+    found = [(path, shown(runs), article, runs) for path, article, runs in out]
+    if not any(x[1] for x in found):
+        allowed = set(range(len(named)))
+        found = [(path, shown(runs), article, runs) for path, article, runs in out]
+    every = lambda runs: " ".join(_html.unescape("".join(r[0] for r in runs)).split())
+    return [(path, words or every(runs), article, not words) for path, words, article, runs in found if words or every(runs)]
 
 
 def _host(url: str | None) -> str:
@@ -156,37 +211,44 @@ def _node(path: str) -> int:
     return xxhash.xxh3_64_intdigest(path) - (1 << 63)
 
 
-def _keyed(host: str, page: str | None) -> tuple[bool, list[tuple[int, int, str, bool]]]:
-    """Whether the page marks its article; (style node of the host, text digest, text, kept by the prior) of each block that is not noise.
+def _keyed(host: str, page: str | None) -> tuple[bool, list[tuple[int, int, str]]]:
+    """Whether the page marks its article; (style node of the host, text digest, text) of each block that is not noise.
 
     An odd node is kept by the prior.
     """
     found = [x for x in blocks(page) if not x[3]]
     marked = any(x[2] for x in found)
-    return marked, [(_node(f"{host}\n{path}") & ~1 | (article or not marked), _node(words) or 1, words, article or not marked) for path, words, article, _ in found]
+    return marked, [(_node(f"{host}\n{path}") & ~1 | (article or not marked), _node(words) or 1, words) for path, words, article, _ in found]
 
 
-def style_nodes(pages: DataFrame) -> DataFrame:
-    """(page_id, copy, node, words, content) of each style node of each page, and of each text there.
+_PARSED = "row bigint, page_id bigint, url string, marked boolean, copy bigint, nodes array<struct<node:bigint,words:bigint,content:bigint>>, blocks array<struct<node:bigint,words:bigint,text:string>>"
 
-    content digests what the page shows at the node and words is 0; a text's words is its digest. copy digests the whole page.
+
+def parsed(pages: DataFrame) -> DataFrame:
+    """A row a page, parsed once: its blocks, and each style node and text that it shows.
+
+    content digests what the page shows at a node, where words is 0; a text's words is its digest. copy digests the whole page.
     """
 
     def parse(batches):
+        at = TaskContext.get().partitionId() << 40
+        long, block = pa.int64(), pa.struct([("node", pa.int64()), ("words", pa.int64()), ("text", pa.string())])
+        types = [long, long, pa.string(), pa.bool_(), long, pa.list_(pa.struct([("node", long), ("words", long), ("content", long)])), pa.list_(block)]
         for b in batches:
             rows = []
             for key, url, page in zip(*(b.column(k).to_pylist() for k in range(3))):
+                marked, found = _keyed(_host(url), page)
                 shown: dict[int, list[str]] = {}
-                _, found = _keyed(_host(url), page)
-                for node, _, text, _ in found:
+                for node, _, text in found:
                     shown.setdefault(node, []).append(text)
-                copy = _node("\n".join(x[2] for x in found))
-                rows += [(key, copy, node, 0, _node("\n".join(x))) for node, x in shown.items()]
-                rows += [(key, copy, node, words, 0) for node, words in {x[:2] for x in found}]
+                nodes = [{"node": n, "words": 0, "content": _node("\n".join(x))} for n, x in shown.items()]
+                nodes += [{"node": n, "words": w, "content": 0} for n, w in {x[:2] for x in found}]
+                rows.append((at, key, url, marked, _node("\n".join(x[2] for x in found)), nodes, [dict(zip(("node", "words", "text"), x)) for x in found]))
+                at += 1
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["page_id", "copy", "node", "words", "content"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["row", "page_id", "url", "marked", "copy", "nodes", "blocks"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(parse, "page_id bigint, copy bigint, node bigint, words bigint, content bigint")
+    return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(parse, _PARSED)
 
 
 def overruled(nodes: DataFrame, importance: float = 0.3, least_pages: int = 4) -> DataFrame:
@@ -205,30 +267,24 @@ def overruled(nodes: DataFrame, importance: float = 0.3, least_pages: int = 4) -
     return total.where(F.col("m") >= least_pages).select("node", F.explode(turned).alias("words"))
 
 
-def main_text(url: str | None, page: str | None, turned: set[int], least: float = 0.1) -> str:
-    """The page's text; `turned` holds node ^ words where the tree overrules. Where it would leave under `least` of a marked article, that stays whole."""
-    marked, found = _keyed(_host(url), page)
-    kept = [x for x in found if x[3] != (x[0] in turned) and x[0] ^ x[1] not in turned]
-    prior = [x for x in found if x[3]]
-    if marked and sum(len(x[2]) for x in kept if x[3]) < least * sum(len(x[2]) for x in prior):
-        kept = prior
-    return "\n".join(x[2] for x in kept)
-
-
-def extract(pages: DataFrame) -> DataFrame:
+def extract(pages: DataFrame, least: float = 0.1) -> DataFrame:
     """(page_id, url, text, n_chars) of each row.
 
-    Null and empty html give an empty text. Null and repeated page ids keep a row each (rows of one id share what is cut on it); a null
-    url is a host of its own. Empty tables give empty ones; other columns are ignored. Whole pages of any length are read.
+    Where the tree would leave under `least` of a marked article, that stays whole. Null and empty html give an empty text. Null and
+    repeated page ids keep a row each, judged by itself; a null url is a host of its own. Empty tables give empty ones; other columns are
+    ignored. Whole pages of any length are read, each once.
     """
     ship(pages.sparkSession)
-    nodes = style_nodes(pages)
-    turned = nodes.join(overruled(nodes), ["node", "words"]).groupBy("page_id").agg(F.collect_set(F.col("node").bitwiseXOR(F.col("words"))).alias("turned")).withColumnRenamed("page_id", "_page")
-    source = pages.select(F.col("page_id").cast("long"), "url", "html").join(turned, F.col("page_id").eqNullSafe(F.col("_page")), "left")
-
-    def parse(batches):
-        for b in batches:
-            texts = [main_text(url, page, set(turned or ())) for url, page, turned in zip(*(b.column(k).to_pylist() for k in range(1, 4)))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
-
-    return source.select("page_id", "url", "html", "turned").mapInArrow(parse, "page_id bigint, url string, text string, n_chars bigint")
+    source = stage(parsed(pages), "pages")
+    nodes = source.select("row", "copy", F.inline("nodes"))
+    low = stage(overruled(nodes), "overruled")
+    hits = nodes.join(F.broadcast(low) if low.count() <= BROADCAST_ROWS else low, ["node", "words"])
+    turned = stage(hits.groupBy("row").agg(F.collect_set(F.col("node").bitwiseXOR(F.col("words"))).alias("turned")), "turned")
+    few = (turned.agg(F.sum(F.size("turned") + 1)).first()[0] or 0) <= BROADCAST_ROWS
+    page = source.join(F.broadcast(turned) if few else turned, "row", "left").withColumn("turned", F.coalesce("turned", F.array().cast("array<bigint>")))
+    prior = lambda x: x["node"].bitwiseAND(1) == 1
+    stays = lambda x: (prior(x) != F.array_contains("turned", x["node"])) & ~F.array_contains("turned", x["node"].bitwiseXOR(x["words"]))
+    size = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda n, x: n + F.when(prior(x), F.length(x["text"])).otherwise(0))
+    page = page.withColumn("kept", F.filter("blocks", stays)).withColumn("kept", F.when(F.col("marked") & (size(F.col("kept")) < least * size(F.col("blocks"))), F.filter("blocks", prior)).otherwise(F.col("kept")))
+    text = F.array_join(F.transform("kept", lambda x: x["text"]), "\n")
+    return page.select("page_id", "url", text.alias("text")).select("*", F.length("text").cast("long").alias("n_chars"))
