@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .caches import Hashes, use
@@ -69,7 +69,7 @@ class Ftrl:
 
 def _train(rows: Iterator[tuple[str | None, int]], epochs: int) -> tuple[np.ndarray, np.ndarray]:
     model = Ftrl()
-    data = [(np.append(np.unique(features(text)), PLACES), label) for text, label in rows]
+    data = [(np.append(np.unique(features(text)), np.int32(PLACES)), label) for text, label in rows]
     for _ in range(epochs):
         for idx, label in data:
             model.learn(idx, label)
@@ -83,11 +83,13 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 5000, epochs: int = 5, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 5000, most_chars: int = 64_000_000, epochs: int = 5, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
     """(places, weights), the non-zero ones, at most 2**20 + 1.
 
-    Trains on at most `per_class` labelled rows of each class that are not held out: those of least hash of id. Rows without a label or
-    id are ignored; an id labelled both ways counts as toxic. Without labelled rows there are no weights and every score is 0.5.
+    Trains on at most `per_class` labelled ids of each class that are not held out, those of least hash, and of these on as many whole
+    texts in that order as have `most_chars` characters together: features take about four bytes a character. Rows without a label or
+    id are ignored; an id labelled both ways counts as toxic, one of several texts gives that of least hash. Without labelled rows there
+    are no weights and every score is 0.5.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -98,7 +100,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 5000, epochs: int =
     picked = [known.where(F.col("_y") == y).orderBy(order, "_key").limit(per_class) for y in (0, 1)]
     ids = picked[0].union(picked[1])  # at most 2 * per_class rows, whatever the input
     texts = docs.select(F.col(id_col).cast("long").alias("_key"), F.col(text_col).alias("_text"))
-    sample = texts.join(F.broadcast(ids), "_key").select("_key", "_text", "_y").repartition(1).sortWithinPartitions(F.xxhash64("_key"), "_key", "_text")
+    sample = texts.join(F.broadcast(ids), "_key").groupBy("_key", "_y").agg(F.min_by("_text", F.xxhash64("_text")).alias("_text"))
+    so_far = F.sum(F.coalesce(F.length("_text"), F.lit(0))).over(Window.orderBy(order, "_key"))  # over at most 2 * per_class rows
+    sample = sample.withColumn("_chars", so_far).where(F.col("_chars") <= most_chars).select("_key", "_text", "_y")
 
     def train(batches):
         rows = ((t, y) for b in batches for t, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist()))
@@ -111,20 +115,19 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 5000, epochs: int =
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text_col: str = "text", name: str = "score") -> DataFrame:
     """docs with a score column, 0 to 1; null texts score as empty ones. Every row and column is kept."""
-    dense = np.zeros(PLACES + 1, dtype=np.float32)  # 4 MB whatever the input
-    dense[model[0]] = model[1]
-    shared, bias = docs.sparkSession.sparkContext.broadcast(dense), float(dense[PLACES])
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # the weights that are not zero
 
-    def one(text: str | None) -> float:
-        w = shared.value
+    def one(text: str | None, w: np.ndarray) -> float:
         idx = features(text)
         idx = np.unique(idx[w[idx] != 0])
-        return float(1 / (1 + np.exp(-np.clip(bias + w[idx].sum(dtype=np.float64), -35, 35))))
+        return float(1 / (1 + np.exp(-np.clip(w[PLACES] + w[idx].sum(dtype=np.float64), -35, 35))))
 
     @F.pandas_udf("double")
     def scores(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        w = np.zeros(PLACES + 1, dtype=np.float32)
+        w[shared.value[0]] = shared.value[1]
         for texts in parts:
-            yield pd.Series([one(x) for x in texts], dtype="float64")
+            yield pd.Series([one(x, w) for x in texts], dtype="float64")
 
     return docs.withColumn(name, scores(F.col(text_col)))
 
