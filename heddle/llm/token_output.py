@@ -160,6 +160,14 @@ def read_tokens(spark, path: str) -> DataFrame:
     return segments.join(F.broadcast(base), "part").withColumn("start", F.col("base") + F.col("before"))
 
 
+def token_at(spark, path: str, place: int) -> int:
+    """The id at a place of the whole corpus: the segment that holds it is found by its start, and no other id of it is decoded."""
+    row = read_tokens(spark, path).where((F.col("start") <= place) & (place < F.col("start") + F.col("n_ids"))).select("codes", "start").first()
+    if row is None:
+        raise IndexError(place)
+    return Segment(bytes(row.codes)).token(place - row.start)
+
+
 def document_digests(spark, path: str) -> DataFrame:
     """Per document as read back from the segments: doc_id, start, n_tokens, ids_crc32."""
     import zlib
