@@ -18,7 +18,8 @@ TOKENIZER = "byte_bpe_50k.json"
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.7; those without text stay."""
     model = fit(docs, table(spark, sf_dir, "labels"))
-    return score(docs, model, name="_score").where("_score < 0.7").select(*docs.columns)
+    blank = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"\S")
+    return score(docs, model, name="_score").where((F.col("_score") < 0.7) | blank).select(*docs.columns)
 
 
 def row_keys(docs: DataFrame) -> DataFrame:
