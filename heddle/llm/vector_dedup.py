@@ -64,6 +64,24 @@ def codes(x: np.ndarray, tables: int, hashes: int, probes: int) -> np.ndarray:
     return out
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length one; scaled first, so that no square overflows."""
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _packed(x: np.ndarray) -> list[bytes]:
+    """Each row as bytes, in single precision where that holds it exactly."""
+    with np.errstate(over="ignore"):
+        short = x.astype("<f4")
+    same = (short == x).all(1)
+    return [b"f" + a.tobytes() if k else b"d" + b.tobytes() for k, a, b in zip(same, short, x.astype("<f8"))]
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, "<f4" if raw[:1] == b"f" else "<f8", offset=1).astype(np.float64)
+
+
 def _block_pairs(ids, mult, role, code, x, t: int, i: int, j: int, chunk, threshold: float):
     """Counts and a forest of one block: members meet members and probers; a pair counts where it first meets."""
     main = np.flatnonzero(role == 0)
@@ -117,6 +135,7 @@ def vector_components(vectors: DataFrame, threshold: float = 0.95, tables: int |
     hashes = hashes or max(2, round(math.log(max(n, 1)) / math.log(span)))
     probes = min(probes, hashes)
     tables = tables or 6 << (hashes - 2)
+    kind = np.int32 if span**hashes < 2**31 else np.int64  # of a bucket's code
 
     def hashed(batch):
         ids, mult, vs = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2)
@@ -125,9 +144,7 @@ def vector_components(vectors: DataFrame, threshold: float = 0.95, tables: int |
         for dims in np.unique(size):
             pick = np.flatnonzero(size == dims)
             x = flat[at[pick][:, None] + np.arange(dims)]
-            x = x / np.abs(x).max(1, keepdims=True)
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
-            c = codes(x, tables, hashes, probes)
+            c = codes(_unit(x), tables, hashes, probes)
             # The key is table, length and bucket, folded to 64 bits; the codes tell apart what should meet by chance.
             t = np.arange(tables, dtype=np.uint64)[None, :, None]
             with np.errstate(over="ignore"):
@@ -143,11 +160,11 @@ def vector_components(vectors: DataFrame, threshold: float = 0.95, tables: int |
         names = ["key", "tab", "role", "cls", "mult", "code", "x"]
         for b in batches:
             for ids, mult, x, c, key in hashed(b):
-                step = 1 + probes
+                step, told, raw = 1 + probes, [r.tobytes() for r in c.astype(kind)], _packed(x)
                 for t in range(tables):
                     m = len(ids) * step
                     rep = np.repeat(np.arange(len(ids)), step)
-                    yield pa.RecordBatch.from_arrays([pa.array(key[:, t].ravel()), pa.array(np.full(m, t, np.int32)), pa.array(np.tile(np.minimum(np.arange(step), 1), len(ids)).astype(np.int32)), pa.array(ids[rep]), pa.array(mult[rep]), pa.array([c[i].tobytes() for i in rep], pa.binary()), pa.array([x[i].tobytes() for i in rep], pa.binary())], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array(key[:, t].ravel()), pa.array(np.full(m, t, np.int32)), pa.array(np.tile(np.minimum(np.arange(step), 1), len(ids)).astype(np.int32)), pa.array(ids[rep]), pa.array(mult[rep]), pa.array([told[i] for i in rep], pa.binary()), pa.array([raw[i] for i in rep], pa.binary())], names=names)
 
     source = classes.select("cls", "mult", "v")
     sizes = source.mapInArrow(keys, "key bigint").groupBy("key").agg(F.count(F.lit(1)).alias("size"))
@@ -162,11 +179,11 @@ def vector_components(vectors: DataFrame, threshold: float = 0.95, tables: int |
         def done(held):
             cols = [np.concatenate([h[k] for h in held]) for k in range(8)]
             if len(cols[0]) > 1:
-                code = np.stack([np.frombuffer(r, np.int64) for r in cols[6]]).reshape(-1, tables, 1 + probes)
-                raw = [np.frombuffer(r, np.float64) for r in cols[7]]
+                code = np.stack([np.frombuffer(r, kind) for r in cols[6]]).reshape(-1, tables, 1 + probes)
+                raw = [_unpacked(r) for r in cols[7]]
                 for dims in {len(r) for r in raw}:
                     p = np.array([q for q, r in enumerate(raw) if len(r) == dims])
-                    got = _block_pairs(cols[4][p], cols[5][p], cols[3][p], code[p], np.stack([raw[q] for q in p]), int(cols[2][0]), int(held[0][8]), int(held[0][9]), cols[1][p], threshold)
+                    got = _block_pairs(cols[4][p], cols[5][p], cols[3][p], code[p], _unit(np.stack([raw[q] for q in p])), int(cols[2][0]), int(held[0][8]), int(held[0][9]), cols[1][p], threshold)
                     if got:
                         yield pa.RecordBatch.from_arrays([pa.array(c) for c in got], names=["cls", "links", "root"])
 
