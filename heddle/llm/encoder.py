@@ -42,7 +42,7 @@ class Encoder:
     A cache whose entries come to `most_bytes` keeps those of the texts at hand alone: the usual words are among them.
     """
 
-    def __init__(self, path: str, most_bytes: int = 80 << 20):
+    def __init__(self, path: str, most_bytes: int = 64 << 20):
         self.sp = None
         if path.endswith(".model"):
             import sentencepiece
