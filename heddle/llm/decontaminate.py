@@ -37,8 +37,9 @@ def seeds(rows: DataFrame, words: str, at: str) -> DataFrame:
 def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, matched_words, item_words, doc_word) of each document and item that overlap.
 
-    They overlap when at one alignment at least `share` of the item's words agree, any of them substituted, or all but RUN_CHANGES of RUN
-    words in a row. doc_word is where the item would start, below 0 where the document has only a later part of it (the best alignment's;
+    They overlap when at one alignment at least `share` of the item's words agree, or all but RUN_CHANGES of RUN words in a row, and a seed
+    finds that alignment: six of some eight neighbouring words agree, at the places that a mask reads. So two of eight may be substituted,
+    or every third or fourth word, but every second one is not found. doc_word is where the item would start, below 0 where the document has only a later part of it (the best alignment's;
     of equal ones the first). An item of fewer than eight words overlaps where all its words stand in a row. Null and empty texts overlap
     with nothing, nor do texts of fewer than eight words with longer items. Rows that repeat an id are one document; those without an id come under null. Other columns are ignored.
     """
@@ -49,9 +50,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.5, id_c
     hint = F.broadcast if small else (lambda df: df)
     source = docs.select(F.col(id_col).alias("_id"), once(word_hashes(F.col(text_col))).alias("_dw"))
     hits = seeds(source, "_dw", "_dp")
-    if not small:  # only hashes and places are shuffled; the words are joined to the hits
-        narrow = hits.select("_id", "_dp", "seed").join(index, "seed").select("_id", "item_id", (F.col("_dp") - F.col("_ip")).alias("_dp")).distinct()
-        hits = narrow.join(source.withColumnRenamed("_id", "_of"), F.col("_id").eqNullSafe(F.col("_of"))).withColumn("_ip", F.lit(0))
+    if not small:  # only hashes and places are shuffled; the words are joined to the hits, row by row: a row is its id and text
+        source = docs.select(F.col(id_col).alias("_id"), F.md5(F.coalesce(text_col, F.lit(""))).alias("_row"), once(word_hashes(F.col(text_col))).alias("_dw"))
+        narrow = seeds(source, "_dw", "_dp").select("_id", "_row", "_dp", "seed").join(index, "seed").select("_id", "_row", "item_id", (F.col("_dp") - F.col("_ip")).alias("_dp")).distinct()
+        of = source.dropDuplicates(["_id", "_row"]).withColumnsRenamed({"_id": "_of", "_row": "_of_row"})
+        hits = narrow.join(of, F.col("_id").eqNullSafe(F.col("_of")) & (F.col("_row") == F.col("_of_row"))).withColumn("_ip", F.lit(0))
     else:
         hits = hits.join(hint(index), "seed")
     hits = hits.join(hint(items), "item_id").withColumn("doc_word", F.col("_dp") - F.col("_ip"))
