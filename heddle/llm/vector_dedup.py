@@ -129,7 +129,7 @@ def vector_components(vectors: DataFrame, threshold: float = 0.95, tables: int |
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), vec.alias("v"))
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     valid = rows.where(F.col("id").isNotNull() & F.col("v").isNotNull()).where(~F.exists("v", bad) & F.exists("v", lambda x: x != 0))
-    classes = stage(valid.groupBy("v").agg(F.min("id").alias("cls"), F.count(F.lit(1)).alias("mult")), "vectors")
+    classes = stage(valid.groupBy("v").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("mult")).withColumn("cls", F.monotonically_increasing_id()), "vectors")
     n, dim = classes.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
     span = 2 << max(1, ((dim or 1) - 1).bit_length())
     hashes = hashes or max(2, round(math.log(max(n, 1)) / math.log(span)))
@@ -206,8 +206,9 @@ def vector_components(vectors: DataFrame, threshold: float = 0.95, tables: int |
     found = stage(placed.mapInArrow(blocks, "cls bigint, links bigint, root bigint"), "links")
     comps = connected_components(found.where("cls != root").select(F.col("cls").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("cls").agg(F.sum("links").alias("links"))
-    of = classes.join(links, "cls", "left").join(comps, F.col("cls") == F.col("id"), "left")
-    of = of.select("v", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "cls").alias("component"))
+    first = comps.join(classes.select(F.col("cls").alias("id"), "least"), "id").groupBy("component").agg(F.min("least").alias("first"))
+    of = classes.join(links, "cls", "left").join(comps.join(first, "component").select(F.col("id").alias("cls"), "first"), "cls", "left")
+    of = of.select("v", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("first", "least").alias("component"))
     usable = valid.join(of, "v").select("id", "n_links", "component")
     rest = rows.where(~F.coalesce(F.col("id").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", bad) & F.exists("v", lambda x: x != 0), F.lit(False)))
     out = usable.union(rest.select("id", F.lit(0).cast("long"), F.col("id")))
