@@ -36,8 +36,8 @@ _SAMPLED = 8
 CROWD = 8
 #: The rows of a shingle that at least so many classes share are compared by way of its hub; below it, listing the pairs costs less.
 HUB_CROWD = 16
-#: The rows of a crowded shingle are dealt into so many parts at most.
-SALTS = 64
+#: The rows of a crowded shingle are dealt into so many parts at most; where pairs are listed, each part has about so many rows.
+SALTS, SALT_ROWS = 64, 500
 #: Up to so many ids, 16 MB, are broadcast to pick out rows; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -373,12 +373,11 @@ def _apart_pairs(apart: DataFrame, percent: int) -> DataFrame:
     w, rest = 100 + percent, 100 - percent
     some = apart.where("tok is not null")
     sizes = some.groupBy("tok", "comp").agg(F.count(F.lit(1)).alias("c"))
-    big = sizes.groupBy("tok").agg(F.max_by("comp", F.struct("c", "comp")).alias("big"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("tok", "big")
-    tagged = some.join(big, "tok")
+    tagged = some.join(_largest(sizes), "tok")
     side = lambda x: ["tok", "hub", f"cls {x}", f"n {x}n", f"comp {x}c", f"near {x}near", f"d {x}d", f"at {x}at", f"short {x}short", f"if(near, short, long) {x}long", f"need {x}need", f"if(near, need, need_near) {x}needn"]
-    x = tagged.where("comp != big").selectExpr(*side("a"))
-    y = tagged.selectExpr(*side("b"), "big").drop("hub")
-    met = x.join(y, "tok").where("ac != bc and (bc = big or a < b) and if(anear = bnear, not anear and ashort and bshort, along and blong)")
+    x = _every_part(tagged.where("comp != big")).selectExpr(*side("a"), "_part")
+    y = _own_part(tagged).selectExpr(*side("b"), "big", "_part").drop("hub")
+    met = x.join(y, ["tok", "_part"]).where("ac != bc and (bc = big or a < b) and if(anear = bnear, not anear and ashort and bshort, along and blong)")
     need = "if(anear = bnear, least(aneed, bneed), least(aneedn, bneedn))"
     share = f"greatest(1, ({w} * (ad + bd) - {rest} * (an + bn) + {2 * w - 1}) div {2 * w})"
     met = met.where(f"100 * least(an, bn) >= {percent} * greatest(an, bn) and {share} <= least(ad, bd) and aat < ad - {share} + {need} and bat < bd - {share} + {need}")
@@ -393,13 +392,28 @@ def _live(live: DataFrame, comps: DataFrame) -> DataFrame:
     return stage(rows.join(mixed, "tok"), "live")
 
 
+def _largest(sizes: DataFrame) -> DataFrame:
+    """(tok, big, parts) of the shingles that more than one component has: the component of most rows, and into how many parts the rows are dealt."""
+    of = sizes.groupBy("tok").agg(F.max_by("comp", F.struct("c", "comp")).alias("big"), F.count(F.lit(1)).alias("kinds"), F.sum("c").alias("rows"))
+    return of.where("kinds > 1").select("tok", "big", F.least(F.lit(SALTS), F.ceil(F.col("rows") / SALT_ROWS)).cast("int").alias("parts"))
+
+
+def _own_part(rows: DataFrame) -> DataFrame:
+    """Rows with the part of their shingle that they are dealt to, by class."""
+    return rows.withColumn("_part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
+
+
+def _every_part(rows: DataFrame) -> DataFrame:
+    """Rows once for each part of their shingle."""
+    return rows.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+
+
 def _candidates(live: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) in different components with enough shared prefix shingles."""
     sizes = live.groupBy("tok", "comp").agg(F.count(F.lit(1)).alias("c"))
-    big = sizes.groupBy("tok").agg(F.max_by("comp", F.struct("c", "comp")).alias("big"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("tok", "big")
-    tagged = live.join(big, "tok")
-    x = tagged.where("comp != big").select("tok", F.col("cls").alias("a"), F.col("n").alias("an"), F.col("l").alias("al"), F.col("comp").alias("ac"))
-    y = tagged.select("tok", F.col("cls").alias("b"), F.col("n").alias("bn"), F.col("l").alias("bl"), F.col("comp").alias("bc"), "big")
-    met = x.join(y, "tok").where("ac != bc and (bc = big or a < b)").where(f"100 * least(an, bn) >= {percent} * greatest(an, bn)")
+    tagged = live.join(_largest(sizes), "tok")
+    x = _every_part(tagged.where("comp != big")).select("tok", "_part", F.col("cls").alias("a"), F.col("n").alias("an"), F.col("l").alias("al"), F.col("comp").alias("ac"))
+    y = _own_part(tagged).select("tok", "_part", F.col("cls").alias("b"), F.col("n").alias("bn"), F.col("l").alias("bl"), F.col("comp").alias("bc"), "big")
+    met = x.join(y, ["tok", "_part"]).where("ac != bc and (bc = big or a < b)").where(f"100 * least(an, bn) >= {percent} * greatest(an, bn)")
     pair = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("al", "bl").alias("need"))
     return pair.groupBy("a", "b").agg(F.count(F.lit(1)).alias("hits"), F.min("need").alias("need")).where("hits >= need").select("a", "b")
