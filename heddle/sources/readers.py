@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,10 +12,11 @@ from pyspark.sql import functions as F
 from heddle.functions.text import both_filters
 
 
-def read_gz_csv(spark: SparkSession, glob: str, schema: str | None = None) -> DataFrame:
-    """Gzipped CSV files of a glob; a file is one task, since gzip cannot be split, so rows are dealt anew where there are few large ones."""
+def read_gz_csv(spark: SparkSession, glob: str, schema: str | None = None, parts: int | None = None) -> DataFrame:
+    """Gzipped CSV files of a glob; a file is one task, since gzip cannot be split: with `parts` the rows are dealt anew, for few large files."""
     reader = spark.read.option("header", True)
-    return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(glob)
+    df = (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(glob)
+    return df.repartition(parts) if parts else df
 
 
 def read_json(spark: SparkSession, path: str, multiline: bool = False, schema: str | None = None) -> DataFrame:
@@ -41,10 +43,17 @@ DATABASES = {
     "postgresql": ("jdbc:postgresql://{host}:{port}/{database}", "org.postgresql.Driver", True),
     "sqlserver": ("jdbc:sqlserver://{host}:{port};databaseName={database}", "com.microsoft.sqlserver.jdbc.SQLServerDriver", True),
     "hive": ("jdbc:hive2://{host}:{port}/{database}", "org.apache.hive.jdbc.HiveDriver", True),
+    "azure_sqlserver": ("jdbc:sqlserver://{host}:{port};databaseName={database};encrypt=true", "com.microsoft.sqlserver.jdbc.SQLServerDriver", True),
+    "derby": ("jdbc:derby:{database}", "org.apache.derby.iapi.jdbc.AutoloadedDriver", True),
     "snowflake": ("jdbc:snowflake://{host}:{port}/?db={database}", "net.snowflake.client.jdbc.SnowflakeDriver", False),
 }
 
 
+def database(name: str, url: str, driver: str, writable: bool = False) -> None:
+    """Make another kind of database known: a URL pattern with host, port and database, and its driver's class."""
+    DATABASES[name] = (url, driver, writable)
+
+
 def jdbc_options(kind: str, host: str, port: int, database: str, table: str | None = None, user: str | None = None, password: str | None = None, columns: Sequence[str] = (), where: str | None = None, sql: str | None = None, partition: dict | None = None, fetch_size: int = 10_000, row_limit: int | None = None, write: bool = False) -> dict[str, str]:
     """Options of a JDBC reader or writer; what is asked of columns and rows is pushed to the database as a query.
 
@@ -107,6 +116,27 @@ def reader(name: str):
 for _format in ("parquet", "csv", "json", "orc", "text"):
     reader(_format)(lambda spark, path, _format=_format, **options: spark.read.format(_format).options(**options).load(path))
 reader("jdbc")(read_jdbc)
+
+
+@reader("rest")
+def _(spark, **options):
+    from .rest import read_rest
+
+    return read_rest(spark, **options)
+
+
+@reader("jdbc_even")
+def _(spark, **options):
+    from .jdbc import read_even
+
+    return read_even(spark, **options)
+
+
+@reader("kafka")
+def _(spark, **options):
+    return kafka_text(spark.read.format("kafka").options(**kafka_options(**options)).load())
+
+
 reader("binary")(read_binary)
 
 
@@ -139,9 +169,9 @@ def dicts_to_frame(spark: SparkSession, rows: Iterable[dict], schema: str | None
     text = lots[0]
     for lot in lots[1:]:
         text = text.unionAll(lot)
-    if infer and not schema:  # from the first thousand rows
-        some = [r[0] for r in lots[0].limit(1000).collect()]
-        schema = spark.range(1).select(F.schema_of_json(F.lit(f"[{','.join(some)}]"))).first()[0].removeprefix("ARRAY<").removesuffix(">")
+    if infer and not schema:  # from all rows
+        told = text.agg(F.schema_of_variant_agg(F.parse_json("json_string"))).first()[0]
+        schema = re.sub(r"DECIMAL\(\d+,\s*\d+\)", "DOUBLE", told.replace("OBJECT<", "STRUCT<").replace("VOID", "STRING"))
     return text.select(F.from_json("json_string", schema).alias("r")).select("r.*") if schema else text
 
 
