@@ -93,3 +93,12 @@ def model_column(ask: Callable[[str], str]) -> Callable[[Column], Column]:
 def decode_text(content: Column, most: int = 200_000) -> Column:
     """Bytes as UTF-8 text, wrong bytes replaced, cut at so many characters as the reading side asks."""
     return F.substring(F.make_valid_utf8(content.cast("string")), 1, most)
+
+
+def variant_columns(df: DataFrame, column: str, paths: dict[str, tuple[str, str]]) -> DataFrame:
+    """`df` with a column for each path, {name: (path, type)}; the JSON text is parsed once a row, into a VARIANT, whatever their number.
+
+    A text that is no JSON, a path that is not there and a value that is not of the type give NULL.
+    """
+    held = df.withColumn("_variant", F.explode(F.array(F.try_parse_json(column))))
+    return held.select(*df.columns, *[F.try_variant_get("_variant", path, kind).alias(name) for name, (path, kind) in paths.items()])

@@ -113,9 +113,11 @@ def hash_split(df: DataFrame, weights: Sequence[float], key: Sequence[str], seed
     return out
 
 
-def drift(series: DataFrame, at: str, value: str, step: str, by: Sequence[str] = (), past: int = 3, short: str = "ignore", none: str = "ignore", warning: dict | None = None, error: dict | None = None) -> DataFrame:
+def drift(series: DataFrame, at: str, value: str, step: str, by: Sequence[str] = (), past: int = 3, short: str = "ignore", none: str = "ignore", warning: dict | None = None, error: dict | None = None, collected: str | None = None) -> DataFrame:
     """Each point against the values at exactly one to `past` steps before it.
 
+    A time has one value for the points after it: of several the one `collected` last, or without that column the greatest.
+
     Gives past_n, past_mean, deviation_abs and _pct, z_score, rate_of_change_abs and _pct (against the nearest past value) and severity.
     Percentages are of the absolute base; a base or deviation of zero gives 0. With fewer values than `past`, `short` is ignore (use what
     is there), substitute (their mean takes the missing places) or error. Without any, severity is that of `none`: ignore, warn or error.
@@ -123,11 +125,13 @@ def drift(series: DataFrame, at: str, value: str, step: str, by: Sequence[str] =
     """
     s, codes = step_seconds(step), {"ignore": 0, "warn": 1, "error": 2}
     seconds = F.unix_seconds(F.col(at).cast("timestamp"))
-    frame = Window.partitionBy(*by).orderBy("_t").rangeBetween(-s * past, -s)
-    seen = F.collect_list(F.when(F.col(value).isNotNull(), F.struct((-F.col("_t")).alias("t"), F.col(value).cast("double").alias("v")))).over(frame)
-    rows = series.withColumn("_t", seconds).withColumn("_seen", seen)
-    hits = F.array_sort(F.filter("_seen", lambda x: (F.col("_t") + x["t"]) % s == 0))
-    rows = rows.withColumn("_past", F.transform(hits, lambda x: x["v"]))
+    rows = series.withColumn("_t", seconds)
+    known = rows.where(F.col(value).isNotNull()).select(*by, "_t", F.col(value).cast("double").alias("_v"), (F.col(collected) if collected else F.col(value)).alias("_o"))
+    known = known.groupBy(*by, "_t").agg(F.max_by("_v", F.struct("_o", "_v")).alias("_v"))
+    seen = known.select(*by, "_v", "_t", F.explode(F.sequence(F.lit(1), F.lit(past))).alias("_k")).withColumn("_t", F.col("_t") + F.col("_k") * s)
+    seen = seen.groupBy(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_t").alias("_at")).agg(F.array_sort(F.collect_list(F.struct("_k", "_v"))).alias("_seen"))  # at most `past`
+    rows = rows.join(seen, reduce(lambda a, c: a & F.col(c).eqNullSafe(F.col(f"_by_{c}")), by, F.col("_t") == F.col("_at")), "left").drop("_at", *[f"_by_{c}" for c in by])
+    rows = rows.withColumn("_past", F.coalesce(F.transform("_seen", lambda x: x["_v"]), F.array().cast("array<double>")))
     mean = lambda xs: F.try_divide(F.aggregate(xs, F.lit(0.0), lambda a, x: a + x), F.size(xs))
     rows = rows.withColumn("past_n", F.size("_past")).withColumn("past_mean", mean(F.col("_past")))
     if short == "substitute":
@@ -146,18 +150,20 @@ def drift(series: DataFrame, at: str, value: str, step: str, by: Sequence[str] =
     return out.withColumn("severity", level).drop("_t", "_seen", "_past")
 
 
-def forecast(points: DataFrame, at: str, value: str, by: Sequence[str], target: str, warning: float = 0.8, error: float = 0.95, history: int = 90, least: int = 10, changepoints: int = 10, penalty: float = 0.05, multiplicative: bool = False) -> DataFrame:
+def forecast(points: DataFrame, at: str, value: str, by: Sequence[str], target: str, warning: float = 0.8, error: float = 0.95, history: int = 90, least: int = 10, changepoints: int = 10, penalty: float = 0.05, multiplicative: bool = False, collected: str | None = None) -> DataFrame:
     """(by..., actual, yhat, the two bands, severity) of each segment at the partition `target`, forecast from its points before.
 
     A piecewise-linear trend with weekly and daily Fourier terms where the points allow, fitted by ridge regression; bands from the spread
-    of the residuals. Of each segment the newest `history` points take part, of a repeated time the last. Fewer than `least` points pass.
+    of the residuals. Of each segment the newest `history` points take part, of a repeated time the one `collected` last (without
+    that column the greatest). Fewer than `least` points pass.
     """
     import numpy as np
 
     t = F.unix_seconds(F.col(at).cast("timestamp"))
     goal = F.unix_seconds(F.lit(target).cast("timestamp"))
-    rows = points.select(*by, t.alias("t"), F.col(value).cast("double").alias("y"), goal.alias("goal")).where("t <= goal and y is not null")
-    rows = rows.groupBy(*by, "t", "goal").agg(F.max("y").alias("y"))
+    order = F.col(collected if collected else value).alias("_o")
+    rows = points.select(*by, t.alias("t"), F.col(value).cast("double").alias("y"), goal.alias("goal"), order).where("t <= goal and y is not null")
+    rows = rows.groupBy(*by, "t", "goal").agg(F.max_by("y", F.struct("_o", "y")).alias("y"))
     newest = Window.partitionBy(*by).orderBy(F.col("t").desc())
     rows = rows.withColumn("_k", F.row_number().over(newest)).where(F.col("_k") <= history + 1).drop("_k")
     z = {p: float(np.sqrt(2) * _erfinv(p)) for p in (warning, error)}

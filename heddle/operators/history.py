@@ -6,7 +6,7 @@ All reads work on whole tables with windows by key; none loops over keys.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -88,6 +88,27 @@ def validations_at_partition(history: DataFrame, dataset: str, prefix: str, part
     return _alive(_first(rows, ["validation_name", "metric_name", "dimension_value"], [F.col("run_timestamp").desc()]), values=False)
 
 
+def replay(history: DataFrame, asked: DataFrame, validate: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(dataset_name, partition_ts, validation_name, metric_name, dimension_value, severity, message, from_cache) of the validations asked for.
+
+    `asked` has dataset_name, validation_name and partition_ts. Where the history has verdicts of that name, or of name.*, at that
+    partition, the latest of each are given back; what it has none of goes to `validate`, which takes such rows and returns the columns
+    above but from_cache. A status that is none of PASS, WARNING and ERROR counts as a warning. Without a partition all is validated.
+    """
+    keys = ["dataset_name", "partition_ts"]
+    a = asked.select("dataset_name", F.col("validation_name").alias("_base"), "partition_ts").distinct()
+    rows = history.where("record_type = 'validation' and partition_ts is not null")
+    named = (F.col("validation_name") == F.col("_base")) | F.col("validation_name").startswith(F.concat("_base", F.lit(".")))
+    held = _first(rows.join(a, keys).where(named), [*keys, "_base", "validation_name", "metric_name", "dimension_value"], [F.col("run_timestamp").desc(), F.col("run_id").desc()])
+    held = _alive(held, values=False)
+    code = F.when(F.col("validation_status") == "PASS", 0).when(F.col("validation_status") == "ERROR", 2).otherwise(1)
+    kept = held.select(*keys, "validation_name", "metric_name", "dimension_value", code.alias("severity"), F.col("validation_message").alias("message"), F.lit(True).alias("from_cache"))
+    there = held.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_base").alias("_there")).distinct()
+    missing = a.join(there, (F.col("dataset_name") == F.col("_dataset_name")) & (F.col("partition_ts") == F.col("_partition_ts")) & (F.col("_base") == F.col("_there")), "left_anti")
+    made = validate(missing.select("dataset_name", F.col("_base").alias("validation_name"), "partition_ts"))
+    return kept.unionByName(made.select(*kept.columns[:-1]).withColumn("from_cache", F.lit(False)))
+
+
 def latest_runs(history: DataFrame) -> DataFrame:
     """The newest row of each dataset; a dataset whose newest row is a tombstone has none."""
     return _alive(_first(history, ["dataset_name"], [F.col("run_timestamp").desc(), F.col("run_id").desc()]), values=False)

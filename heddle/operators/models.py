@@ -16,6 +16,7 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .attributions import Tree, attributions, explain, forest_trees, mean_contributions
 from .quality import family
 
 ONE_HOT = 20
@@ -64,13 +65,13 @@ def encode(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = (), drop
     return df.select(*keep, features.alias("features")), names
 
 
-def _tree(x: np.ndarray, rng: np.random.Generator) -> list[tuple[int, float, int, int]]:
-    """Nodes (feature, split, left, right) of one isolation tree; a leaf is (-1, path length, 0, 0)."""
+def _tree(x: np.ndarray, rng: np.random.Generator) -> list[tuple[int, float, int, int, int]]:
+    """Nodes (feature, split, left, right, rows) of one isolation tree; a leaf is (-1, path length, 0, 0, rows)."""
     most, nodes = int(np.ceil(np.log2(max(len(x), 2)))), []
 
     def grow(rows: np.ndarray, depth: int) -> int:
         at = len(nodes)
-        nodes.append((-1, depth + _expected(len(rows)), 0, 0))
+        nodes.append((-1, depth + _expected(len(rows)), 0, 0, len(rows)))
         low, high = (rows.min(0), rows.max(0)) if len(rows) else (np.zeros(x.shape[1]),) * 2
         free = np.flatnonzero(high > low)
         if depth >= most or len(rows) < 2 or not len(free):
@@ -78,7 +79,7 @@ def _tree(x: np.ndarray, rng: np.random.Generator) -> list[tuple[int, float, int
         f = int(rng.choice(free))
         split = float(rng.uniform(low[f], high[f]))
         left = grow(rows[rows[:, f] < split], depth + 1)
-        nodes[at] = (f, split, left, grow(rows[rows[:, f] >= split], depth + 1))
+        nodes[at] = (f, split, left, grow(rows[rows[:, f] >= split], depth + 1), len(rows))
         return at
 
     grow(x, 0)
@@ -90,40 +91,47 @@ def _expected(n: int) -> float:
     return 0.0 if n < 2 else 1.0 if n == 2 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
 
 
-def isolation_scores(encoded: DataFrame, trees: int = 100, sample: int = 256, seed: int = 42) -> DataFrame:
-    """`encoded` with anomaly_score (Liu, Ting and Zhou, 2008): 2 ** (-mean path / expected path); over 0.5 is anomalous.
+def isolation_forest(encoded: DataFrame, trees: int = 100, sample: int = 256, seed: int = 42) -> list[Tree]:
+    """Isolation trees (Liu, Ting and Zhou, 2008); a leaf's value is its path length.
 
-    Each tree grows in a task of its own from `sample` rows, as the method asks; rows are dealt to trees by hash. The forest, at most
-    trees * 2 * sample nodes, is broadcast to score every row.
+    Each tree grows in a task of its own from `sample` rows, as the method asks; rows are dealt to trees by hash. The forest has at most
+    trees * 2 * sample nodes.
     """
-    spark = encoded.sparkSession
     picked = encoded.select("features").orderBy(F.xxhash64("features", F.lit(seed)), "features").limit(trees * sample)
     dealt = picked.withColumn("tree", F.pmod(F.xxhash64("features", F.monotonically_increasing_id(), F.lit(seed + 1)), F.lit(trees)).cast("int"))
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         x, t = np.stack(pdf["features"].to_list()), int(pdf["tree"].iloc[0])
         x = x[np.lexsort(x.T[::-1])][:sample]
-        return pd.DataFrame([(t, len(x), *node) for node in _tree(x, np.random.default_rng(seed + t))], columns=["tree", "n", "feature", "split", "left", "right"])
+        return pd.DataFrame([(t, *node) for node in _tree(x, np.random.default_rng(seed + t))], columns=["tree", "feature", "split", "left", "right", "rows"])
 
-    grown = dealt.groupBy("tree").applyInPandas(grow, "tree int, n int, feature int, split double, left int, right int").toPandas()
-    forest = [(int(g["n"].iloc[0]), g["feature"].to_numpy(), g["split"].to_numpy(), g["left"].to_numpy(), g["right"].to_numpy()) for _, g in grown.groupby("tree", sort=True)]
-    shared = spark.sparkContext.broadcast(forest)
+    grown = dealt.groupBy("tree").applyInPandas(grow, "tree int, feature int, split double, left int, right int, rows int").toPandas()
+    return [Tree(*(g[c].to_numpy() for c in ("feature", "split", "left", "right", "rows", "split")), strict=True) for _, g in grown.groupby("tree", sort=True)]
+
+
+def isolation_scores(encoded: DataFrame, trees: int = 100, sample: int = 256, seed: int = 42, forest: list[Tree] | None = None) -> DataFrame:
+    """`encoded` with anomaly_score: 2 ** (-mean path / expected path); over 0.5 is anomalous. The forest is broadcast to score every row."""
+    forest = isolation_forest(encoded, trees, sample, seed) if forest is None else forest
+    shared = encoded.sparkSession.sparkContext.broadcast(forest)
 
     @F.pandas_udf("double")
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for rows in parts:
-            x, total, base = np.stack(rows.to_list()) if len(rows) else np.zeros((0, 1)), 0.0, 0.0
-            for n, feature, split, left, right in shared.value:
-                at = np.zeros(len(x), int)
-                while (inner := np.flatnonzero(feature[at] >= 0)).size:
-                    k = at[inner]
-                    at[inner] = np.where(x[inner, feature[k]] < split[k], left[k], right[k])
-                total, base = total + split[at], base + _expected(n)
+            x = np.stack(rows.to_list()) if len(rows) else np.zeros((0, 1))
+            total, base = sum(t.predict(x) for t in shared.value), sum(_expected(int(t.cover[0])) for t in shared.value)
             yield pd.Series(2.0 ** (-np.asarray(total) / base) if base else np.zeros(len(x)))
 
     return encoded.withColumn("anomaly_score", score("features"))
 
 
+def explain_shape(sampled: DataFrame, columns: Sequence[str], period: str = "_period", exclude: Sequence[str] = (), anomalous: float = 0.5, trees: int = 100, sample: int = 256, seed: int = 42) -> DataFrame:
+    """(feature, importance, mean) of the current rows (period 0) that the isolation forest flags: what each feature adds to their mean path; the most negative make them stand out."""
+    encoded, names = encode(sampled, [c for c in columns if c not in exclude and c != period], [period])
+    forest = isolation_forest(encoded, trees, sample, seed)
+    flagged = isolation_scores(encoded, forest=forest).where((F.col(period) == 0) & (F.col("anomaly_score") > anomalous))
+    return mean_contributions(attributions(flagged, explain(forest)), names)
+
+
 def shape_check(sampled: DataFrame, columns: Sequence[str], period: str = "_period", exclude: Sequence[str] = (), warning: float = 0.6, error: float = 0.8, **options) -> DataFrame:
     """(total_current, anomaly_count, anomaly_ratio, severity): the share of current rows (period 0) that a forest over all periods flags."""
     cols = [c for c in columns if c not in exclude and c != period]
@@ -138,6 +146,8 @@ def shape_check(sampled: DataFrame, columns: Sequence[str], period: str = "_peri
 def pattern_check(sampled: DataFrame, columns: Sequence[str], period: str = "_period", exclude: Sequence[str] = (), folds: int = 5, trees: int = 50, depth: int = 5, warning: float = 0.65, error: float = 0.8, seed: int = 42) -> dict:
     """Mean AUC of a random forest that tells current rows (period 0) from past ones, over folds dealt by hash, with severity and importances.
 
+    `contributions` has the five features of greatest mean Shapley value by size, of a forest fitted to all rows, over all rows.
+
     Needs `folds` rows of each class; else the severity is a warning. An AUC over 0.95 with nothing excluded is marked as a likely leak.
     """
     cols = [c for c in columns if c not in exclude and c != period]
@@ -146,18 +156,20 @@ def pattern_check(sampled: DataFrame, columns: Sequence[str], period: str = "_pe
     try:
         counts = {r[0]: r[1] for r in data.groupBy("label").count().collect()}
         if min(counts.get(0.0, 0), counts.get(1.0, 0)) < folds:
-            return {"auc": None, "severity": 1, "importances": [], "leak": False, "message": "too few rows"}
+            return {"auc": None, "severity": 1, "importances": [], "contributions": [], "leak": False, "message": "too few rows"}
         forest = RandomForestClassifier(featuresCol="vector", numTrees=trees, maxDepth=depth, seed=seed)
         judge, aucs, weight = BinaryClassificationEvaluator(), [], np.zeros(len(names))
         for k in range(folds):
             model = forest.fit(data.where(F.col("fold") != k))
             aucs.append(judge.evaluate(model.transform(data.where(F.col("fold") == k))))
             weight += model.featureImportances.toArray()
+        whole = explain(forest_trees(forest.fit(data), sampled.sparkSession))
+        most = mean_contributions(attributions(data.select("features"), whole), names).orderBy(F.col("importance").desc(), "feature").limit(5).collect()
     finally:
         data.unpersist()
     auc = float(np.mean(aucs))
     top = sorted(zip(names, (weight / folds).tolist()), key=lambda x: -x[1])[:5]
-    return {"auc": auc, "severity": 2 if auc >= error else int(auc >= warning), "importances": top, "leak": auc > 0.95 and not exclude, "message": ""}
+    return {"auc": auc, "severity": 2 if auc >= error else int(auc >= warning), "importances": top, "contributions": [(r.feature, r.importance) for r in most], "leak": auc > 0.95 and not exclude, "message": ""}
 
 
 def explain_drift(sampled: DataFrame, columns: Sequence[str], period: str = "_period") -> DataFrame:
@@ -185,6 +197,35 @@ def explain_drift(sampled: DataFrame, columns: Sequence[str], period: str = "_pe
     return out.withColumn("delta_pct", F.try_divide((F.col("current") - F.col("past")) * 100, F.abs("past")))
 
 
+def explain_slices(sampled: DataFrame, columns: Sequence[str], period: str = "_period") -> DataFrame:
+    """(column_name, stat, slice, rows, value) of numeric and boolean columns by slice, 0 the current one: null_pct, mean (of booleans the true rate) and std. One aggregation."""
+    kinds = {f.name: family(f.dataType.simpleString()) for f in sampled.schema}
+    told = [c for c in columns if kinds[c] in ("numeric", "boolean")]
+    stats = []
+    for c in told:
+        d = F.col(f"`{c}`").cast("double")
+        stats += [(c, "null_pct", F.count_if(d.isNull()) * 100.0 / F.count(F.lit(1))), (c, "mean", F.avg(d)), (c, "std", F.stddev(d))]
+    if not stats:
+        return sampled.sparkSession.createDataFrame([], "column_name string, stat string, slice int, rows bigint, value double")
+    wide = sampled.groupBy(F.col(period).cast("int").alias("slice")).agg(F.count(F.lit(1)).alias("rows"), *[x.alias(f"s{i}") for i, (_, _, x) in enumerate(stats)])
+    one = lambda i, c, s: F.struct(F.lit(c).alias("column_name"), F.lit(s).alias("stat"), F.col("slice"), F.col("rows"), F.col(f"s{i}").alias("value"))
+    return wide.select(F.inline(F.array(*[one(i, c, s) for i, (c, s, _) in enumerate(stats)])))
+
+
+def within_budget(explained: DataFrame, order: Sequence[str], most_bytes: int = 16_000) -> DataFrame:
+    """(column_name, details_json, truncated): what is told of each column as JSON, most important column first, as long as all of it has at most `most_bytes`.
+
+    `explained` has column_name, stat and whatever is told of them; `order` lists the columns. A column that does not fit, and all after
+    it, have no details. There is a row a column, so that one task can add the sizes up.
+    """
+    rest = [c for c in explained.columns if c != "column_name"]
+    place = F.array_position(F.array(*[F.lit(c) for c in order]), F.col("column_name"))
+    told = explained.groupBy("column_name").agg(F.to_json(F.array_sort(F.collect_list(F.struct(*rest)))).alias("details_json")).withColumn("_at", place).where("_at > 0")
+    so_far = F.sum(F.octet_length("details_json")).over(Window.orderBy("_at"))
+    fits = F.col("_so_far") <= most_bytes
+    return told.withColumn("_so_far", so_far).select("column_name", F.when(fits, F.col("details_json")).alias("details_json"), (~fits).alias("truncated"))
+
+
 def explain_labels(sampled: DataFrame, column: str, period: str = "_period", top: int = 5) -> DataFrame:
     """(value, past_rate, current_rate) of the most frequent values of either side, at most twice `top`, by current then past rate."""
     x = F.col(f"`{column}`").cast("string").alias("value")

@@ -192,7 +192,7 @@ def run_rules(df: DataFrame, rules: Sequence[dict], ask: Callable[[str], str] |
     Types: not_null, range, pattern, value_set, string_length, freshness, completeness, unique, duplicate, type_check, sql, llm. A rule
     that cannot be planned, or of an unknown type, is an ERROR and counts as failed in score(). Rules that are not enabled are left out.
     """
-    spark, plain, parts = df.sparkSession, {}, []
+    spark, plain, parts = df.sparkSession, [], []
     told = lambda r, v, status: v.select(F.lit(r["name"]).alias("rule_name"), F.lit(r["type"]).alias("type"), F.col("violations").cast("long").alias("violations"), status.alias("status"), F.lit(r.get("severity", "ERROR")).alias("severity"), F.lit(float(r.get("weight", 1))).alias("weight"))
     counted = F.when(F.col("violations") == 0, "PASS").otherwise("FAIL")
     fixed = lambda r, ok, status=None: told(r, spark.range(1).select(F.lit(0 if ok else 1).alias("violations")), F.lit(status or ("PASS" if ok else "FAIL")))
@@ -202,7 +202,7 @@ def run_rules(df: DataFrame, rules: Sequence[dict], ask: Callable[[str], str] |
         try:
             if (broken := _condition(r)) is not None:
                 df.select(broken)
-                plain[r["name"]] = (r, broken)
+                plain.append((r, broken))  # by place: names may repeat
             elif r["type"] == "completeness":
                 done = completeness(df, r["column"], r.get("min_completeness_pct", 100)).select(F.when(F.col("passed"), 0).otherwise(1).alias("violations"))
                 parts.append(told(r, done, counted))
@@ -220,8 +220,8 @@ def run_rules(df: DataFrame, rules: Sequence[dict], ask: Callable[[str], str] |
         except Exception:  # a rule that names what is not there: an error of the rule, told as its status
             parts.append(fixed(r, False, "ERROR"))
     if plain:
-        wide = df.agg(*[F.count_if(cond).alias(f"r{i}") for i, (_, cond) in enumerate(plain.values())])
-        rows = [F.struct(F.lit(r["name"]).alias("rule_name"), F.lit(r["type"]).alias("type"), F.col(f"r{i}").alias("violations"), F.when(F.col(f"r{i}") == 0, "PASS").otherwise("FAIL").alias("status"), F.lit(r.get("severity", "ERROR")).alias("severity"), F.lit(float(r.get("weight", 1))).alias("weight")) for i, (r, _) in enumerate(plain.values())]
+        wide = df.agg(*[F.count_if(cond).alias(f"r{i}") for i, (_, cond) in enumerate(plain)])
+        rows = [F.struct(F.lit(r["name"]).alias("rule_name"), F.lit(r["type"]).alias("type"), F.col(f"r{i}").alias("violations"), F.when(F.col(f"r{i}") == 0, "PASS").otherwise("FAIL").alias("status"), F.lit(r.get("severity", "ERROR")).alias("severity"), F.lit(float(r.get("weight", 1))).alias("weight")) for i, (r, _) in enumerate(plain)]
         parts.insert(0, wide.select(F.inline(F.array(*rows))))
     if not parts:
         return spark.createDataFrame([], "rule_name string, type string, violations bigint, status string, severity string, weight double")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import extended, library, observability, workload
+from . import extended, features, library, observability, workload
 
-QUERIES = workload.QUERIES | library.QUERIES | observability.QUERIES | extended.QUERIES
-ORACLE_SQL = workload.ORACLE_SQL | library.ORACLE_SQL | observability.ORACLE_SQL | extended.ORACLE_SQL
+QUERIES = workload.QUERIES | library.QUERIES | observability.QUERIES | extended.QUERIES | features.QUERIES
+ORACLE_SQL = workload.ORACLE_SQL | library.ORACLE_SQL | observability.ORACLE_SQL | extended.ORACLE_SQL | features.ORACLE_SQL

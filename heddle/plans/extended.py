@@ -290,13 +290,16 @@ def _(t):
 
 @query("str_projection", "SELECT event_id, CASE WHEN value > 30 THEN 'high' WHEN value > 10 THEN 'mid' ELSE 'low' END AS level, round(value * 1.1, 6) AS factored FROM events WHERE event_type <> 'view'")
 def _(t):
-    from heddle.streaming import projected
+    from heddle.streaming import arrived, projected, table_stream
 
     level = F.when(c("value") > 30, "high").when(c("value") > 10, "mid").otherwise("low")
-    return projected(t.events.where("event_type <> 'view'"), {"event_id": c("event_id"), "level": level, "factored": F.round(c("value") * 1.1, 6)})
+    events = table_stream(t.spark, f"{t.sf_dir}/events.parquet").where("event_type <> 'view'")
+    return arrived(projected(events, {"event_id": c("event_id"), "level": level, "factored": F.round(c("value") * 1.1, 6)}), "projection")
 
 
 @query("str_kafka_text", "SELECT CAST(event_id AS VARCHAR) AS key, event_type AS value FROM events")
 def _(t):
-    raw = t.events.select(c("event_id").cast("string").cast("binary").alias("key"), c("event_type").cast("binary").alias("value"))
-    return readers.kafka_text(raw)
+    from heddle.streaming import arrived, table_stream
+
+    raw = table_stream(t.spark, f"{t.sf_dir}/events.parquet").select(c("event_id").cast("string").cast("binary").alias("key"), c("event_type").cast("binary").alias("value"))
+    return arrived(readers.kafka_text(raw), "texts")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import re
+import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -16,6 +18,15 @@ def fs_of(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset and all run in one process."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    base = base or "file://" + tempfile.mkdtemp(prefix="heddle-")
+    return f"{base.rstrip('/')}/heddle/{name}-{uuid.uuid4().hex}"
+
+
 def insert_into(df: DataFrame, table: str) -> None:
     """Append to a table by its columns' names and types, not by place."""
     from . import align_to_target
@@ -201,12 +212,18 @@ class VersionedTable:
         return self._commit([self._write(df)], df.schema, operation)
 
     def append(self, df: DataFrame) -> int:
-        """New columns join the schema; missing ones are NULL. Only the new rows are written."""
+        """New columns join the schema; missing ones are NULL. Only the new rows are written.
+
+        A column with a name that was dropped or renamed away would meet the old values of that name: it is an error.
+        """
         if not self.versions():
             return self.commit(df, "append")
         e = self.entry()
         schema = StructType.fromJson(e["schema"])
         names = {f.name for f in schema}
+        before = {*e["names"]["dropped"], *e["names"]["renamed"]}
+        if again := [f.name for f in df.schema if f.name in before and f.name not in names]:
+            raise ValueError(f"dropped or renamed before: {sorted(again)}; compact first")
         for f in df.schema:
             if f.name not in names:
                 schema = schema.add(f)

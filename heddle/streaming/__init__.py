@@ -35,6 +35,22 @@ def first_seen(stream: DataFrame, at: str, late: str, keys: Sequence[str]) -> Da
     return stream.withWatermark(at, late).dropDuplicatesWithinWatermark(list(keys))
 
 
+def table_stream(spark: SparkSession, path: str, files_a_batch: int | None = None) -> DataFrame:
+    """A stream of a parquet table, file or folder, as it is and as files are added."""
+    schema = spark.read.parquet(path).schema
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", files_a_batch) if files_a_batch else reader).parquet(f"{path}*")
+
+
+def arrived(stream: DataFrame, name: str = "stream") -> DataFrame:
+    """The rows that a stream gives for what is there now: run to its end into a folder that all executors share, and read from it."""
+    from heddle.sources.tables import shared_path
+
+    path = shared_path(stream.sparkSession, name)
+    run_available(stream, f"{path}/rows", f"{path}/checkpoint")
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
+
+
 def check_checkpoint(path: str, shared: Sequence[str] = ("hdfs://", "s3a://", "abfss://", "gs://", "viewfs://", "dbfs:/", "/"), refused: Sequence[str] = ("/tmp", "file:///tmp")) -> str:
     """The path itself; ValueError unless it is on storage that all executors share and that outlives them."""
     p = path.strip()
@@ -57,13 +73,13 @@ def append_to(df: DataFrame, target: str, checkpoint: str, every: str | None = "
     return w.toTable(target) if table else w.format("parquet").option("path", target).start()
 
 
-def merge_batches(path: str, keys: Sequence[str]) -> Callable[[DataFrame, int], None]:
-    """A function per batch that upserts each into a table by its keys: of a key's rows in one batch any last one by all columns wins."""
+def merge_batches(path: str, keys: Sequence[str], order: str | None = None) -> Callable[[DataFrame, int], None]:
+    """A function per batch that upserts each into a table by its keys: of a key's rows in one batch that of the greatest `order` wins, ties and no order by all columns."""
     from heddle.sources.tables import write_mode
 
     def handle(batch: DataFrame, _: int) -> None:
         rest = [c for c in batch.columns if c not in keys]
-        one = batch.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("r")).select(*keys, "r.*")
+        one = batch.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*([order] if order else []), *rest)).alias("r")).select(*keys, "r.*")
         write_mode(one, path, "MERGE", keys)
 
     return handle
