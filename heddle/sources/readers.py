@@ -140,7 +140,7 @@ def _(spark, **options):
 reader("binary")(read_binary)
 
 
-def read(spark: SparkSession, kind: str, **options) -> DataFrame:
+def read(spark: SparkSession, kind: str, /, **options) -> DataFrame:
     """A frame by the registered reader of that name."""
     if kind not in READERS:
         raise ValueError(f"no reader {kind!r}: {sorted(READERS)}")
