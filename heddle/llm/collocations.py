@@ -164,7 +164,7 @@ class _Counts:
 
     def add(self, step: int, rows: DataFrame) -> None:
         seen = Observation()
-        rows.observe(seen, F.count_if(F.col("n") >= self.share).alias("n")).write.partitionBy("k").parquet(f"{self.path}/step={step}")
+        rows.observe(seen, F.count_if(F.col("n") >= self.share).alias("n")).write.option("compression", "zstd").partitionBy("k").parquet(f"{self.path}/step={step}")
         self.candidates += seen.get["n"] or 0
 
     def rows(self) -> DataFrame:
@@ -206,7 +206,7 @@ def frequent_phrases(docs: DataFrame, threshold: int = 100, longest: int = 5, sh
     ship(spark)
     path, kinds = scratch(spark, "phrase-shards"), "lang string, text string"
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows.withColumn("shard", F.pmod(F.spark_partition_id(), F.lit(shards))).write.partitionBy("shard").parquet(path)
+    rows.withColumn("shard", F.pmod(F.spark_partition_id(), F.lit(shards))).write.option("compression", "zstd").partitionBy("shard").parquet(path)
     dealt, counts = spark.read.schema(f"{kinds}, shard int").parquet(path), _Counts(spark, shards, threshold)
     bits, reached, fresh, shared, step, history = 0, None, None, None, 0, [[1]]  # history: the lengths counted in each scan
     while history[-1]:
