@@ -45,7 +45,9 @@ class Quality:
     def frame(self, config: dict) -> DataFrame:
         from heddle.sources import readers
 
-        df = self.spark.sql(config["sql"]) if "sql" in config else readers.read(self.spark, **config["source"])
+        source = dict(config.get("source", {}))
+        kind, options = source.pop("kind", None), source.pop("options", {})
+        df = self.spark.sql(config["sql"]) if "sql" in config else readers.read(self.spark, kind, **source, **options)
         return df.where(config["filter"]) if config.get("filter") else df
 
     def collect(self, df: DataFrame, config: dict, anchors: Sequence | None = None) -> DataFrame:

@@ -111,7 +111,8 @@ def replay(history: DataFrame, asked: DataFrame, validate: Callable[[DataFrame],
 
 def latest_runs(history: DataFrame) -> DataFrame:
     """The newest row of each dataset; a dataset whose newest row is a tombstone has none."""
-    return _alive(_first(history, ["dataset_name"], [F.col("run_timestamp").desc(), F.col("run_id").desc()]), values=False)
+    newest = history.groupBy("dataset_name").agg(F.max_by(F.struct(*history.columns), F.struct("run_timestamp", "run_id")).alias("_r"))  # a row a dataset and task is shuffled
+    return _alive(newest.select("_r.*"), values=False)
 
 
 def validation_history(history: DataFrame, keys: DataFrame, limit: int = 1) -> DataFrame:

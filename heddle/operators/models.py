@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -267,12 +268,16 @@ def evaluate(predicted: DataFrame, label: str, regression: bool = False) -> dict
 def recommend(ratings: DataFrame, user: str, item: str, rating: str, n: int = 5, rank: int = 8, seed: int = 42) -> tuple[DataFrame, float]:
     """(user, item, score, rank) of the n best items that each user has not rated, and the RMSE over the ratings.
 
-    The model lists n and as many more as the user has rated at most; rated ones go by an anti join, never by a cross join of all.
+    Of each user n and at most twice as many more are listed as the user has rated, whatever others have: users go by the power of two
+    that their rated items come up to, some dozens of classes at most. Rated ones leave by an anti join.
     """
     model = ALS(userCol=user, itemCol=item, ratingCol=rating, rank=rank, seed=seed, coldStartStrategy="drop", nonnegative=True).fit(ratings)
     error = RegressionEvaluator(labelCol=rating, predictionCol="prediction", metricName="rmse").evaluate(model.transform(ratings))
-    most = ratings.groupBy(user).agg(F.count_distinct(item).alias("n")).agg(F.max("n")).first()[0] or 0
-    listed = model.recommendForAllUsers(n + most).select(user, F.posexplode("recommendations").alias("at", "r")).select(user, F.col(f"r.{item}").alias(item), F.col("r.rating").cast("double").alias("score"))
+    rated = ratings.groupBy(user).agg(F.ceil(F.log2(F.count_distinct(item))).cast("int").alias("k"))
+    lists = [model.recommendForUserSubset(rated.where(F.col("k") == k).select(user), n + 2**k) for k in sorted(r[0] for r in rated.select("k").distinct().collect())]
+    if not lists:
+        return ratings.select(user, item, F.lit(0.0).alias("score"), F.lit(1).alias("rank")).limit(0), error
+    listed = reduce(DataFrame.union, lists).select(user, F.posexplode("recommendations").alias("at", "r")).select(user, F.col(f"r.{item}").alias(item), F.col("r.rating").cast("double").alias("score"))
     unseen = listed.join(ratings.select(user, item).distinct(), [user, item], "left_anti")
     return unseen.withColumn("rank", F.row_number().over(Window.partitionBy(user).orderBy(F.col("score").desc(), item))).where(F.col("rank") <= n), error
 

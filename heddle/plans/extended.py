@@ -274,8 +274,10 @@ def _(t):
 
 @query("ml_recommend")
 def _(t):
-    ratings = t.events.groupBy(c("user_id").cast("int").alias("u"), F.hash("event_type").alias("i")).agg(F.avg("value").cast("float").alias("r"))
-    return models.recommend(ratings.where("pmod(u + i, 3) > 0"), "u", "i", "r", 2)[0]
+    """Parts that a customer has not ordered yet, by the quantities ordered."""
+    lines = t.orders.join(t.lineitem, c("o_orderkey") == c("l_orderkey"))
+    ratings = lines.groupBy(c("o_custkey").cast("int").alias("u"), c("l_partkey").cast("int").alias("i")).agg(F.avg("l_quantity").cast("float").alias("r"))
+    return models.recommend(ratings, "u", "i", "r", 2)[0]
 
 
 @query("llm_group_lines", "SELECT source, count(*) AS n, 'doc_id,lang' || chr(10) || string_agg(CAST(doc_id AS VARCHAR) || ',' || lang, chr(10) ORDER BY doc_id) AS lines FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents) WHERE r <= 50 GROUP BY 1")
