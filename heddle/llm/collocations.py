@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .caches import Hashes, use
+from .caches import use
 from .common import scratch, ship, stage
 
 #: Up to so many phrases, 100 MB at most where a phrase has 50 bytes, are broadcast; more are joined by a shuffle.
@@ -31,11 +31,14 @@ _SEGMENT = 4 << 20
 _ENDS = b".,;:!?\n\x0b\x0c\r"
 _TABLE = bytes.maketrans(_ENDS + b"\tABCDEFGHIJKLMNOPQRSTUVWXYZ", b"." * len(_ENDS) + b" abcdefghijklmnopqrstuvwxyz")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_hashes = Hashes()
+
+
+def _nothing() -> None:
+    pass
 
 
 def _begin() -> None:
-    use("collocations", _hashes.clear)
+    use("collocations", _nothing)  # others let go of their caches; this one has none
 
 
 def _segments(texts: list[bytes]) -> Iterator[bytes]:
@@ -69,6 +72,20 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint64(31))) * _STEP
 
 
+def _word_hashes(words: pa.Array) -> np.ndarray:
+    """Hashes of binary words: sums of their bytes times powers of an odd number, modulo 2**64. Chance meetings only let a phrase past a bitmap."""
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    data = np.frombuffer(words.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if len(words) else np.zeros(0, np.uint8)
+    starts, size = offsets[:-1] - offsets[0], np.diff(offsets)
+    powers = np.cumprod(np.full(int(size.max(initial=0)) + 1, _STEP))
+    parts = (data.astype(np.uint64) + np.uint64(1)) * powers[np.arange(len(data)) - np.repeat(starts, size)]
+    return _mixed(np.add.reduceat(np.append(parts, np.uint64(0)), starts)) if len(words) else np.zeros(0, np.uint64)
+
+
+def _lang_hash(lang: str) -> np.uint64:
+    return _word_hashes(pa.array([lang.encode()], pa.large_binary()))[0]
+
+
 def _slots(h: np.ndarray, level: int, bits: int) -> np.ndarray:
     h = _mixed(h + np.uint64(level))
     return (h ^ (h >> np.uint64(29))) & np.uint64(bits - 1)
@@ -94,9 +111,8 @@ def _distinct(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
 
 def _phrase_hashes(lang: str, phrases: list[bytes], size: int) -> np.ndarray:
     """Of phrases of `size` words."""
-    flat = [w for p in phrases for w in p.split(b" ")]
-    words = np.fromiter(map(_hashes.__getitem__, flat), np.uint64, len(flat)).reshape(-1, size)
-    h = np.full(len(phrases), _hashes[lang.encode()], np.uint64)
+    words = _word_hashes(pa.array([w for p in phrases for w in p.split(b" ")], pa.large_binary())).reshape(-1, size)
+    h = np.full(len(phrases), _lang_hash(lang), np.uint64)
     for k in range(size):
         h = _mixed(h) + words[:, k]
     return h
@@ -114,11 +130,11 @@ def count_segment(lang: str, segment: bytes, count_words: bool, reached: np.ndar
     if reached is None:
         return
     bits = reached.shape[1] * 64
-    hashes = np.fromiter(map(_hashes.__getitem__, words.to_pylist()), np.uint64, len(words))
-    slots = _slots(_mixed(np.full(len(words), _hashes[lang.encode()], np.uint64)) + hashes, 1, bits)
+    hashes, seed = _word_hashes(words), _mixed(np.array([_lang_hash(lang)]))
+    slots = _slots(seed + hashes, 1, bits)
     in_all, in_new = np.append(_has(reached[0], slots), False), np.append(_has(fresh[0], slots), False)  # the last is -1
     at = np.flatnonzero(in_all[ids])
-    new, h = in_new[ids[at]], _mixed(np.full(len(at), _hashes[lang.encode()], np.uint64)) + hashes[ids[at]]
+    new, h = in_new[ids[at]], seed + hashes[ids[at]]
     for size in range(2, longest + 1):
         # `at` has where phrases of size - 1 words start that have reached the threshold: two in a row make a phrase.
         pair = np.flatnonzero(at[1:] == at[:-1] + 1)
@@ -136,20 +152,31 @@ def count_segment(lang: str, segment: bytes, count_words: bool, reached: np.ndar
             at, new, h = start[keep], _has(fresh[size - 1], slots)[keep], h[keep]
 
 
+def _by_lang(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]]]:
+    """Texts by language, gathered over batches to about a segment each; all that is held together is a few segments at most."""
+    held, sizes = {}, {}
+    for b in batches:
+        for lang, text in zip(b.column(0).to_pylist(), b.column(1)):
+            text = text.as_py()
+            held.setdefault(lang, []).append(text)
+            sizes[lang] = sizes.get(lang, 0) + len(text)
+        full = sum(sizes.values()) > 4 * _SEGMENT
+        for lang in [x for x, n in sizes.items() if full or n >= _SEGMENT]:
+            del sizes[lang]
+            yield lang, held.pop(lang)
+    yield from held.items()
+
+
 def _counted(shard: DataFrame, count_words: bool, bitmaps, longest: int) -> DataFrame:
     """(lang, k, phrase, n) of a shard."""
 
     def count(batches):
         _begin()
         reached, fresh = bitmaps.value if bitmaps is not None else (None, None)
-        for b in batches:
-            langs, texts, of = b.column(0).to_pylist(), b.column(1), {}
-            for k, lang in enumerate(langs):
-                of.setdefault(lang, []).append(k)
-            for lang, rows in of.items():
-                for segment in _segments([texts[k].as_py() for k in rows]):
-                    for size, phrases, n in count_segment(lang, segment, count_words, reached, fresh, longest):
-                        yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang), len(n)), pa.repeat(pa.scalar(size, pa.int32()), len(n)), phrases.cast(pa.binary()), pa.array(n, pa.int64())], names=["lang", "k", "phrase", "n"])
+        for lang, texts in _by_lang(batches):
+            for segment in _segments(texts):
+                for size, phrases, n in count_segment(lang, segment, count_words, reached, fresh, longest):
+                    yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang), len(n)), pa.repeat(pa.scalar(size, pa.int32()), len(n)), phrases.cast(pa.binary()), pa.array(n, pa.int64())], names=["lang", "k", "phrase", "n"])
 
     rows = shard.select("lang", F.col("text").cast("binary")).mapInArrow(count, "lang string, k int, phrase binary, n bigint")
     return rows.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
