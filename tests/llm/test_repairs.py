@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from heddle.llm import decontaminate as D
+from heddle.llm import ngram_join as J
 from heddle.llm import vector_dedup as V
 from heddle.llm.packing import best_plan
 
@@ -117,3 +118,25 @@ def test_plans_of_hard_histograms(low, high):
         for k, n in content:
             filled[k] = filled.get(k, 0) + bins * n
     assert filled == hist
+
+
+@pytest.mark.parametrize("rounds", [(0, 0), (0, 1)])
+def test_shingles_dealt_into_parts(spark, monkeypatch, rounds):
+    """Rows of a shingle in many parts give the components that one part gives."""
+    base = [f"w{k}" for k in range(60)]
+    rows = []
+    for k in range(60):
+        words = list(base)
+        for place in np.random.default_rng(k).choice(60, 1 + k % 3, replace=False):
+            words[place] = f"x{k}_{place}"
+        rows.append((k, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    run = lambda: sorted(map(tuple, J.ngram_components(df, size=3, percent=80, star_rounds=rounds[0], hub_rounds=rounds[1]).collect()))
+    sets = [set(J.shingles(t, 3).tolist()) for _, t in rows]
+    root = list(range(60))
+    for _ in range(60):
+        root = [min(root[b] for b in range(60) if b == a or 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])) for a in range(60)]
+    want = [(k, len(sets[k]), root[k]) for k in range(60)]
+    assert run() == want
+    monkeypatch.setattr(J, "SALT_ROWS", 2)
+    assert run() == want
