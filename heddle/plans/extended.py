@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -183,8 +185,9 @@ def _(t):
 
 @query("ag_having_joined", "SELECT l_suppkey, round(avg(l_discount), 8) AS d FROM lineitem GROUP BY l_suppkey HAVING avg(l_discount) > (SELECT avg(l_discount) * 1.02 FROM lineitem)")
 def _(t):
-    bound = t.lineitem.agg((F.avg("l_discount") * 1.02).alias("bound"))
-    return t.lineitem.groupBy("l_suppkey").agg(F.avg("l_discount").alias("a")).join(F.broadcast(bound)).where("a > bound").select("l_suppkey", F.round("a", 8).alias("d"))
+    a = scores.mean_of_decimals(c("l_discount"))
+    bound = t.lineitem.agg((a * F.lit(Decimal("1.02"))).alias("bound"))
+    return t.lineitem.groupBy("l_suppkey").agg(a.alias("a")).join(F.broadcast(bound)).where("a > bound").select("l_suppkey", F.round("a", 8).cast("double").alias("d"))
 
 
 @query("ag_weighted_levels", "SELECT o_orderstatus, round(avg(CASE o_orderpriority WHEN '1-URGENT' THEN 3.0 WHEN '2-HIGH' THEN 2.0 WHEN '3-MEDIUM' THEN 1.0 ELSE 0 END), 6) AS level FROM orders GROUP BY 1")

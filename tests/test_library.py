@@ -108,3 +108,9 @@ def test_verdicts(spark):
     df = spark.createDataFrame([(None,), (5.0,), (50.0,), (500.0,)], "v double")
     got = [r[0] for r in df.select(quality.severity(F.col("v"), {"max": 100}, {"min": 10})).collect()]
     assert got == [1, 1, 0, 2]
+
+
+def test_having_by_exact_means(spark, tmp_path):
+    sets = {1: [0.05] * 127 + [0.06], 2: [0.06] + [0.05] * 127, 3: [0.03, 0.07], 4: [0.1, 0.0, 0.05] * 200}  # 1 and 2: 0.050078125, 3 and 4: 0.05
+    spark.createDataFrame([(k, x) for k, v in sets.items() for x in v], "l_suppkey long, l_discount double").coalesce(1).write.parquet(f"file://{tmp_path}/lineitem.parquet")
+    assert sorted(map(tuple, QUERIES["ag_having"](spark, str(tmp_path)).collect())) == [(1, 0.05007813), (2, 0.05007813)]
