@@ -1,7 +1,9 @@
 import glob
 import os
+import random
 import re
 import zipfile
+from fractions import Fraction
 
 import duckdb
 import pandas as pd
@@ -114,3 +116,16 @@ def test_having_by_exact_means(spark, tmp_path):
     sets = {1: [0.05] * 127 + [0.06], 2: [0.06] + [0.05] * 127, 3: [0.03, 0.07], 4: [0.1, 0.0, 0.05] * 200}  # 1 and 2: 0.050078125, 3 and 4: 0.05
     spark.createDataFrame([(k, x) for k, v in sets.items() for x in v], "l_suppkey long, l_discount double").coalesce(1).write.parquet(f"file://{tmp_path}/lineitem.parquet")
     assert sorted(map(tuple, QUERIES["ag_having"](spark, str(tmp_path)).collect())) == [(1, 0.05007813), (2, 0.05007813)]
+
+
+def test_labels_by_exact_sums(spark, tmp_path):
+    draw = random.Random(1)
+    sets = {}
+    while len(sets) < 40:  # means of 0.05 in hundredths; the doubles' own are a little less or not
+        v = [draw.randrange(11) for _ in range(9)]
+        if 0 <= 50 - sum(v) <= 10:
+            sets[len(sets)] = [x / 100 for x in [*v, 50 - sum(v)]]
+    rows = [(k, i, 30.0, x, 0.01) for k, v in sets.items() for i, x in enumerate(v)]
+    spark.createDataFrame(rows, "l_suppkey long, l_linenumber int, l_quantity double, l_discount double, l_tax double").coalesce(1).write.parquet(f"file://{tmp_path}/lineitem.parquet")
+    got = {r.l_suppkey: r.label for r in QUERIES["ag_labels"](spark, str(tmp_path)).collect()}
+    assert got == {k: "strong" if sum(map(Fraction, v)) < 10 * Fraction(0.05) else "steady" for k, v in sets.items()}
