@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -284,3 +286,47 @@ def latest_history(history: DataFrame, limit: int | None = None) -> DataFrame:
     if limit is None:
         return rows
     return rows.withColumn("_k", F.row_number().over(Window.partitionBy("metric_name", "dimension_value").orderBy(F.col("partition_ts").desc()))).where(F.col("_k") <= limit).drop("_k")
+
+
+def exact_quantiles(df: DataFrame, columns: Sequence[str], quantiles: Sequence[float], most: int = 100_000) -> DataFrame:
+    """(column_name, quantile, value) of numbers: the least value with at least that share of all values at or below it; NULL and NaN are left out.
+
+    Each quantile has a window of values that holds its rank. A pass over the table counts what lies below the window and in it and sketches
+    the latter, which gives a window of some fiftieth, until at most `most` rows or one value are left, or the ends alone hold nearly all; the values left are counted and sorted. Counts are exact,
+    so that a sketch that errs costs a pass with a wider window. The driver holds two ends and two counts a quantile.
+    """
+    x = {c: F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None)) for c in columns}
+    asked = [(c, q) for c in columns for q in quantiles]
+    counted = df.agg(*[F.count(x[c]).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    n = dict(zip(columns, counted))
+    open_ = {a: (float("-inf"), float("inf")) for a in asked if n[a[0]]}
+    rank = {(c, q): max(1, math.ceil(Decimal(str(q)) * n[c])) for c, q in open_}
+    margin, held = dict.fromkeys(open_, 0.01), {}
+    inside = lambda a, ends: x[a[0]].between(F.lit(ends[0]), F.lit(ends[1]))
+    while open_:
+        todo = list(open_)
+        wide = df.agg(
+            *[F.count_if(x[a[0]] < F.lit(open_[a][0])).alias(f"b{i}") for i, a in enumerate(todo)],
+            *[F.count_if(inside(a, open_[a])).alias(f"m{i}") for i, a in enumerate(todo)],
+            *[F.kll_sketch_agg_double(F.when(inside(a, open_[a]), x[a[0]]), F.lit(800)).alias(f"s{i}") for i, a in enumerate(todo)],
+        )
+        grid = F.array(*[F.lit(i / 200) for i in range(201)])
+        got = wide.select(*[F.struct(F.col(f"b{i}"), F.col(f"m{i}"), F.when(F.col(f"m{i}") > 0, F.kll_sketch_get_quantile_double(f"s{i}", grid))) for i in range(len(todo))]).first()
+        for a, (below, m, cuts) in zip(todo, got):
+            low, high = open_[a]
+            if not below < rank[a] <= below + m:
+                open_[a], margin[a] = (float("-inf"), float("inf")), margin[a] * 4
+                continue
+            at = (rank[a] - below) / m
+            ends = cuts[max(0, math.floor(200 * (at - margin[a])))], cuts[min(200, math.ceil(200 * (at + margin[a])))]
+            if m <= most or low == high or ends == (low, high):
+                held[a] = (*open_.pop(a), rank[a] - below)
+            else:
+                open_[a] = ends
+    schema = "column_name string, quantile double, value double"
+    if not held:
+        return df.sparkSession.createDataFrame([], schema)
+    found = F.array(*[F.when(inside(a, (low, high)), F.struct(F.lit(a[0]).alias("column_name"), F.lit(float(a[1])).alias("quantile"), F.lit(k).alias("k"), x[a[0]].alias("value"))) for a, (low, high, k) in held.items()])
+    values = df.select(F.inline(F.filter(found, lambda v: v.isNotNull()))).groupBy("column_name", "quantile", "k", "value").agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("column_name", "quantile").orderBy("value"))
+    return values.withColumn("upto", upto).where("upto >= k").groupBy("column_name", "quantile").agg(F.min("value").alias("value"))

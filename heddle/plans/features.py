@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from heddle.functions.text import variant_columns
-from heddle.operators import attributions, layers, rollup, sampling
+from heddle.operators import attributions, layers, quality, rollup, sampling
 from heddle.streaming import arrived, table_stream
 from heddle.streaming.changes import change_stream
 
@@ -76,13 +76,12 @@ _ASKED = (0.01, 0.25, 0.5, 0.75, 0.99)
 def _(t):
     """The exact quantiles, and whether each estimate's rank among all rows is near the rank asked for; equal values stand on a range of ranks."""
     near = rollup.estimates(rollup.merge(_kept(t)), _ASKED).where(c("column_name").isin(_NUMBERS)).select("column_name", F.posexplode("quantiles").alias("k", "estimate"))
-    exact = t.lineitem.agg(*[F.expr(f"array({', '.join(f'percentile_disc({q}D) WITHIN GROUP (ORDER BY CAST({x} AS DOUBLE))' for q in _ASKED)})").alias(x) for x in _NUMBERS])
-    exact = exact.unpivot([], _NUMBERS, "column_name", "q").select("column_name", F.posexplode("q").alias("k", "exact"))
+    exact = quality.exact_quantiles(t.lineitem, _NUMBERS, _ASKED).withColumnRenamed("value", "exact")
     values = t.lineitem.select(*[c(x).cast("double").alias(x) for x in _NUMBERS]).unpivot([], _NUMBERS, "column_name", "x")
     held = values.join(F.broadcast(near), "column_name").groupBy("column_name", "k").agg(F.avg((c("x") < c("estimate")).cast("double")).alias("below"), F.avg((c("x") <= c("estimate")).cast("double")).alias("upto"))  # 20 rows are broadcast
     quantile = F.get(F.array(*[F.lit(q) for q in _ASKED]), c("k"))
     within = (c("below") - rollup.RANK_ERROR <= quantile) & (quantile <= c("upto") + rollup.RANK_ERROR)
-    return held.join(exact, ["column_name", "k"]).select("column_name", quantile.alias("quantile"), "exact", within.alias("within"))
+    return held.select("column_name", quantile.alias("quantile"), within.alias("within")).join(exact, ["column_name", "quantile"]).select("column_name", "quantile", "exact", "within")
 
 
 @query("rollup_top", "SELECT column_name, item, n FROM (SELECT 'l_returnflag' AS column_name, l_returnflag AS item, count(*) AS n FROM lineitem GROUP BY 2 UNION ALL SELECT 'l_quantity', CAST(l_quantity AS VARCHAR), count(*) FROM lineitem GROUP BY 2)")

@@ -408,3 +408,18 @@ def test_slices_within_a_budget(spark):
     short = {r.column_name: (r.details_json, r.truncated) for r in models.within_budget(out, ["b", "a"], size).collect()}
     assert short == {"b": (told["b"][0], False), "a": (None, True)}
     assert models.explain_slices(df, ["s"]).count() == 0
+
+
+def test_exact_quantiles(spark):
+    """Windows narrow to 50 rows, with ties, crowds at both ends, NaN, NULL and an empty column; the plans have no aggregate that holds a column's values."""
+    rows = spark.range(20_000).select(F.pmod(F.xxhash64("id"), F.lit(1 << 40)).alias("a"), (F.col("id") % 3).alias("ties"), F.expr("if(id % 100 = 0, id, if(id % 2 = 0, -1, 1000000))").alias("ends"), F.expr("if(id % 4 = 0, if(id % 8 = 0, double('NaN'), null), -id / 7)").alias("gaps"), F.lit(None).cast("double").alias("none"))
+    asked = (0.0, 0.01, 0.5, 0.505, 0.99, 1.0)
+    got = quality.exact_quantiles(rows, ["a", "ties", "ends", "gaps", "none"], asked, most=50)
+    assert "percentile" not in got._jdf.queryExecution().toString()
+    pdf = rows.toPandas().astype(float)
+    want = {}
+    for c in ("a", "ties", "ends", "gaps"):
+        v = sorted(pdf[c].dropna())
+        want |= {(c, q): v[max(1, -(-round(q * 1000) * len(v) // 1000)) - 1] for q in asked}
+    assert {(r.column_name, r.quantile): r.value for r in got.collect()} == want
+    assert quality.exact_quantiles(rows.limit(0), ["a"], asked).collect() == []
