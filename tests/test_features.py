@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from heddle import streaming
@@ -311,6 +312,15 @@ def test_layers(spark):
         layers.layers(spark.range(1, 5).selectExpr("id node", "id - 1 needs"), most_layers=2)
 
 
+def test_layers_write_once_a_round(spark, monkeypatch):
+    written = []
+    write = DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a, **k: (written.append(a), write(self, *a, **k)))
+    chain = spark.range(1, 10).selectExpr("id node", "id - 1 needs").union(spark.range(1).selectExpr("9L node", "0L needs"))
+    assert {r.node: r.layer for r in layers.layers(chain).collect()} == {i: i for i in range(10)}
+    assert len(written) <= 11
+
+
 def test_variants(spark):
     df = spark.createDataFrame([(1, '{"a": {"b": [1, "x"]}, "n": 5}'), (2, "no json"), (3, None), (4, "[1]"), (5, '{"n": "12", "a": 3}')], "id int, j string")
     out = text.variant_columns(df, "j", {"n": ("$.n", "int"), "x": ("$.a.b[1]", "string"), "a": ("$.a", "int")})
