@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .caches import Hashes, use
-from .common import connected_components, ship, stage
+from .common import connected_components, ship, shuffles_dropped, stage, unstage
 
 COUNTERS, _SLICE = 1 << 20, 1 << 14
 #: One in so many shingles, by hash, is kept beside each set to turn away pairs that cannot link.
@@ -95,7 +95,9 @@ def _counted(docs: DataFrame, size: int) -> np.ndarray:
     for keys in (["slice", "salt"], ["slice"]):
         parts = parts.groupBy(*keys).applyInArrow(add, kind)
     out = np.zeros(COUNTERS, np.int64)
-    for r in parts.collect():  # 2**20 numbers whatever the input
+    with shuffles_dropped(docs.sparkSession):
+        slices = parts.collect()  # 2**20 numbers whatever the input
+    for r in slices:
         out[r["slice"] * _SLICE : (r["slice"] + 1) * _SLICE] = _unpacked(r["counts"])
     return out
 
@@ -178,9 +180,11 @@ def _possible(classes: DataFrame, pairs: DataFrame, most) -> DataFrame:
     return both.select("a", "b", "an", "bn", "x", "y").mapInArrow(possible, "a bigint, b bigint")
 
 
-def _with_sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, most) -> DataFrame:
-    """(a, b, x, y): the pairs that can differ in so few shingles, with their whole sets."""
-    pairs = stage(_possible(classes, stage(pairs, "pairs"), most), "possible")
+def _with_sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, most) -> tuple[DataFrame, DataFrame]:
+    """(a, b, x, y): the pairs that can differ in so few shingles, with their whole sets; and the staged pairs that this reads."""
+    every = stage(pairs, "pairs")
+    pairs = stage(_possible(classes, every, most), "possible")
+    unstage(every)
     picked = _of_pairs(docs, "_id", pairs)
 
     def sets(batches):
@@ -189,7 +193,7 @@ def _with_sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int,
 
     found = picked.select("_id", "_text").mapInArrow(sets, "id bigint, found binary")
     both = pairs.join(found.withColumnRenamed("id", "a").withColumnRenamed("found", "x"), "a").join(found.withColumnRenamed("id", "b").withColumnRenamed("found", "y"), "b")
-    return both.select("a", "b", "x", "y")
+    return both.select("a", "b", "x", "y"), pairs
 
 
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -205,7 +209,10 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int,
             kept = b.filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["a", "b"])
 
-    return _with_sets(docs, classes, pairs, size, _linked_apart(percent)).mapInArrow(verify, "a bigint, b bigint").distinct()
+    both, possible = _with_sets(docs, classes, pairs, size, _linked_apart(percent))
+    links = stage(both.mapInArrow(verify, "a bigint, b bigint").distinct(), "links")
+    unstage(possible)
+    return links
 
 
 def ngram_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", star_rounds: int = 1, hub_rounds: int = 2) -> DataFrame:
@@ -222,32 +229,43 @@ def ngram_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col:
     signed = stage(_signed(docs, size, percent, shared), "signed")
     classes = _classes(signed)
     rows = classes.select("cls", "n", "l", F.explode("prefix").alias("tok"))
-    crowds = rows.groupBy("tok").agg(F.count(F.lit(1)).alias("crowd")).where("crowd > 1")
-    live = stage(rows.join(crowds, "tok"), "live").withColumn("comp", F.col("cls"))
+    crowds = stage(rows.groupBy("tok").agg(F.count(F.lit(1)).alias("crowd")).where("crowd > 1"), "crowds")
+    live = stage(rows.join(crowds, "tok").withColumn("comp", F.col("cls")), "live")
+    unstage(crowds)
     links = comps = None
+    used: list[DataFrame] = []  # staged tables that are read to the end of the search
     for k in range(star_rounds):
         pairs = _hub_pairs(live.where(F.col("crowd") >= CROWD), k, percent)
-        new = stage(_verified(docs, classes, pairs, size, percent), "links")
+        new = _verified(docs, classes, pairs, size, percent)
+        used.append(new)
         if new.isEmpty():
             break
         links = new if links is None else links.union(new)
+        unstage(comps)
         comps = stage(connected_components(links), "comps")
-        live = _live(live, comps)
+        live, last = _live(live, comps), live
+        unstage(last)
+    used.append(live)
     listed, crowded, pairs = live.where(F.col("crowd") < HUB_CROWD), live.where(F.col("crowd") >= HUB_CROWD), []
     for k in range(hub_rounds):
-        rest, crowded = _by_crowd(crowded)
+        rest, crowded, dealt = _by_crowd(crowded)
+        used.append(dealt)
         listed = listed.union(rest)
         if crowded.isEmpty():
             break
         apart, crowded = _apart_from_hubs(docs, classes, crowded, shared, star_rounds + k, size, percent)
+        used += apart, crowded
         near = apart.where("near").select(F.col("cls").alias("a"), F.col("hub").alias("b"))
         links = near if links is None else links.union(near)
         pairs.append(_apart_pairs(apart, percent))
     pairs.append(_candidates(listed.union(crowded), percent))
-    new = stage(_verified(docs, classes, reduce(DataFrame.union, pairs).distinct(), size, percent), "links")
+    new = _verified(docs, classes, reduce(DataFrame.union, pairs).distinct(), size, percent)
+    used.append(new)
     links = new if links is None else links.union(new)
     if not links.isEmpty():
+        unstage(comps)
         comps = stage(connected_components(links), "comps")
+    unstage(*used)
     ids = signed.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "digest")
     of = classes.select("digest", "cls")
     if comps is not None:
@@ -273,11 +291,12 @@ def _dealt(live: DataFrame, of: DataFrame) -> DataFrame:
     return live.withColumn("_salt", F.pmod(F.xxhash64("cls"), parts)).repartition("tok", "_salt").join(repeated, ["tok", "_salt"]).drop("_salt")
 
 
-def _by_crowd(live: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The index rows of shingles that fewer than HUB_CROWD rows have now, and the others; those of one component alone are left out."""
+def _by_crowd(live: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The index rows of shingles that fewer than HUB_CROWD rows have now, the others, and the staged table of both; those of one component alone are left out."""
     now = live.groupBy("tok").agg(F.count(F.lit(1)).alias("_now"), F.max("crowd").alias("crowd"), F.min("comp").alias("_a"), F.max("comp").alias("_b")).where("_a < _b")
     rows = stage(_dealt(live, now.select("tok", "crowd", "_now")), "crowds")
-    return tuple(rows.where(test).select(live.columns) for test in (f"_now < {HUB_CROWD}", f"_now >= {HUB_CROWD}"))
+    few, many = (rows.where(test).select(live.columns) for test in (f"_now < {HUB_CROWD}", f"_now >= {HUB_CROWD}"))
+    return few, many, rows
 
 
 def _hub_pairs(live: DataFrame, k: int, percent: int) -> DataFrame:
@@ -355,14 +374,16 @@ def _apart_from_hubs(docs: DataFrame, classes: DataFrame, live: DataFrame, share
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *arrays], names=["cls", "hub", "n", "d", "far", "near", "found", "short", "need", "long", "need_near"])
 
     duos = met.select(F.col("cls").alias("a"), F.col("h.cls").alias("b")).distinct()
-    both = _with_sets(docs, classes, duos, size, lambda n, m: close(m)[1])
+    both, possible = _with_sets(docs, classes, duos, size, lambda n, m: close(m)[1])
     seen = stage(both.mapInArrow(differ, "cls bigint, hub bigint, n bigint, d bigint, far boolean, near boolean, found array<bigint>, short int, need int, long int, need_near int"), "differences")
     settled = seen.groupBy("cls", "hub").agg(F.max("far").alias("far")).where("not far")
     left = met.withColumn("hub", F.col("h.cls")).join(settled, ["cls", "hub"], "left_anti").select(live.columns)
     comp = met.select("cls", F.col("h.cls").alias("hub"), "comp", F.col("h.comp").alias("hub_comp")).groupBy("cls", "hub").agg(F.min("comp").alias("comp"), F.min("hub_comp").alias("hub_comp"))
     at = seen.join(comp, ["cls", "hub"]).withColumn("comp", F.expr("if(near, hub_comp, comp)"))
     rows = at.select("cls", "hub", "n", "d", "comp", "near", "short", "long", "need", "need_near", F.posexplode_outer("found").alias("at", "tok"))
-    return stage(rows.selectExpr("tok", "at", "cls", "n", "d", "comp", "hub", "near", "at < short as short", "at < long as long", "need", "need_near"), "apart"), stage(left, "live")
+    out = stage(rows.selectExpr("tok", "at", "cls", "n", "d", "comp", "hub", "near", "at < short as short", "at < long as long", "need", "need_near"), "apart"), stage(left, "live")
+    unstage(met, possible, seen)
+    return out
 
 
 def _apart_pairs(apart: DataFrame, percent: int) -> DataFrame:

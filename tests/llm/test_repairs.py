@@ -1,9 +1,12 @@
 """Repeated ids, both sides of size switches, recall and plans of hard histograms."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from heddle.llm import common
 from heddle.llm import decontaminate as D
 from heddle.llm import ngram_join as J
 from heddle.llm import vector_dedup as V
@@ -140,3 +143,19 @@ def test_shingles_dealt_into_parts(spark, monkeypatch, rounds):
     assert run() == want
     monkeypatch.setattr(J, "SALT_ROWS", 2)
     assert run() == want
+
+
+def test_join_leaves_only_what_its_result_reads(spark, sf):
+    """Neither the tables of the search nor its shuffles stay on disk; the result can still be read, twice."""
+    fs = common.shared_dir(spark).removeprefix("file://") + "/heddle"
+    tables = lambda: set(os.listdir(fs)) if os.path.isdir(fs) else set()
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {x.getName() for x in [files.getAllFiles().apply(i) for i in range(files.getAllFiles().size())] if x.getName().startswith("shuffle_")}
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    before, held = tables(), shuffled()
+    out = J.ngram_components(docs, size=3, percent=80)
+    left = {x.rsplit("-", 1)[0] for x in tables() - before}
+    assert left <= {"signed", "copies", "comps", "edges"} and len(tables() - before) <= 4
+    # of the small counts between the stages alone
+    assert len([x for x in shuffled() - held if x.endswith(".data")]) < 60
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, out.collect()))
