@@ -7,6 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator, RegressionEvaluator
@@ -265,21 +266,125 @@ def evaluate(predicted: DataFrame, label: str, regression: bool = False) -> dict
     return out | {"auc": BinaryClassificationEvaluator(labelCol=label).evaluate(predicted)}
 
 
+#: A task compares so many users at most with so many items at most; items go by boxes, users by groups.
+USER_ROWS, ITEM_ROWS, _BOX, _GROUP = 1 << 17, 1 << 18, 256, 256
+
+
+def unrated_search(box: int, near_users: int):
+    """The function `best_unrated`, of inner functions alone: tasks get it whole and need not import this package."""
+
+    def boxed(x: np.ndarray, size: int) -> np.ndarray:
+        """An order of the rows in which each run of `size` holds rows near each other: halves along the widest axis."""
+        out, todo = [], [np.arange(len(x))]
+        while todo:
+            rows = todo.pop()
+            if len(rows) <= size:
+                out.append(rows)
+                continue
+            half = (-(-len(rows) // size) // 2) * size
+            cut = np.argpartition(x[rows, np.ptp(x[rows], axis=0).argmax()], half)
+            todo += [rows[cut[half:]], rows[cut[:half]]]
+        return np.concatenate(out)
+
+    def search(users: np.ndarray, items: np.ndarray, ids: np.ndarray, at: np.ndarray, rated: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row of users, item id, score) of the n best items of each user, ties to smaller ids, without the pairs (at, rated) of a user's row and an id.
+
+        Exact: items go by boxes, those of highest bound first, and a box is passed by when no user of a group could have a better item in it.
+        """
+        order = boxed(items, box)
+        boxes = -(-len(ids) // box)
+        v = np.zeros((boxes * box, items.shape[1]))
+        v[: len(ids)] = items[order]
+        of = np.concatenate([ids[order], np.full(len(v) - len(ids), -1, ids.dtype)])
+        v[len(ids) :] = v[len(ids) - 1]  # fills the last box; never listed
+        cells = v.reshape(boxes, box, -1)
+        low, high = cells.min(axis=1), cells.max(axis=1)
+        by_id = np.argsort(of[: len(ids)])
+        found = np.searchsorted(of[: len(ids)], rated, sorter=by_id) if len(rated) else np.empty(0, np.int64)
+        by_user = np.argsort(at, kind="stable")
+        at, found = at[by_user], by_id[found[by_user]] if len(rated) else found
+        ends = np.searchsorted(at, np.arange(len(users) + 1))
+        out = []
+        near = boxed(users, near_users)
+        for start in range(0, len(users), near_users):
+            group = near[start : start + near_users]
+            u, k = users[group], len(group)
+            bound = np.maximum(u, 0) @ high.T + np.minimum(u, 0) @ low.T
+            bound += 1e-6 * np.abs(bound)
+            turn = np.argsort(-bound.max(axis=0))
+            gone = np.concatenate([found[ends[g] : ends[g + 1]] for g in group])
+            gone_at = np.repeat(np.arange(k), ends[group + 1] - ends[group])
+            who, what, score = np.empty(0, np.int64), np.empty(0, ids.dtype), np.empty(0, np.float32)
+            least, place, take, step = np.full(k, -np.inf), np.full(boxes, -1), 0, 4
+            while take < boxes:
+                some = turn[take : take + step]
+                take += step
+                some = some[(bound[:, some] >= least[:, None]).any(axis=0)]
+                if not len(some):
+                    if (bound[:, turn[take:]].max(axis=1, initial=-np.inf) < least).all():
+                        break
+                    continue
+                got = (u @ cells[some].reshape(-1, v.shape[1]).T).astype(np.float32)
+                place[some] = np.arange(len(some))
+                hit = place[gone // box] >= 0
+                got[gone_at[hit], place[gone[hit] // box] * box + gone[hit] % box] = -np.inf
+                place[some] = -1
+                names = of.reshape(boxes, box)[some].ravel()
+                got[:, names < 0] = -np.inf
+                keep = min(n, got.shape[1])
+                bar = np.maximum(np.partition(got, -keep, axis=1)[:, -keep], least)
+                x, y = np.nonzero((got >= bar[:, None]) & (got > -np.inf))
+                who, what, score = np.concatenate([who, x]), np.concatenate([what, names[y]]), np.concatenate([score, got[x, y]])
+                sort = np.lexsort((what, -score, who))
+                who, what, score = who[sort], what[sort], score[sort]
+                rank = np.arange(len(who)) - np.searchsorted(who, who)
+                who, what, score, rank = (z[rank < n] for z in (who, what, score, rank))
+                full = rank == n - 1
+                least[who[full]] = score[full]
+                step = min(2 * step, 32)
+            out.append((group[who], what, score))
+        return tuple(np.concatenate(z) for z in zip(*out))
+
+    return search
+
+
+def best_unrated(*args):
+    """As `search` of unrated_search: (users, items, ids, at, rated, n)."""
+    return unrated_search(_BOX, _GROUP)(*args)
+
+
 def recommend(ratings: DataFrame, user: str, item: str, rating: str, n: int = 5, rank: int = 8, seed: int = 42) -> tuple[DataFrame, float]:
     """(user, item, score, rank) of the n best items that each user has not rated, and the RMSE over the ratings.
 
-    Of each user n and at most twice as many more are listed as the user has rated, whatever others have: users go by the power of two
-    that their rated items come up to, some dozens of classes at most. Rated ones leave by an anti join.
+    Users go by blocks and items by parts, of bounded size; each block meets each part in one task, which passes by what cannot be among
+    a user's best and gives n rows a user. A user's rated items go only to the parts they are in.
     """
     model = ALS(userCol=user, itemCol=item, ratingCol=rating, rank=rank, seed=seed, coldStartStrategy="drop", nonnegative=True).fit(ratings)
     error = RegressionEvaluator(labelCol=rating, predictionCol="prediction", metricName="rmse").evaluate(model.transform(ratings))
-    rated = ratings.groupBy(user).agg(F.ceil(F.log2(F.count_distinct(item))).cast("int").alias("k"))
-    lists = [model.recommendForUserSubset(rated.where(F.col("k") == k).select(user), n + 2**k) for k in sorted(r[0] for r in rated.select("k").distinct().collect())]
-    if not lists:
-        return ratings.select(user, item, F.lit(0.0).alias("score"), F.lit(1).alias("rank")).limit(0), error
-    listed = reduce(DataFrame.union, lists).select(user, F.posexplode("recommendations").alias("at", "r")).select(user, F.col(f"r.{item}").alias(item), F.col("r.rating").cast("double").alias("score"))
-    unseen = listed.join(ratings.select(user, item).distinct(), [user, item], "left_anti")
-    return unseen.withColumn("rank", F.row_number().over(Window.partitionBy(user).orderBy(F.col("score").desc(), item))).where(F.col("rank") <= n), error
+    n_users, n_items = model.userFactors.count(), model.itemFactors.count()
+    parts = max(1, -(-n_items // ITEM_ROWS))
+    blocks = max(1, -(-n_users // USER_ROWS), min(ratings.sparkSession.sparkContext.defaultParallelism, n_users // 4096))
+    deal = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    rated = ratings.groupBy(F.col(user).cast("int").alias("id"), deal(F.col(item).cast("int"), parts).alias("part")).agg(F.collect_set(F.col(item).cast("int")).alias("rated"))
+    users = model.userFactors.withColumn("block", deal("id", blocks)).withColumn("part", every(parts)).join(rated, ["id", "part"], "left")
+    items = model.itemFactors.withColumn("part", deal("id", parts)).withColumn("block", every(blocks))
+
+    search = unrated_search(_BOX, _GROUP)
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids = [t.column("id").to_numpy() for t in (left, right)]
+        u, v = (np.asarray(t.column("features").combine_chunks().flatten(), np.float64).reshape(t.num_rows, -1) for t in (left, right))
+        lists = left.column("rated").combine_chunks()
+        if left.num_rows and right.num_rows:
+            at = np.repeat(np.arange(left.num_rows), np.asarray(lists.value_lengths().fill_null(0)))
+            who, what, score = search(u, v, ids[1], at, np.asarray(lists.flatten()), n)
+        else:
+            who, what, score = np.empty(0, np.int64), ids[1][:0], np.empty(0)
+        return pa.table({user: pa.array(ids[0][who], pa.int32()), item: pa.array(what, pa.int32()), "score": pa.array(score, pa.float64())})
+
+    listed = users.groupBy("block", "part").cogroup(items.groupBy("block", "part")).applyInArrow(best, f"`{user}` int, `{item}` int, score double")
+    return listed.withColumn("rank", F.row_number().over(Window.partitionBy(user).orderBy(F.col("score").desc(), item))).where(F.col("rank") <= n), error
 
 
 def mixed_effects(df: DataFrame, y: str, x: str, group: str, rounds: int = 50) -> dict[str, float]:

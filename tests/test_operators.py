@@ -5,6 +5,7 @@ import gzip
 import json
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -281,6 +282,36 @@ def test_learners(spark, sf):
     assert abs(fit["slope"] - 2) < 0.01 and abs(fit["intercept"] - 5) < 0.5 and 10 < fit["group_variance"] < 30 and fit["residual_variance"] < 1
 
 
+def test_best_unrated(monkeypatch):
+    """Equal to all scores sorted, with ties, negative factors, users who have rated nearly all and fewer items than asked for."""
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(models, "_BOX", 16)
+    monkeypatch.setattr(models, "_GROUP", 32)
+    for users, items, low in ((100, 500, 0), (70, 333, -1), (40, 3, 0)):
+        u, v = (np.round(rng.uniform(low, 1, (k, 8)) * 4) / 4 for k in (users, items))
+        u[0] = 0  # every item ties
+        ids = rng.permutation(10 * items)[:items].astype(np.int32)
+        seen = rng.random((users, items)) < 0.1
+        seen[1, 1:] = True
+        at, pos = np.nonzero(seen)
+        got = sorted(zip(*(x.tolist() for x in models.best_unrated(u, v, ids, at, ids[pos], 4))))
+        score = (u @ v.T).astype(np.float32)
+        want = sorted((r, int(i), float(s)) for r in range(users) for s, i in sorted(((float(score[r, k]), ids[k]) for k in range(items) if not seen[r, k]), key=lambda x: (-x[0], x[1]))[:4])
+        assert got == want
+
+
+def test_recommend_by_parts(spark, monkeypatch):
+    """Parts and blocks of any size change no result, for users who have rated most items too."""
+    ratings = spark.range(40 * 300).selectExpr("cast(id % 40 as int) u", "cast(id div 40 as int) i").where("pmod(xxhash64(u, i), 10) < 8").selectExpr("*", "cast(pmod(xxhash64(i, u), 5) as float) r")
+    seen = {(r.u, r.i) for r in ratings.select("u", "i").collect()}
+    runs = []
+    for rows in (1 << 18, 64):
+        monkeypatch.setattr(models, "ITEM_ROWS", rows)
+        monkeypatch.setattr(models, "USER_ROWS", rows // 4)
+        runs.append({(r.u, r.i, r["rank"]) for r in models.recommend(ratings, "u", "i", "r", 3)[0].collect()})
+    assert runs[0] == runs[1] and len(runs[0]) == 120 and not {(u, i) for u, i, _ in runs[0]} & seen
+
+
 def test_history_writer(spark, tmp_path):
     path = at(tmp_path / "h")
     rows = spark.createDataFrame([("d", "m", 1.5, dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 2))], "dataset_name string, metric_name string, metric_value double, partition_ts timestamp, run_timestamp timestamp")
