@@ -1,15 +1,19 @@
-"""Exact token ids at bulk speed: each distinct piece of text goes through the tokenizers library once.
+"""Exact token ids at bulk speed: each distinct word goes through the tokenizers library once, as long as a cache holds it.
 
 The byte-level pre-tokenizer splits a text with a fixed pattern before any merge. Some places are a split whatever stands around
-them: before a space between two non-space characters, between a letter and a full stop, comma or line break, and after a lone line
-break before a letter. A text cut there, encoded in pieces and joined gives the ids of the whole text. Texts with other white space
-are encoded whole. Tokenizers with a normalizer, a post-processor that changes ids or another pre-tokenizer are always encoded whole.
+them: before a space between two non-space characters, on both sides of a lone line break, and between a letter and punctuation. A text
+cut there, encoded in words and joined gives the ids of the whole text. Texts with other white space are encoded whole. Tokenizers with
+a normalizer, a post-processor that changes ids or another pre-tokenizer are always encoded whole.
 """
 
 from __future__ import annotations
 
+import codecs
 import os
 import re
+import sys
+from array import array
+from operator import attrgetter
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -17,15 +21,13 @@ import numpy as np
 
 from .caches import use
 
-#: One of these after a letter is a piece of its own.
-_ENDS = frozenset(".,")
-_EDGES = re.compile(r"(?<=[^\W\d_])(?=[.,\n])|(?<=\S\n)(?=[^\W\d_])")
-_RUN = 500
+#: Letters in any version of Unicode that the library may follow; a word with others is encoded by its pre-tokenizer.
+_LETTERS = "[A-Za-zªµºÀ-ÖØ-öø-ɏΆΈ-ΊΌΎ-ΡΣ-ϵЀ-ҁҊ-ԣぁ-ゖァ-ヺ一-龥가-힣]+"
+_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: The ids of an array are little-endian unsigned 32-bit integers as they are.
+_NATIVE = sys.byteorder == "little" and array("I").itemsize == 4
 _ENCODERS: dict[str, Encoder] = {}
-
-
-def _bytes(pieces) -> int:
-    return 150 * len(pieces) + 2 * sum(map(len, pieces))
+_id = attrgetter("id")
 
 
 def encoder(path: str) -> Encoder:
@@ -36,12 +38,50 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-class Encoder:
-    """ids as little-endian unsigned 32-bit bytes.
+def _byte_letters() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
+
+
+class _Words(dict):
+    """Word to ids, None where it cannot be encoded apart; its entries come to about `most_bytes` at most.
 
-    A cache whose entries come to `most_bytes` keeps those of the texts at hand alone: the usual words are among them.
+    Words that came up again stay. New ones fill a quarter of the room, and as much again holds those before them, which are let go if
+    they do not come up. When the words that stay fill their half, they start over as words that may come up.
     """
 
+    def __init__(self, ids_of, most_bytes: int):
+        super().__init__()
+        self.ids_of, self.most_bytes = ids_of, most_bytes
+        self.old: dict[str, bytes | None] = {}
+        self.new: list[str] = []
+        self.kept_bytes = self.new_bytes = 0
+
+    def __missing__(self, word: str) -> bytes | None:
+        size = 150 + 2 * len(word)
+        if word in self.old:
+            self[word] = ids = self.old[word]
+            self.kept_bytes += size
+            if self.kept_bytes > self.most_bytes // 2:
+                for w in self.new:
+                    del self[w]
+                self.old, self.new, self.kept_bytes, self.new_bytes = self.copy(), [], 0, 0
+                self.clear()
+            return ids
+        ids = self.ids_of(word)
+        self.new_bytes += size
+        if self.new_bytes > self.most_bytes // 4:
+            self.old, self.new, self.new_bytes = {w: self.pop(w) for w in self.new}, [], size
+        self.new.append(word)
+        self[word] = ids
+        return ids
+
+
+class Encoder:
+    """ids as little-endian unsigned 32-bit bytes."""
+
     def __init__(self, path: str, most_bytes: int = 64 << 20):
         self.sp = None
         if path.endswith(".model"):
@@ -51,17 +91,17 @@ class Encoder:
             return
         from tokenizers import Tokenizer
 
-        self.tok, self.most_bytes = Tokenizer.from_file(path), most_bytes
-        self.fast = self.tok.normalizer is None and repr(self.tok.pre_tokenizer) == "ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=True)" and not any(x.lstrip or x.rstrip or " " in x.content for x in self.tok.get_added_tokens_decoder().values())
+        self.tok = Tokenizer.from_file(path)
+        added, letters = list(self.tok.get_added_tokens_decoder().values()), _byte_letters()
+        marks = "".join(c for c in _PUNCTUATION if not any(c in x.content for x in added))  # a cut within an added token would undo it
+        self.fast = self.tok.normalizer is None and repr(self.tok.pre_tokenizer) == "ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=True)" and not any(x.lstrip or x.rstrip or x.single_word or re.search(rf"\s|^{_LETTERS}$", x.content) for x in added)
+        self.fast = self.fast and bool(marks) and type(self.tok.model).__name__ == "BPE" and all(self.tok.model.token_to_id(c) is not None for c in letters)
         if self.fast:
-            self.width = np.zeros(self.tok.get_vocab_size(), dtype=np.int64)
-            for piece, i in self.tok.get_vocab().items():
-                self.width[i] = len(piece)  # byte-level: a character a byte
-            for i, added in self.tok.get_added_tokens_decoder().items():
-                self.width[i] = len(added.content.encode())
-        self.words: dict[str, bytes | None] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.held = 0  # about so many bytes
+            self.tokenize, self.letters, self.space = self.tok.model.tokenize, "".join(letters), letters[ord(" ")]
+            self.shape = re.compile(rf"({_LETTERS})([{re.escape(marks)}].*)?", re.DOTALL).fullmatch
+            self.line_break = self._whole(["\n"])[0]
+            self.fast = len(self.line_break) == 4
+            self.words, self.tails = _Words(self._word, most_bytes), _Words(lambda x: self._whole([x])[0], most_bytes // 8)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Of each text, null as empty."""
@@ -70,20 +110,13 @@ class Encoder:
             return [np.array(x, dtype="<u4").tobytes() for x in self.sp.encode(texts, num_threads=1)]
         if not self.fast:
             return self._whole(texts)
-        out: list[bytes] = [b""] * len(texts)
-        split = [(i, *x.split(" ", 1)) for i, x in enumerate(texts) if x]
-        split = [(i, x[0], x[1].split(" ") if len(x) > 1 else []) for i, *x in split]
-        heads = self._joined([_EDGES.split(head) for _, head, _ in split])
-        self._learn(split)
-        get, whole = self.words.__getitem__, []
-        for (i, head, rest), first in zip(split, heads):
-            try:
-                if head and not head[0].isspace() and not head[-1].isspace():
-                    out[i] = first + b"".join(map(get, rest))
-                    continue
-            except TypeError:  # a word with white space at an end
-                pass
-            whole.append(i)
+        out, get, whole = [b""] * len(texts), self.words.__getitem__, []
+        for i, x in enumerate(texts):
+            if x:
+                try:  # every word after a space or a line break, which the first one is given and loses again
+                    out[i] = b"".join(map(get, ("\n" + x).replace("\n", " \n").split(" ")[1:]))[4:]
+                except TypeError:  # white space that is no lone space or line break
+                    whole.append(i)
         for i, x in zip(whole, self._whole([texts[i] for i in whole])):
             out[i] = x
         return out
@@ -91,56 +124,23 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
-    def _joined(self, parts: list[list[str]]) -> list[bytes]:
-        """Pieces that begin with no space, encoded and joined."""
-        known = self.pieces
-        new = list(set().union(*parts).difference(known))
-        known.update(zip(new, self._whole(new)))
-        self.held += _bytes(new)
-        return [b"".join([known[p] for p in ps]) for ps in parts]
-
-    def _learn(self, split: list[tuple[int, str, list[str]]]) -> None:
-        """Fill the cache of words, kept without the space before them.
-
-        A word of letters is encoded; one that goes on after them is its first letters, which have the space, and pieces after an edge.
-        A word that is empty or has white space at an end, where there may be no split, is None.
-        """
-        words, here = self.words, set().union(*[rest for _, _, rest in split])
-        if self.held > self.most_bytes:
-            words = self.words = {w: words[w] for w in here.intersection(words)}
-            self.pieces = {}
-            self.held = _bytes(words)
-        new = here.difference(words)
-        self.held += _bytes(new)
-        letters = set(filter(str.isalpha, new))
-        tails: list[tuple[str, str, list[str]]] = []
-        alone = []
-        for w in new.difference(letters):
-            first, rest = w[:-1], [w[-1:]]
-            if w[-1:] not in _ENDS or not first.isalpha():
-                if not w or w[0].isspace() or w[-1].isspace():
-                    words[w] = None
-                    continue
-                first, *rest = _EDGES.split(w)
-                if not rest or not first.isalpha():
-                    alone.append(w)
-                    continue
-            tails.append((w, first, rest))
-            if first not in words:
-                letters.add(first)
-        words.update(zip(alone, self._whole([" " + w for w in alone])))
-        order = list(letters)
-        for at in range(0, len(order), _RUN):
-            run = order[at : at + _RUN]
-            text = " " + " ".join(run)
-            ids = np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = np.cumsum(np.fromiter(map(len, text.encode().split(b" ")[1:]), np.int64, len(run)) + 1)
-            got = np.cumsum(self.width[ids])
-            cut = np.searchsorted(got, ends)
-            if len(got) != cut[-1] + 1 or (got[cut] != ends).any():  # never with a byte-level vocabulary
-                words.update(zip(run, self._whole([" " + w for w in run])))
-                continue
-            stops = ((cut + 1) * 4).tolist()
-            words.update(zip(run, map(ids.tobytes().__getitem__, map(slice, [0, *stops], stops))))
-        for (w, first, _), rest in zip(tails, self._joined([t[2] for t in tails])):
-            words[w] = words[first] + rest
+    def _together(self, word: str) -> bytes:
+        """Of letters alone, or a space and letters: what the pre-tokenizer keeps together."""
+        ids = array("I", map(_id, self.tokenize(codecs.charmap_decode(word.encode(), "strict", self.letters)[0])))
+        return ids.tobytes() if _NATIVE else np.array(ids, "<u4").tobytes()
+
+    def _word(self, word: str) -> bytes | None:
+        """Of a word with the space or line break before it; a space is not written. None where white space at an end may make no split."""
+        if _NATIVE and word.isascii() and word.isalpha():  # letters that stand for themselves
+            return array("I", map(_id, self.tokenize(self.space + word))).tobytes()
+        space, before = (" ", b"") if word[:1] != "\n" else ("", self.line_break)
+        word = word if space else word[1:]
+        if not word or word[0].isspace() or word[-1].isspace():
+            return None
+        shape = self.shape(word)
+        if not shape:
+            return before + self._whole([space + word])[0]
+        first, tail = shape.groups()
+        if not tail:
+            return before + self._together(space + first)
+        return before + (self.words[first] if space else self._together(first)) + self.tails[tail]
