@@ -30,6 +30,8 @@ from .caches import Hashes, use
 from .common import connected_components, ship, shuffles_dropped, stage, unstage
 
 COUNTERS, _SLICE = 1 << 20, 1 << 14
+#: The columns of a set's parities.
+_BITS = ("bits0", "bits1", "bits2", "bits3")
 #: One in so many shingles, by hash, is kept beside each set to turn away pairs that cannot link.
 _SAMPLED = 8
 #: A shingle that so many classes share takes part in the star rounds.
@@ -139,6 +141,12 @@ def _apart(x: np.ndarray, y: np.ndarray) -> int:
     return len(x) + len(y) - 2 * len(np.intersect1d(x, y, assume_unique=True))
 
 
+def parities(found: np.ndarray) -> list[int]:
+    """256 bits of a set of shingles, each the parity of those that fall on it: two sets differ in no fewer shingles than bits."""
+    odd = np.bincount((found >> np.int64(40)) & 255, minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").tolist()
+
+
 def _linked_apart(percent: int):
     """The most shingles in which linked sets of n and m shingles differ."""
     return lambda n, m: (n + m) * (100 - percent) // (100 + percent)
@@ -350,8 +358,8 @@ def apart(x: np.ndarray, y: np.ndarray, freq: np.ndarray, percent: int, longest:
 def _apart_from_hubs(docs: DataFrame, classes: DataFrame, live: DataFrame, shared, k: int, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Classes as differences from the hubs of their shingles, with a row a shingle of the prefixes; and the rows of `live` whose hubs are too far.
 
-    A row is (tok, at, cls, n, d, comp, hub, near, short, long, need, need_near): the place of tok in the prefix, the size of the difference, whether tok is of the prefix towards unlinked sets, whether of that
-    towards linked ones, and how many matches each asks for.
+    A row is (tok, at, cls, n, d, comp, hub, near, short, long, need, need_near, bits0 to bits3): the place of tok in the prefix, the size of the difference, whether tok is of the prefix towards unlinked sets, whether of that
+    towards linked ones, how many matches each asks for, and the parities of the whole set.
 
     An id of several texts is settled when all of them are.
     """
@@ -368,42 +376,49 @@ def _apart_from_hubs(docs: DataFrame, classes: DataFrame, live: DataFrame, share
                 x, y = (np.frombuffer(v.as_buffer(), np.int64) for v in (x, y))
                 d, (inner, outer) = _apart(x, y), close(len(y))
                 near, found, short, long = apart(x, y, shared.value, percent) if d <= outer else (False, x[:0], (0, 1), (0, 1))
-                rows.append((len(x), d, d > inner, near, found ^ np.int64(xxhash.xxh3_64_intdigest(y.tobytes()) >> 1), *short, *long))
-            n, apart_in, far, near, found, *cuts = zip(*rows) if rows else ([],) * 9
-            arrays = [pa.array(n, pa.int64()), pa.array(apart_in, pa.int64()), pa.array(far, pa.bool_()), pa.array(near, pa.bool_()), pa.array(found, pa.list_(pa.int64())), *[pa.array(c, pa.int32()) for c in cuts]]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *arrays], names=["cls", "hub", "n", "d", "far", "near", "found", "short", "need", "long", "need_near"])
+                rows.append((len(x), d, d > inner, near, found ^ np.int64(xxhash.xxh3_64_intdigest(y.tobytes()) >> 1), *short, *long, *parities(x)))
+            n, apart_in, far, near, found, *cuts = zip(*rows) if rows else ([],) * 13
+            arrays = [pa.array(n, pa.int64()), pa.array(apart_in, pa.int64()), pa.array(far, pa.bool_()), pa.array(near, pa.bool_()), pa.array(found, pa.list_(pa.int64())), *[pa.array(c, pa.int32()) for c in cuts[:4]], *[pa.array(c, pa.int64()) for c in cuts[4:]]]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *arrays], names=["cls", "hub", "n", "d", "far", "near", "found", "short", "need", "long", "need_near", *_BITS])
 
     duos = met.select(F.col("cls").alias("a"), F.col("h.cls").alias("b")).distinct()
     both, possible = _with_sets(docs, classes, duos, size, lambda n, m: close(m)[1])
-    seen = stage(both.mapInArrow(differ, "cls bigint, hub bigint, n bigint, d bigint, far boolean, near boolean, found array<bigint>, short int, need int, long int, need_near int"), "differences")
+    seen = stage(both.mapInArrow(differ, "cls bigint, hub bigint, n bigint, d bigint, far boolean, near boolean, found array<bigint>, short int, need int, long int, need_near int, " + ", ".join(f"{b} bigint" for b in _BITS)), "differences")
     settled = seen.groupBy("cls", "hub").agg(F.max("far").alias("far")).where("not far")
     left = met.withColumn("hub", F.col("h.cls")).join(settled, ["cls", "hub"], "left_anti").select(live.columns)
     comp = met.select("cls", F.col("h.cls").alias("hub"), "comp", F.col("h.comp").alias("hub_comp")).groupBy("cls", "hub").agg(F.min("comp").alias("comp"), F.min("hub_comp").alias("hub_comp"))
     at = seen.join(comp, ["cls", "hub"]).withColumn("comp", F.expr("if(near, hub_comp, comp)"))
-    rows = at.select("cls", "hub", "n", "d", "comp", "near", "short", "long", "need", "need_near", F.posexplode_outer("found").alias("at", "tok"))
-    out = stage(rows.selectExpr("tok", "at", "cls", "n", "d", "comp", "hub", "near", "at < short as short", "at < long as long", "need", "need_near"), "apart"), stage(left, "live")
+    rows = at.select("cls", "hub", "n", "d", "comp", "near", "short", "long", "need", "need_near", *_BITS, F.posexplode_outer("found").alias("at", "tok"))
+    out = stage(rows.selectExpr("tok", "at", "cls", "n", "d", "comp", "hub", "near", "at < short as short", "at < long as long", "need", "need_near", *_BITS), "apart"), stage(left, "live")
     unstage(met, possible, seen)
     return out
 
 
 def _apart_pairs(apart: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) in different components whose differences from a hub share enough shingles of their prefixes, one of them at least not linked with it.
+    """Pairs (a, b) in different components whose differences from a hub share enough shingles of their prefixes, one of them at least not linked with it."""
+    pair = _apart_met(apart, percent)
+    return pair.groupBy("hub", "a", "b").agg(F.count(F.lit(1)).alias("hits"), F.min("need").alias("need")).where("hits >= need").select("a", "b").distinct()
+
+
+def _apart_met(apart: DataFrame, percent: int) -> DataFrame:
+    """(hub, a, b, need) for each shingle that such a pair shares.
 
     Of two differences both sizes are known where they meet: with what the pair must share, its prefixes are shorter than those of each alone.
+    Linked sets differ in no more parities than they may in shingles; the join gives no row of two that do.
     """
     w, rest = 100 + percent, 100 - percent
     some = apart.where("tok is not null")
     sizes = some.groupBy("tok", "comp").agg(F.count(F.lit(1)).alias("c"))
     tagged = some.join(_largest(sizes), "tok")
-    side = lambda x: ["tok", "hub", f"cls {x}", f"n {x}n", f"comp {x}c", f"near {x}near", f"d {x}d", f"at {x}at", f"short {x}short", f"if(near, short, long) {x}long", f"need {x}need", f"if(near, need, need_near) {x}needn"]
+    side = lambda x: ["tok", "hub", f"cls {x}", f"n {x}n", f"comp {x}c", f"near {x}near", f"d {x}d", f"at {x}at", f"short {x}short", f"if(near, short, long) {x}long", f"need {x}need", f"if(near, need, need_near) {x}needn", *(f"{b} {x}{b}" for b in _BITS)]
     x = _every_part(tagged.where("comp != big")).selectExpr(*side("a"), "_part")
     y = _own_part(tagged).selectExpr(*side("b"), "big", "_part").drop("hub")
     met = x.join(y, ["tok", "_part"]).where("ac != bc and (bc = big or a < b) and if(anear = bnear, not anear and ashort and bshort, along and blong)")
     need = "if(anear = bnear, least(aneed, bneed), least(aneedn, bneedn))"
     share = f"greatest(1, ({w} * (ad + bd) - {rest} * (an + bn) + {2 * w - 1}) div {2 * w})"
+    met = met.where(f"{' + '.join(f'bit_count(a{b} ^ b{b})' for b in _BITS)} <= (an + bn) * {rest} div {w}")
     met = met.where(f"100 * least(an, bn) >= {percent} * greatest(an, bn) and {share} <= least(ad, bd) and aat < ad - {share} + {need} and bat < bd - {share} + {need}")
-    pair = met.selectExpr("hub", "least(a, b) a", "greatest(a, b) b", f"{need} need")
-    return pair.groupBy("hub", "a", "b").agg(F.count(F.lit(1)).alias("hits"), F.min("need").alias("need")).where("hits >= need").select("a", "b").distinct()
+    return met.selectExpr("hub", "least(a, b) a", "greatest(a, b) b", f"{need} need")
 
 
 def _live(live: DataFrame, comps: DataFrame) -> DataFrame:

@@ -159,3 +159,28 @@ def test_join_leaves_only_what_its_result_reads(spark, sf):
     # of the small counts between the stages alone
     assert len([x for x in shuffled() - held if x.endswith(".data")]) < 60
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, out.collect()))
+
+
+def test_parities_differ_in_no_more_than_the_sets_do():
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 40, 400):
+        x, y = (np.unique(rng.integers(-(2**63), 2**63 - 1, 2 * n)) for _ in range(2))
+        y = np.unique(np.concatenate([x[:n], y[:n]]))
+        apart = sum(((a ^ b) & (1 << 64) - 1).bit_count() for a, b in zip(J.parities(x), J.parities(y)))
+        assert apart <= len(np.setxor1d(x, y)) and J.parities(x) == J.parities(x[::-1])
+        assert apart >= min(len(np.setxor1d(x, y)), 40) // 2  # and say something
+
+
+def test_join_of_differences_gives_no_rows_of_what_cannot_link(spark, monkeypatch):
+    """Copies of one text that lack some of its words, too far apart to link, meet in the index, not in what its join gives."""
+    rows = []
+    for k in range(200):
+        gone = set((np.random.default_rng(k).choice(60, 8, replace=False) * 3 + 1).tolist())
+        rows.append((k, " ".join(f"w{j}" for j in range(200) if j not in gone)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets, met, real = [set(J.shingles(t, 3).tolist()) for _, t in rows], [], J._apart_pairs
+    monkeypatch.setattr(J, "_apart_pairs", lambda apart, percent: (met.append((apart.where("tok is not null").count(), J._apart_met(apart, percent).count())), real(apart, percent))[1])
+    got = sorted(map(tuple, J.ngram_components(df, size=3, percent=90, star_rounds=0).collect()))
+    links = [(a, b) for a in range(200) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b])]
+    assert not links and got == [(k, len(sets[k]), k) for k in range(200)]
+    assert met and sum(n for n, _ in met) > 1000 and sum(m for _, m in met) < 200
