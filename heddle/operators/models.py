@@ -266,83 +266,89 @@ def evaluate(predicted: DataFrame, label: str, regression: bool = False) -> dict
     return out | {"auc": BinaryClassificationEvaluator(labelCol=label).evaluate(predicted)}
 
 
-#: A task compares so many users at most with so many items at most; items go by boxes, users by groups.
-USER_ROWS, ITEM_ROWS, _BOX, _GROUP = 1 << 17, 1 << 18, 256, 256
+#: A task compares so many users at most with so many items at most; a group of users that is not halved any more meets a box of items at once.
+USER_ROWS, ITEM_ROWS, _BOX, _GROUP = 1 << 17, 1 << 18, 8192, 64
 
 
 def unrated_search(box: int, near_users: int):
     """The function `best_unrated`, of inner functions alone: tasks get it whole and need not import this package."""
-
-    def boxed(x: np.ndarray, size: int) -> np.ndarray:
-        """An order of the rows in which each run of `size` holds rows near each other: halves along the widest axis."""
-        out, todo = [], [np.arange(len(x))]
-        while todo:
-            rows = todo.pop()
-            if len(rows) <= size:
-                out.append(rows)
-                continue
-            half = (-(-len(rows) // size) // 2) * size
-            cut = np.argpartition(x[rows, np.ptp(x[rows], axis=0).argmax()], half)
-            todo += [rows[cut[half:]], rows[cut[:half]]]
-        return np.concatenate(out)
+    tried, most_users = 32, 8192  # items that raise a group's bars before it is halved, and the users of the largest group that gets bars
 
     def search(users: np.ndarray, items: np.ndarray, ids: np.ndarray, at: np.ndarray, rated: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row of users, item id, score) of the n best items of each user, ties to smaller ids, without the pairs (at, rated) of a user's row and an id.
 
-        Exact: items go by boxes, those of highest bound first, and a box is passed by when no user of a group could have a better item in it.
+        Exact: users of like directions are halved again and again, and each half drops the items that none of its users can want: the score
+        by its mean direction, and what its users are off that at most, stay under the bars, which are each user's n-th best score so far.
         """
-        order = boxed(items, box)
-        boxes = -(-len(ids) // box)
-        v = np.zeros((boxes * box, items.shape[1]))
-        v[: len(ids)] = items[order]
-        of = np.concatenate([ids[order], np.full(len(v) - len(ids), -1, ids.dtype)])
-        v[len(ids) :] = v[len(ids) - 1]  # fills the last box; never listed
-        cells = v.reshape(boxes, box, -1)
-        low, high = cells.min(axis=1), cells.max(axis=1)
-        by_id = np.argsort(of[: len(ids)])
-        found = np.searchsorted(of[: len(ids)], rated, sorter=by_id) if len(rated) else np.empty(0, np.int64)
+        by_id = np.argsort(ids)
         by_user = np.argsort(at, kind="stable")
-        at, found = at[by_user], by_id[found[by_user]] if len(rated) else found
-        ends = np.searchsorted(at, np.arange(len(users) + 1))
-        out = []
-        near = boxed(users, near_users)
-        for start in range(0, len(users), near_users):
-            group = near[start : start + near_users]
-            u, k = users[group], len(group)
-            bound = np.maximum(u, 0) @ high.T + np.minimum(u, 0) @ low.T
-            bound += 1e-6 * np.abs(bound)
-            turn = np.argsort(-bound.max(axis=0))
-            gone = np.concatenate([found[ends[g] : ends[g + 1]] for g in group])
-            gone_at = np.repeat(np.arange(k), ends[group + 1] - ends[group])
-            who, what, score = np.empty(0, np.int64), np.empty(0, ids.dtype), np.empty(0, np.float32)
-            least, place, take, step = np.full(k, -np.inf), np.full(boxes, -1), 0, 4
-            while take < boxes:
-                some = turn[take : take + step]
-                take += step
-                some = some[(bound[:, some] >= least[:, None]).any(axis=0)]
-                if not len(some):
-                    if (bound[:, turn[take:]].max(axis=1, initial=-np.inf) < least).all():
-                        break
-                    continue
-                got = (u @ cells[some].reshape(-1, v.shape[1]).T).astype(np.float32)
-                place[some] = np.arange(len(some))
-                hit = place[gone // box] >= 0
-                got[gone_at[hit], place[gone[hit] // box] * box + gone[hit] % box] = -np.inf
-                place[some] = -1
-                names = of.reshape(boxes, box)[some].ravel()
-                got[:, names < 0] = -np.inf
-                keep = min(n, got.shape[1])
-                bar = np.maximum(np.partition(got, -keep, axis=1)[:, -keep], least)
-                x, y = np.nonzero((got >= bar[:, None]) & (got > -np.inf))
-                who, what, score = np.concatenate([who, x]), np.concatenate([what, names[y]]), np.concatenate([score, got[x, y]])
+        gone = by_id[np.searchsorted(ids, rated, sorter=by_id)][by_user] if len(rated) else np.empty(0, np.int64)
+        ends = np.searchsorted(at[by_user], np.arange(len(users) + 1))
+        size = np.linalg.norm(users, axis=1)
+        unit = users / np.where(size > 0, size, 1)[:, None]
+        middle = items.mean(axis=0)
+        away, lead = items - middle, unit @ middle
+        off = np.linalg.norm(away, axis=1) * (1 + 1e-9) + 1e-9 * np.abs(items).max()
+        bars, place, out = np.full(len(users), -np.inf), np.full(len(ids), -1), []
+
+        def scores(rows: np.ndarray, some: np.ndarray, gone_at: np.ndarray, gone_of: np.ndarray) -> np.ndarray:
+            got = (users[rows] @ items[some].T).astype(np.float32)
+            place[some] = np.arange(len(some))
+            to = place[gone_of]
+            got[gone_at[to >= 0], to[to >= 0]] = -np.inf
+            place[some] = -1
+            return got
+
+        def settle(rows: np.ndarray, left: np.ndarray, gone_at: np.ndarray, gone_of: np.ndarray) -> None:
+            who, what, score, least = np.empty(0, np.int64), np.empty(0, ids.dtype), np.empty(0, np.float32), bars[rows]
+            for start in range(0, len(left), box):
+                some = left[start : start + box]
+                got = scores(rows, some, gone_at, gone_of)
+                keep = min(n, len(some))
+                x, y = np.nonzero((got >= np.maximum(np.partition(got, -keep, axis=1)[:, -keep], least)[:, None]) & (got > -np.inf))
+                who, what, score = np.concatenate([who, x]), np.concatenate([what, ids[some[y]]]), np.concatenate([score, got[x, y]])
                 sort = np.lexsort((what, -score, who))
                 who, what, score = who[sort], what[sort], score[sort]
                 rank = np.arange(len(who)) - np.searchsorted(who, who)
                 who, what, score, rank = (z[rank < n] for z in (who, what, score, rank))
                 full = rank == n - 1
-                least[who[full]] = score[full]
-                step = min(2 * step, 32)
-            out.append((group[who], what, score))
+                least[who[full]] = np.maximum(least[who[full]], score[full])
+            out.append((rows[who], what, score))
+
+        still = np.flatnonzero(size == 0)  # all their scores are 0: the smallest ids that they have not rated
+        every = np.arange(len(ids))
+        todo = [(np.flatnonzero(size > 0), every, away, off)]
+        if len(still):
+            first = by_id[: n + int(np.diff(ends)[still].max())]
+            todo += [(still[k : k + near_users], first, away[first], off[first]) for k in range(0, len(still), near_users)]
+        while todo:
+            rows, left, of, reach = todo.pop()
+            if not len(rows):
+                continue
+            u, ended = unit[rows], size[rows[0]] == 0
+            if len(rows) <= max(most_users, near_users):
+                many = ends[rows + 1] - ends[rows]
+                gone_at = np.repeat(np.arange(len(rows)), many)
+                gone_of = gone[np.arange(many.sum()) + np.repeat(ends[rows] - (np.cumsum(many) - many), many)]
+                if not ended:
+                    mean = u.mean(axis=0)
+                    wide = np.sqrt(((u - mean) ** 2).sum(axis=1).max())
+                    by_mean = of @ mean
+                    if n <= tried < len(left):
+                        got = scores(rows, left[np.argpartition(by_mean, -tried)[-tried:]], gone_at, gone_of)
+                        bars[rows] = np.maximum(bars[rows], np.partition(got, -n, axis=1)[:, -n])
+                    bar = bars[rows] / size[rows]
+                    may = by_mean + wide * reach + (lead[rows] - bar + 1e-6 * np.abs(bar)).max() + 1e-9 * reach >= 0
+                    if (kept := np.count_nonzero(may)) < 0.75 * len(left):
+                        left, of, reach = left[may], of[may], reach[may]
+                    ended = len(rows) <= near_users or len(rows) * kept <= near_users * near_users
+                    if ended and len(left) > kept:
+                        left = left[may]
+                if ended:
+                    settle(rows, left, gone_at, gone_of)
+                    continue
+            half = np.argpartition(u[:, np.ptp(u, axis=0).argmax()], len(rows) // 2)
+            todo += [(rows[half[: len(rows) // 2]], left, of, reach), (rows[half[len(rows) // 2 :]], left, of, reach)]
         return tuple(np.concatenate(z) for z in zip(*out))
 
     return search
@@ -357,10 +363,18 @@ def recommend(ratings: DataFrame, user: str, item: str, rating: str, n: int = 5,
     """(user, item, score, rank) of the n best items that each user has not rated, and the RMSE over the ratings.
 
     Users go by blocks and items by parts, of bounded size; each block meets each part in one task, which passes by what cannot be among
-    a user's best and gives n rows a user. A user's rated items go only to the parts they are in.
+    a user's best and gives n rows a user. A user's rated items go only to the parts they are in. The ratings are kept while the model is
+    fitted and its error told.
     """
-    model = ALS(userCol=user, itemCol=item, ratingCol=rating, rank=rank, seed=seed, coldStartStrategy="drop", nonnegative=True).fit(ratings)
-    error = RegressionEvaluator(labelCol=rating, predictionCol="prediction", metricName="rmse").evaluate(model.transform(ratings))
+    level = ratings.storageLevel
+    if kept := not (level.useMemory or level.useDisk):
+        ratings.persist()
+    try:
+        model = ALS(userCol=user, itemCol=item, ratingCol=rating, rank=rank, seed=seed, coldStartStrategy="drop", nonnegative=True).fit(ratings)
+        error = RegressionEvaluator(labelCol=rating, predictionCol="prediction", metricName="rmse").evaluate(model.transform(ratings))
+    finally:
+        if kept:
+            ratings.unpersist()
     n_users, n_items = model.userFactors.count(), model.itemFactors.count()
     parts = max(1, -(-n_items // ITEM_ROWS))
     blocks = max(1, -(-n_users // USER_ROWS), min(ratings.sparkSession.sparkContext.defaultParallelism, n_users // 4096))

@@ -300,6 +300,18 @@ def test_best_unrated(monkeypatch):
         assert got == want
 
 
+def test_best_unrated_passes_by(monkeypatch):
+    """Of all pairs a twentieth at most is scored, and the result equals that of all scores sorted."""
+    rng = np.random.default_rng(4)
+    u, v = rng.gamma(2, 1, (2048, 8)), rng.gamma(2, 1, (40_000, 8))
+    scored, partition = [], np.partition
+    monkeypatch.setattr(np, "partition", lambda a, *k, **b: scored.append(np.size(a)) or partition(a, *k, **b))
+    got = sorted(zip(*(x.tolist() for x in models.best_unrated(u, v, np.arange(40_000, dtype=np.int32), np.empty(0, np.int64), np.empty(0, np.int32), 2))))
+    best = np.argsort(-(u @ v.T).astype(np.float32), axis=1, kind="stable")[:, :2]
+    assert [(r, i) for r, i, _ in got] == sorted((r, i) for r in range(2048) for i in best[r].tolist())
+    assert sum(scored) < 2048 * 40_000 / 20
+
+
 def test_recommend_by_parts(spark, monkeypatch):
     """Parts and blocks of any size change no result, for users who have rated most items too."""
     ratings = spark.range(40 * 300).selectExpr("cast(id % 40 as int) u", "cast(id div 40 as int) i").where("pmod(xxhash64(u, i), 10) < 8").selectExpr("*", "cast(pmod(xxhash64(i, u), 5) as float) r")
