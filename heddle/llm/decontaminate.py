@@ -2,12 +2,14 @@
 
 A fixed mask reads six of eight neighbouring words and ignores two, so a hit survives substitutions at the ignored places; the masks
 ignore two words at each distance from one to five. Test and training hashes are joined; each hit fixes an alignment of the document with
-the item, where the words that agree are counted along the whole item and along each run of it. Items shorter than a mask are matched whole. A document's words stay beside its hashes, so hits are verified without another shuffle.
+the item, where the words that agree are counted along the whole item and along each run of it. Items shorter than a mask are matched whole.
+A hit takes from its document only the words that the item covers, and hits of one alignment are one row, so that no row holds a whole
+document and a task's memory does not grow with hits times words.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import once
@@ -45,20 +47,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.5, id_c
     """
     every = benchmark.select("item_id", once(word_hashes(F.col("text"))).alias("_iw"))
     items = every.where(F.size("_iw") >= SPAN)
-    index = seeds(items, "_iw", "_ip").select("seed", F.col("item_id"), "_ip").distinct()
+    longest = F.max(F.size("_iw")).over(Window.partitionBy("item_id")).alias("_n")
+    index = seeds(items.select("item_id", "_iw", longest), "_iw", "_ip").select("seed", "item_id", "_ip", "_n").distinct()
     small = index.count() <= BROADCAST_ROWS
     hint = F.broadcast if small else (lambda df: df)
     source = docs.select(F.col(id_col).alias("_id"), once(word_hashes(F.col(text_col))).alias("_dw"))
-    hits = seeds(source, "_dw", "_dp")
-    if not small:  # only hashes and places are shuffled; the words are joined to the hits, row by row: a row is its id and text
-        source = docs.select(F.col(id_col).alias("_id"), F.md5(F.coalesce(text_col, F.lit(""))).alias("_row"), once(word_hashes(F.col(text_col))).alias("_dw"))
-        narrow = seeds(source, "_dw", "_dp").select("_id", "_row", "_dp", "seed").join(index, "seed").select("_id", "_row", "item_id", (F.col("_dp") - F.col("_ip")).alias("_dp")).distinct()
-        of = source.dropDuplicates(["_id", "_row"]).withColumnsRenamed({"_id": "_of", "_row": "_of_row"})
-        hits = narrow.join(of, F.col("_id").eqNullSafe(F.col("_of")) & (F.col("_row") == F.col("_of_row"))).withColumn("_ip", F.lit(0))
-    else:
-        hits = hits.join(hint(index), "seed")
-    hits = hits.join(hint(items), "item_id").withColumn("doc_word", F.col("_dp") - F.col("_ip"))
-    flags = F.transform(F.sequence(F.lit(0), F.size("_iw") - 1), lambda k: F.coalesce(F.get("_dw", F.col("doc_word") + k) == F.get("_iw", k), F.lit(False)))
+    at = (F.col("_dp") - F.col("_ip")).alias("doc_word")
+    if small:
+        hits = seeds(source, "_dw", "_dp").join(hint(index), "seed").withColumn("doc_word", at)
+    else:  # only hashes and places are shuffled; the words are joined to the hits, row by row: a row is its id and text
+        rows = docs.select(F.col(id_col).alias("_id"), F.md5(F.coalesce(text_col, F.lit(""))).alias("_row"), once(word_hashes(F.col(text_col))).alias("_dw"))
+        narrow = seeds(rows, "_dw", "_dp").select("_id", "_row", "_dp", "seed").join(index, "seed").select("_id", "_row", "item_id", "_n", at).distinct()
+        of = rows.dropDuplicates(["_id", "_row"]).withColumnsRenamed({"_id": "_of", "_row": "_of_row"})
+        hits = narrow.join(of, F.col("_id").eqNullSafe(F.col("_of")) & (F.col("_row") == F.col("_of_row")))
+    first = F.greatest("doc_word", F.lit(0))
+    hits = hits.select("_id", "item_id", "doc_word", F.slice("_dw", first + 1, F.col("doc_word") + F.col("_n") - first).alias("_seen")).distinct().join(hint(items), "item_id")
+    flags = F.transform(F.sequence(F.lit(0), F.size("_iw") - 1), lambda k: F.coalesce(F.get("_seen", F.col("doc_word") - first + k) == F.get("_iw", k), F.lit(False)))
     scored = hits.select(F.col("_id").alias(id_col), "item_id", "doc_word", F.size("_iw").alias("item_words"), once(flags).alias("_flags"))
     count = lambda x: F.size(F.filter(x, lambda f: f))
     scored = scored.withColumn("matched_words", count(F.col("_flags")))
@@ -67,12 +71,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.5, id_c
     least = F.greatest(F.lit(len(MASKS[0])), F.ceil(F.col("item_words") * share))
     met = scored.where((F.col("matched_words") >= least) | F.coalesce(run, F.lit(False))).drop("_flags")
     short = every.where(F.size("_iw").between(1, SPAN - 1)).withColumn("item_words", F.size("_iw")).withColumn("seed", F.xxhash64("_iw"))
-    if lengths := sorted(r[0] for r in short.select("item_words").distinct().collect()):
-        phrase = lambda n: F.transform(F.sequence(F.lit(0), F.size("_dw") - n), lambda k: F.struct(k.alias("at"), F.xxhash64(F.slice("_dw", k + 1, F.lit(n))).alias("seed")))
-        empty = F.array().cast("array<struct<at:int,seed:bigint>>")
-        phrases = F.concat(*[F.when(F.size("_dw") >= n, phrase(n)).otherwise(empty) for n in lengths])
-        placed = source.select("_id", "_dw", F.explode(phrases).alias("p")).select("_id", "_dw", F.col("p.at").alias("doc_word"), F.col("p.seed").alias("seed"))
-        whole = placed.join(short, "seed").where(F.slice("_dw", F.col("doc_word") + 1, F.col("item_words")) == F.col("_iw"))
+    if lengths := {r["item_words"]: r["count"] for r in short.groupBy("item_words").count().collect()}:
+        placed = source.withColumn("doc_word", F.explode(F.sequence(F.lit(0), F.size("_dw")))).withColumn("n", F.explode(F.array(*map(F.lit, sorted(lengths)))))
+        placed = placed.where(F.col("doc_word") + F.col("n") <= F.size("_dw")).select("_id", "doc_word", F.slice("_dw", F.col("doc_word") + 1, F.col("n")).alias("_seen"))
+        near = F.broadcast(short) if sum(lengths.values()) <= BROADCAST_ROWS else short
+        whole = placed.withColumn("seed", F.xxhash64("_seen")).join(near, "seed").where(F.col("_seen") == F.col("_iw"))
         met = met.unionByName(whole.select(F.col("_id").alias(id_col), "item_id", "doc_word", "item_words", F.col("item_words").alias("matched_words")))
     best = met.groupBy(id_col, "item_id").agg(F.max_by(F.struct("matched_words", "doc_word"), F.struct("matched_words", -F.col("doc_word"))).alias("b"), F.max("item_words").alias("item_words"))
     return best.select(id_col, "item_id", F.col("b.matched_words").alias("matched_words"), "item_words", F.col("b.doc_word").alias("doc_word"))

@@ -105,6 +105,17 @@ def test_contaminated_rows_that_repeat_an_id(spark, monkeypatch, broadcast):
     assert sorted(map(tuple, got), key=str) == overlaps(docs, items)
 
 
+@pytest.mark.parametrize("broadcast", [1_000_000, 0])
+def test_contaminated_document_full_of_items(spark, monkeypatch, broadcast):
+    """60000 words that hold each item many times: its hits, seven a word, do not each hold the document."""
+    monkeypatch.setattr(D, "BROADCAST_ROWS", broadcast)
+    items = [(k, " ".join(f"w{k}x{j}" for j in range(10 + k))) for k in range(20)] + [(20, "w3x0 w3x1"), (20, "pad " * 12)]
+    text = " ".join(["start", *[t for _, t in items[:20]] * 150, *["pad"] * 3000])
+    got = D.contaminated(spark.createDataFrame([(1, text)], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    at = [1 + sum(10 + j for j in range(k)) for k in range(20)]
+    assert sorted(map(tuple, got)) == [(1, k, 10 + k, 10 + k, at[k]) for k in range(20)] + [(1, 20, 12, 12, 1 + 150 * sum(range(10, 30)))]
+
+
 @pytest.mark.parametrize("low, high", [(250, 409), (300, 420), (100, 300), (20, 2048)])
 def test_plans_of_hard_histograms(low, high):
     rng = np.random.default_rng(low)
